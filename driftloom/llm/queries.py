@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, token_counts
+from . import langid, masked_lm, mixing, packing, quality, secrets, token_counts, topk, warc
 from .common import table
 
 
@@ -14,19 +14,56 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.masked_lm(table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_best_fit_packing, op5_quality_rules, op8_mixing)
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_exact_top_k,
+        op3_best_fit_packing,
+        op4_language_id,
+        op5_quality_rules,
+        op7_secret_scan,
+        op8_mixing,
+        op9_masked_lm,
+        op10_warc,
+    )
+}
+SQL: dict[str, str] = {
+    "op2_exact_top_k": topk.SQL,
+    "op5_quality_rules": quality.SQL,
+    "op8_mixing": mixing.SQL,
+    "op10_warc": warc.SQL,
 }
-SQL: dict[str, str] = {"op5_quality_rules": quality.SQL, "op8_mixing": mixing.SQL}
