@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, masked_lm, mixing, packing, quality, secrets, token_counts, topk, warc
+from . import langid, masked_lm, mixing, ngram_join, packing, quality, secrets, token_counts, topk, warc
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_best_fit_packing,
         op4_language_id,
         op5_quality_rules,
+        op6_ngram_jaccard,
         op7_secret_scan,
         op8_mixing,
         op9_masked_lm,
