@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, text_of
+from .common import WORD_RE, stored, text_of
 
 #: Hexadecimal digits of the draw: 52 bits, which a double holds without rounding.
 DRAW_DIGITS = 13
@@ -44,6 +44,18 @@ def source_targets(sized: DataFrame, max_repeats: int, cycle: int) -> DataFrame:
     return per.select("source", "source_size", target.alias("target"))
 
 
+def with_copies(rows: DataFrame, size: str, seed: str, max_repeats: int, cycle: int) -> DataFrame:
+    """rows (doc_id, source, a size and others) with their source's size and target and their number of copies.
+
+    The table of sources is written first: its size is then known, and Spark broadcasts it only if it is small.
+    """
+    per = stored(source_targets(rows.select("source", F.col(size).alias("size")), max_repeats, cycle), "sources")
+    per = per.select(*[F.col(c).alias(f"__{c}") for c in per.columns])
+    rate = F.when(F.col("__source_size") > 0, F.least(F.col("__target") / F.col("__source_size"), F.lit(float(max_repeats)))).otherwise(0.0)
+    out = rows.join(per, rows["source"].eqNullSafe(per["__source"])).withColumn("__rate", rate)
+    return out.withColumn("__copies", (F.floor("__rate") + (draw(seed, F.col("doc_id")) < F.col("__rate") - F.floor("__rate")).cast("long")).cast("long"))
+
+
 def mix(docs: DataFrame, seed: str = "mix:", max_repeats: int = 3, cycle: int = 3) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken of every row.
 
@@ -52,24 +64,14 @@ def mix(docs: DataFrame, seed: str = "mix:", max_repeats: int = 3, cycle: int =
     have target 0. An empty table gives an empty result.
     """
     sized = docs.select("doc_id", "source", size_of(text_of()).alias("size"))
-    per = source_targets(sized, max_repeats, cycle).withColumnRenamed("source", "of_source")
-    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_repeats)))).otherwise(0.0)
-    out = sized.join(per, sized["source"].eqNullSafe(per["of_source"])).withColumn("rate", rate)
-    copies = F.floor("rate") + (draw(seed, F.col("doc_id")) < F.col("rate") - F.floor("rate")).cast("long")
-    out = out.withColumn("copies", copies.cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
-
-
-def emit(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as many times as it is taken, with its own columns."""
-    # sizes and copies are functions of the row, so they are put beside it without a join on ids
-    sized = docs.withColumn("__size", size_of(text_of()))
-    per = source_targets(sized.select("source", F.col("__size").alias("size")), options.get("max_repeats", 3), options.get("cycle", 3))
-    per = per.select(F.col("source").alias("__source"), F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(options.get("max_repeats", 3))))).otherwise(0.0).alias("__rate"))
-    out = sized.join(per, sized["source"].eqNullSafe(per["__source"]))
-    copies = F.floor("__rate") + (draw(options.get("seed", "mix:"), F.col("doc_id")) < F.col("__rate") - F.floor("__rate")).cast("long")
-    out = out.withColumn("__copies", copies.cast("int")).where("__copies > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    out = with_copies(sized, "size", seed, max_repeats, cycle)
+    return out.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"), (F.col("size") * F.col("__copies")).alias("taken"))
+
+
+def emit(docs: DataFrame, seed: str = "mix:", max_repeats: int = 3, cycle: int = 3) -> DataFrame:
+    """The mix itself: every row as many times as it is taken, with docs' own columns."""
+    out = with_copies(docs.withColumn("__size", size_of(text_of())), "__size", seed, max_repeats, cycle).where("__copies > 0")
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 
 SQL = """

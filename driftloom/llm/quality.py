@@ -58,22 +58,27 @@ def repeat_words(words: Column) -> Column:
     return let(words, count)
 
 
-def rule_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, source, the five counts and base_failed; a null text has no words."""
+def with_counts(docs: DataFrame) -> DataFrame:
+    """docs with a struct ``__q`` of the five counts; a null text has no words."""
     text = text_of()
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(without(x, SPACES)) > 0)
     words = F.regexp_extract_all(text, F.lit(WORD_RE), F.lit(0))
-    out = docs.select(
-        "doc_id",
-        "source",
-        let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"))).alias("w"),
+    counts = [
         F.length(without(text, SPACES)).cast("long").alias("word_chars"),
         (F.length(text) - F.length(without(text, SYMBOLS))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-    )
-    out = out.select("doc_id", "source", F.col("w.n_words").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("w.n_repeat_words").alias("n_repeat_words"))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed)
+    ]
+    return docs.withColumn("__q", let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), *counts, repeat_words(w).alias("n_repeat_words"))))
+
+
+def failed(n_words: Column, n_repeat_words: Column) -> Column:
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
+
+
+def rule_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, source, the five counts and base_failed."""
+    out = with_counts(docs.select("doc_id", "source", "text")).select("doc_id", "source", *[F.col(f"__q.{c}").alias(c) for c in COUNTS])
+    return out.withColumn("base_failed", failed(F.col("n_words"), F.col("n_repeat_words")))
 
 
 def host_rates(ruled: DataFrame, host: str) -> DataFrame:
@@ -99,11 +104,20 @@ def quality(docs: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
     doc_id are judged one by one. Other columns are not read. An empty table gives an empty result.
     """
     ruled = stored(rule_counts(docs), "rules")
-    hosts = host_rates(ruled, "source")
+    hosts = stored(host_rates(ruled, "source"), "hosts")  # broadcast only if its written size is small
     out = ruled.join(hosts, ruled["source"].eqNullSafe(hosts["of_host"]))
     return out.select("doc_id", *COUNTS, "base_failed", F.round("host_rate", 9).alias("host_rate"), (~F.col("base_failed") & (F.col("host_rate") <= host_rate)).alias("kept"))
 
 
+def keep(docs: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
+    """The rows of docs that pass their own rules and whose host passes, with docs' own columns."""
+    judged = with_counts(docs).withColumn("__failed", failed(F.col("__q.n_words"), F.col("__q.n_repeat_words"))).drop("__q")
+    judged = stored(judged, "judged")
+    hosts = stored(host_rates(judged.select("source", F.col("__failed").alias("base_failed")), "source"), "hosts")
+    hosts = hosts.where(F.col("host_rate") <= host_rate).select(F.col("of_host").alias("__host"))
+    return judged.where(~F.col("__failed")).join(hosts, F.col("source").eqNullSafe(F.col("__host")), "left_semi").select(*docs.columns)
+
+
 SQL = r"""
 WITH w AS (
   SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
