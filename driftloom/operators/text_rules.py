@@ -1,0 +1,50 @@
+"""Differential text rules that need no parser, in order: the first that matches gives a row its finding."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Patterns of the rules.
+ACCESS_KEY, API_KEY, PEM = r"AKIA[0-9A-Z]{16}", r"\bsk-[A-Za-z0-9]{16,}", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+EVAL, HTTP_ONLY, SECURE, FALSE_GUARD = r"\beval\s*\(", r"httpOnly\s*:\s*true", r"secure\s*:\s*true", r"if\s*\(\s*false\s*\)"
+
+
+@dataclass(frozen=True)
+class TextRule:
+    rule: str
+    severity: str
+    applies: Callable[[Column, Column], Column]
+
+
+def new(pattern: str) -> Callable[[Column, Column], Column]:
+    return lambda b, a: a.rlike(pattern) & ~F.coalesce(b.rlike(pattern), F.lit(False))
+
+
+def gone(pattern: str) -> Callable[[Column, Column], Column]:
+    return lambda b, a: b.rlike(pattern) & ~a.rlike(pattern)
+
+
+RULES = (
+    TextRule("hardcoded-secret", "high", lambda b, a: a.rlike(ACCESS_KEY) | a.rlike(API_KEY)),
+    TextRule("eval-call", "high", new(EVAL)),
+    TextRule("cookie-httponly-removed", "high", gone(HTTP_ONLY)),
+    TextRule("cookie-secure-removed", "high", gone(SECURE)),
+    TextRule("removed-if-guard", "low", lambda b, a: b.isNotNull() & new(FALSE_GUARD)(b, a)),
+)
+
+
+def first_match(rows: DataFrame, before: str = "before", after: str = "after", rules: tuple[TextRule, ...] = RULES) -> DataFrame:
+    """rows that a rule matches, with ``rule`` and ``severity`` of the first one."""
+    b, a = F.col(before), F.col(after)
+    found = F.coalesce(*[F.when(r.applies(b, a), F.struct(F.lit(r.rule).alias("rule"), F.lit(r.severity).alias("severity"))) for r in rules])
+    return rows.withColumn("__found", found).where("__found IS NOT NULL").select(*rows.columns, "__found.rule", "__found.severity")
+
+
+def evidence_line(text: Column, patterns: tuple[str, ...]) -> Column:
+    """The first line that matches any of the patterns, trimmed."""
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.exists(F.array(*[F.lit(p) for p in patterns]), lambda p: F.regexp_like(x, p)))
+    return F.trim(F.get(lines, F.lit(0)))
