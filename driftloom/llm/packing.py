@@ -17,7 +17,7 @@ import bisect
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,21 +29,38 @@ from .common import stored, text_of
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
 #: Pieces that one group of equal length and salt holds on average; bounds the rows that a task must order.
-GROUP_ROWS = 20_000
-#: Entries of a worker's cache from words to ids.
-CACHE_WORDS = 400_000
+GROUP_ROWS = 5_000
+#: Entries of each of a worker's caches from words to ids.
+CACHE_WORDS = 200_000
 _ENCODERS: dict[str, WordEncoder] = {}
-#: White space beside white space, at either end, or of a kind that libraries classify differently.
-_UNUSUAL = re.compile(r"\s\s|^\s|\s\Z|[\x1c-\x1f\x85᠎​﻿]|<\|")
-_PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?]*)\Z")
+#: White space other than blanks and line ends, in any library's view, and control characters near it.
+_UNUSUAL = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+#: Where white space meets white space, and what may begin a special string.
+_BESIDE = ("  ", "\n\n", "\n ", " \n", "<|")
+_TAIL = re.compile(r"[.,;:!?]+\Z")
+
+
+class Known(dict):
+    """Ids of words, worked out when first met and kept up to a bound."""
+
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(word)
+        if len(self) < CACHE_WORDS:
+            self[word] = ids
+        return ids
 
 
 class WordEncoder:
     """Token ids of a text as little-endian bytes, equal to the byte-level tokenizer's own.
 
-    That tokenizer's pre-tokens never cross from a visible character to white space, so a text with single
-    spaces can be cut before each of them, and the ids of a cut depend on the cut alone. Cuts are looked up
-    in a cache of bounded size; texts with unusual white space or special strings are encoded whole.
+    That tokenizer's pre-tokens never cross from a visible character to white space, and a line end before a
+    visible character is one by itself. So a text with single blanks and line ends can be cut at these, and the
+    ids of a cut depend on the cut alone. Cuts are looked up in caches of bounded size; texts with other white
+    space or special strings are encoded whole.
     """
 
     def __init__(self, name: str) -> None:
@@ -57,36 +74,34 @@ class WordEncoder:
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.known: dict[str, bytes] = {}
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.tails = Known(self.whole)
+        self.inside, self.leading = Known(lambda w: self.word(w, " ")), Known(lambda w: self.word(w, ""))
+        self.line = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def word(self, word: str) -> bytes:
-        """Ids of a space and word, which holds no space."""
-        if m := _PLAIN.match(word):
-            if m[1].isalpha():
-                ids = [t.id for t in self.piece((" " + m[1]).encode().decode("latin-1").translate(self.letters))]
-                if m[2]:
-                    ids += [t.id for t in self.piece(m[2])]
-                return np.array(ids, dtype="<u4").tobytes()
-        return self.whole(" " + word)
+    def word(self, word: str, blank: str) -> bytes:
+        """Ids of blank and word, which holds no white space."""
+        if word.isalpha():
+            mapped = (blank + word).encode().decode("latin-1").translate(self.letters)
+            return b"".join([self.bytes_of[t.id] for t in self.piece(mapped)])
+        tail = _TAIL.search(word)
+        if tail and (core := word[: tail.start()]).isalpha():
+            return (self.inside if blank else self.leading)[core] + self.tails[tail[0]]
+        return self.whole(blank + word)
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if _UNUSUAL.search(text):
+        if text[0].isspace() or text[-1].isspace() or any(x in text for x in _BESIDE) or _UNUSUAL.search(text):
             return self.whole(text)
-        first, *words = text.split(" ")
-        known, out = self.known, [self.whole(first)]
-        for w in words:
-            ids = known.get(w)
-            if ids is None:
-                ids = self.word(w)
-                if len(known) < CACHE_WORDS:
-                    known[w] = ids
-            out.append(ids)
-        return b"".join(out)
+        inside, leading, out = self.inside.__getitem__, self.leading, []
+        for line in text.split("\n"):
+            first, *words = line.split(" ")
+            out += [self.line, leading[first], *map(inside, words)]
+        return b"".join(out[1:])
 
 
 def _encoder(name: str) -> WordEncoder:
@@ -251,8 +266,8 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2,
     per = cuts.groupBy("length").count()
     counts = {r["length"]: r["count"] for r in per.collect()}  # at most ``capacity`` rows
     places = Places(solve(counts, capacity))
-    salts = max(1, max(counts.values(), default=0) // GROUP_ROWS)
-    salted = cuts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salts = F.array(*[F.lit(1 + counts.get(n + 1, 0) // GROUP_ROWS).cast("long") for n in range(capacity)])
+    salted = cuts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(salts, F.col("length").cast("int"))))
     sizes = salted.groupBy("length", "salt").count()
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
