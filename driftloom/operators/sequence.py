@@ -89,7 +89,8 @@ def _matched(b: dict, a: dict) -> dict:
     children: list[dict] = []
     if b.get("children") or a.get("children"):
         children = diff_nodes(b.get("children") or [], a.get("children") or [])
-        inner = any(_changed(c) for c in children)
+        # only the children's own states count: what changed two levels down is shown by the container's text
+        inner = any(c["state"] != "unchanged" for c in children)
         modified = b.get("signature") != a.get("signature") or (not same and not inner)
         children = children if inner else []
     else:
@@ -98,10 +99,6 @@ def _matched(b: dict, a: dict) -> dict:
     return {"state": "modified" if modified else "unchanged", "children": children} | lines
 
 
-def _changed(node: dict) -> bool:
-    return node["state"] != "unchanged" or any(_changed(c) for c in node["children"])
-
-
 def sequence_join(rows: DataFrame, key: str, before: str, after: str) -> DataFrame:
     """key, ord, state, line, b_ord, a_ord: two arrays of strings of each row matched in order."""
     schema = f"{key} {dict(rows.dtypes)[key]}, ord int, state string, line string, b_ord int, a_ord int"
