@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, text_of
+from .common import scratch_path, stored, text_of
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_bytes long, n_tokens long"
 _LOADED: dict[str, object] = {}
@@ -85,6 +85,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", limit:
     as long as the session. Concurrent runs may append a digest twice; reads take one row for each.
     """
     spark = docs.sparkSession
+    shared = cache_path is not None
     cache_path = cache_path or scratch_path(spark, "token-cache")
     version = tokenizer_version(tokenizer)
     keyed = docs.select("doc_id", text_of().alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
@@ -92,8 +93,9 @@ def token_counts(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", limit:
     distinct = keyed.groupBy("digest").agg(F.first("text").alias("text"))
     misses = distinct.join(known.select("digest"), "digest", "left_anti")
     encode_misses(misses, tokenizer, version).write.mode("append").parquet(cache_path)
-    counted = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
-    counted = counted.groupBy("digest").agg(F.max("n_bytes").alias("n_bytes"), F.max("n_tokens").alias("n_tokens"))
+    counted = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).drop("tokenizer")
+    if shared:
+        counted = stored(counted.dropDuplicates(["digest"]), "counted")
     return (
         keyed.select("doc_id", "digest")
         .join(counted, "digest")

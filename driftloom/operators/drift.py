@@ -79,7 +79,7 @@ def diff_block(before: Column, after: Column, state: Column, cap: int = 80) -> C
     def side(lines: Column, sign: str) -> Column:
         shown = F.transform(F.slice(lines, 1, cap), lambda x: F.concat(F.lit(f"{sign} "), x))
         over = F.size(lines) - cap
-        more = F.concat(F.lit("… "), over.cast("string"), F.when(over == 1, F.lit(" more line")).otherwise(F.lit(" more lines")), F.lit(" (truncated)"))
+        more = F.concat(F.lit(f"{sign} … "), over.cast("string"), F.when(over == 1, F.lit(" more line")).otherwise(F.lit(" more lines")), F.lit(" (truncated)"))
         return F.when(over > 0, F.concat(shown, F.array(more))).otherwise(shown)
 
     none = F.array().cast("array<string>")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from driftloom.functions import paths as P
 from driftloom.functions import text as T
-from driftloom.operators import deps, drift, evalkit, sequence, session, text_rules, triage
+from driftloom.operators import deps, drift, evalkit, nodes, rules, sequence, session, text_rules, triage
+from driftloom.sources import manifests
 from driftloom.streaming import watch
 
 from .sides import FLAGS, SIDES, sides
@@ -366,8 +367,8 @@ def flags_by_rule_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {SIDES}, l AS (SELECT path, string_split(before, chr(10)) AS b, string_split(after, chr(10)) AS a FROM sides WHERE before <> after),
-s AS (SELECT path, list_transform(b[:3], lambda x: '- ' || x) || CASE WHEN len(b) > 3 THEN ['… ' || (len(b) - 3) || CASE WHEN len(b) = 4 THEN ' more line' ELSE ' more lines' END || ' (truncated)'] ELSE [] END AS b,
-  list_transform(a[:3], lambda x: '+ ' || x) || CASE WHEN len(a) > 3 THEN ['… ' || (len(a) - 3) || CASE WHEN len(a) = 4 THEN ' more line' ELSE ' more lines' END || ' (truncated)'] ELSE [] END AS a FROM l)
+s AS (SELECT path, list_transform(b[:3], lambda x: '- ' || x) || CASE WHEN len(b) > 3 THEN ['- … ' || (len(b) - 3) || CASE WHEN len(b) = 4 THEN ' more line' ELSE ' more lines' END || ' (truncated)'] ELSE [] END AS b,
+  list_transform(a[:3], lambda x: '+ ' || x) || CASE WHEN len(a) > 3 THEN ['+ … ' || (len(a) - 3) || CASE WHEN len(a) = 4 THEN ' more line' ELSE ' more lines' END || ' (truncated)'] ELSE [] END AS a FROM l)
 SELECT path, md5(array_to_string(b || a, chr(10))) AS block_md5 FROM s"""
 )
 def diff_block_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -485,3 +486,44 @@ def union_of_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("source", F.concat(F.lit("m"), (F.col("doc_id") % 4).cast("string")).alias("path"))
     both = docs.where("path < 'm2'").unionByName(docs.where("path >= 'm2'")).distinct()
     return both.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("source")))
+
+
+@query(None)
+def document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed documents parsed as sources of their suffix's language and matched as trees."""
+    changed = sides(spark, sf_dir).where(~F.col("before").eqNullSafe(F.col("after")))
+    return nodes.drift_nodes(changed).select("path", "node_id", "kind", "state", "depth", "pre_ord", "node_hash")
+
+
+@query(None)
+def node_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole rule registry over those nodes."""
+    changed = sides(spark, sf_dir).where(~F.col("before").eqNullSafe(F.col("after")))
+    tree = nodes.drift_nodes(changed).withColumn("declared", F.array().cast("array<string>"))
+    return rules.flags(tree).select("path", "flag_id", "rule", "severity", "node_path")
+
+
+def _package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest for each region, with its nations as dependencies."""
+    nation = _read(spark, sf_dir, "nation")
+    per = nation.groupBy("n_regionkey").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("n_name", F.concat(F.lit("^"), F.col("n_nationkey").cast("string"))))))).alias("deps"))
+    return per.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit("/package.json")).alias("path"), F.concat(F.lit('{"dependencies": '), "deps", F.lit("}")).alias("content"))
+
+
+@query("SELECT 'r' || n_regionkey || '/package.json' AS manifest, 'dependencies' AS section, n_name AS name, '^' || n_nationkey AS spec FROM nation")
+def manifest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifests.entries(_package_files(spark, sf_dir)).select("manifest", "section", "name", "spec")
+
+
+@query("SELECT 's' || (s_suppkey % 5) || '/go.sum' AS lock_path, s_name AS name FROM supplier")
+def lockfile_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.translate("s_name", " ", "_"), F.lit(" v1.0.0 h1:x="))
+    per = _read(spark, sf_dir, "supplier").groupBy((F.col("s_suppkey") % 5).alias("k")).agg(F.array_join(F.collect_list(line), "\n").alias("content"))
+    return manifests.locked(per.select(F.concat(F.lit("s"), F.col("k").cast("string"), F.lit("/go.sum")).alias("path"), "content"))
+
+
+@query("SELECT 'r' || n_regionkey || '/package.json' AS path, CASE WHEN n_regionkey % 2 = 0 THEN 'r' || n_regionkey || '/yarn.lock' END AS lock_path FROM (SELECT DISTINCT n_regionkey FROM nation)")
+def nearest_lockfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _package_files(spark, sf_dir).select("path")
+    locks = files.where(F.substring("path", 2, 1).cast("int") % 2 == 0).select(F.explode(F.array(F.replace("path", F.lit("package.json"), F.lit("yarn.lock")), F.replace("path", F.lit("package.json"), F.lit("pnpm-lock.yaml")))).alias("path"))
+    return deps.nearest_lockfile(files, locks)

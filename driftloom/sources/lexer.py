@@ -17,7 +17,7 @@ _CHAR = r"'(?:\\(?:u\{[^}\n]*\}|x[0-9a-fA-F]{2}|.)|[^'\\\n])'"
 _TRIPLE = r'"""(?:\\.|[^\\])*?"""'
 #: For each family: line comments, whether block comments nest, and patterns of strings, longest forms first.
 FAMILIES: dict[str, tuple[str, bool, tuple[str, ...]]] = {
-    "jsts": (r"//[^\n]*", False, (_DOUBLE, _SINGLE)),
+    "jsts": (r"//[^\n]*", False, (_DOUBLE, r"(?<![A-Za-z0-9])" + _SINGLE)),
     "rust": (r"//[^\n]*", True, (r'\bb?r(?P<h>#*)"(?:.|\n)*?"(?P=h)', r'b?"(?:\\(?:.|\n)|[^"\\])*"', _CHAR)),
     "go": (r"//[^\n]*", False, (r"`[^`]*`", _DOUBLE, _CHAR)),
     "python": (r"#[^\n]*", False, (r'(?i:\b[rbuf]{1,2})?(?:"""(?:\\(?:.|\n)|[^\\])*?"""|\'\'\'(?:\\(?:.|\n)|[^\\])*?\'\'\'|"(?:\\(?:.|\n)|[^"\\\n])*"|\'(?:\\(?:.|\n)|[^\'\\\n])*\')',)),

@@ -12,14 +12,14 @@ from dataclasses import dataclass, field
 from . import lexer
 
 # Words that stand before a bracket without being called.
-CONTROL = frozenset("if for while switch catch return typeof new else do try throw case in of match when guard repeat foreach await yield".split())
+CONTROL = frozenset("if for while switch catch return typeof else do try throw case in of match when guard repeat foreach await yield".split())
 FAMILY_CONTROL = {
-    "jsts": frozenset({"function", "import"}),
+    "jsts": frozenset({"function", "import", "new"}),
     "rust": frozenset({"fn", "loop", "as", "pub"}),
     "go": frozenset({"func", "go", "defer", "select", "range", "map", "import", "var", "const", "type"}),
     "python": frozenset("def class lambda not and or elif assert del with from import is print_ except raise".split()),
-    "java": frozenset({"synchronized", "super", "this"}),
-    "csharp": frozenset({"using", "lock", "fixed", "nameof", "sizeof", "base", "this", "default"}),
+    "java": frozenset({"synchronized", "super", "this", "new"}),
+    "csharp": frozenset({"using", "lock", "fixed", "nameof", "sizeof", "base", "this", "default", "new"}),
     "kotlin": frozenset({"fun", "constructor", "get", "set"}),
     "swift": frozenset({"func", "init", "where"}),
 }
@@ -52,6 +52,8 @@ class Source:
 
 
 _OPEN, _CLOSE = "([{", ")]}"
+#: Characters in which a statement's beginning or end is recognised.
+HEAD = 400
 
 
 def closing(code: str, at: int, end: int) -> int:
@@ -111,15 +113,15 @@ def statements(source: Source, start: int, end: int) -> list[tuple[int, int]]:
         if family == "rust" and (m := re.compile(r"#!?\[").match(code, i)):
             i = closing(code, m.end() - 1, end) + 1
             continue
-        s, block = i, _is_block(code[i:end], family)
-        if family == "jsts" and block and re.match(r"export\s+default\s+\{", code[i:end]):
+        s, block = i, _is_block(code[i : min(end, i + HEAD)], family)
+        if family == "jsts" and block and re.match(r"export\s+default\s+\{", code[i : i + HEAD]):
             block = False
         while i < end:
             c = code[i]
             if c in _OPEN:
                 i = closing(code, i, end) + 1
                 if c == "{" and block:
-                    head = code[s:i]
+                    head = code[s : min(i, s + HEAD)]
                     after = _CONTINUES.match(code, i)
                     word = after and after[0].strip()
                     chained = word and (word != "while" or re.match(r"(?:do|repeat)\b", head)) and re.match(r"(?:\w+:\s*)?(?:if|try|do|guard|\}|repeat)\b", head)
@@ -136,7 +138,7 @@ def statements(source: Source, start: int, end: int) -> list[tuple[int, int]]:
             if c in _CLOSE:
                 break
             if c == "\n" and lines_end and i > s:
-                before = code[s:i].rstrip(" \t")
+                before = code[max(s, i - HEAD) : i].rstrip(" \t")
                 joins = _JOINS_NEXT.search(before) if before else True
                 ahead = (_JOINS_BEFORE if family == "jsts" or block else _NO_BRACE_BEFORE).match(code, i)
                 if family == "go" and before and not re.search(r"(?:[+\-*/%=<>&|^,.(\[{!]|&&|\|\|)\Z", before):
@@ -340,7 +342,7 @@ def _logical_lines(code: str, start: int, end: int) -> list[tuple[int, int, int]
             elif c in "\"'":
                 close = code.find(c, j + 1, end)
                 j = close if close > 0 else j
-            elif c == "\n" and depth <= 0 and not code[:j].endswith("\\"):
+            elif c == "\n" and depth <= 0 and code[j - 1] != "\\":
                 stop = j
                 break
             j += 1
