@@ -419,7 +419,8 @@ def callees(source: Source, start: int = 0, end: int | None = None) -> list[str]
     end = len(code) if end is None else end
     for m in _CALL.finditer(code, start, end):
         name, before = m[1], code[max(0, m.start() - 60) : m.start()]
-        if name in CONTROL or name in FAMILY_CONTROL[source.family] or DECLARES.search(before):
+        member = before.endswith((".", "?."))
+        if not member and (name in CONTROL or name in FAMILY_CONTROL[source.family]) or DECLARES.search(before):
             continue
         if source.family in ("jsts", "java", "csharp"):
             after = closing(code, m.end() - 1, end)
