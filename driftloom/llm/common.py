@@ -26,19 +26,23 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, removed when the session's JVM ends."""
-    path = f"{scratch_root(spark)}/driftloom/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    """A new path below the shared folder."""
+    return f"{scratch_root(spark)}/driftloom/{name}-{uuid.uuid4().hex}"
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Has what is at path now removed when the session's JVM ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back: cuts lineage, and survives the loss of executors."""
-    path = scratch_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    drop_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, body) -> Column:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, stored
+from .common import drop_at_exit, scratch_path, stored
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Bytes after which a task begins another archive, of a range that a task reads, and of a single read.
@@ -316,7 +316,9 @@ def round_trip(pages: DataFrame, least_bytes: int = 0, compress: bool = True, ra
     responses among themselves. Rows that repeat a page_id and its payload are written alike. Other columns are
     not read. An empty table gives no archives and no rows. The digest of a response is that of its bytes as read.
     """
-    archives = write(pages, scratch_path(pages.sparkSession, "warc"), compress, least_bytes)
+    folder = scratch_path(pages.sparkSession, "warc")
+    archives = write(pages, folder, compress, least_bytes)
+    drop_at_exit(pages.sparkSession, folder)
     back = read(archives, range_bytes)
     return back.select("page_id", "payload_bytes", F.coalesce("held_digest", "payload_digest").alias("payload_digest"), "record_type", "refers_to")
 
