@@ -104,7 +104,7 @@ def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
     rows = docs.select("text", "lang").mapInArrow(run, "lang string, dim int, value long")
     summed = rows.groupBy("lang", "dim").agg(F.sum("value").alias("value"))
     out: dict[str, np.ndarray] = {}
-    for r in summed.toLocalIterator():  # languages times dimensions
+    for r in summed.collect():  # languages times dimensions
         out.setdefault(r["lang"], np.zeros(DIMENSIONS))[r["dim"]] = r["value"]
     return out
 
