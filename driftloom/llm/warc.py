@@ -25,6 +25,8 @@ from .common import drop_at_exit, scratch_path, stored
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Bytes after which a task begins another archive, of a range that a task reads, and of a single read.
 ARCHIVE_BYTES, RANGE_BYTES, READ_BYTES = 1 << 30, 16 << 20, 1 << 18
+#: Bytes of a record that are read first: most records end within them.
+FIRST_READ = 1 << 13
 #: What a record begins with: a gzip member of its own, or the version line.
 MAGIC = {True: b"\x1f\x8b\x08\x00", False: b"WARC/1."}
 #: Headers longer than this are no record's.
@@ -183,32 +185,26 @@ class Parser:
 
 def candidates(source, size: int, start: int, end: int, compress: bool) -> Iterator[tuple]:  # noqa: ANN001
     """(start, next, fields...) of all places in [start, end) that read as a whole record."""
-    magic, at, held = MAGIC[compress], start, b""
-    while at < end:
+    magic = MAGIC[compress]
+    for at in range(start, end, READ_BYTES):
+        stop = min(at + READ_BYTES, end)
         source.seek(at)
-        held = source.read(min(READ_BYTES, size - at))
+        held = source.read(min(stop + len(magic) - 1, size) - at)
         found = held.find(magic)
-        last = at + len(held) >= size
-        if found < 0:
-            step = len(held) if last else len(held) - len(magic) + 1
-            if step <= 0:
-                return
-            at += step
-            continue
-        place = at + found
-        if place >= end:
-            return
-        at = place + 1
-        if row := record_at(source, place, size, compress):
-            yield place, *row
+        while 0 <= found < stop - at:
+            if row := record_at(source, at + found, size, compress):
+                yield at + found, *row
+            found = held.find(magic, found + 1)
 
 
 def record_at(source, place: int, size: int, compress: bool) -> tuple | None:  # noqa: ANN001
     parser, position = Parser(), place
     unpack = zlib.decompressobj(31) if compress else None
     source.seek(place)
+    step = FIRST_READ
     while position < size:
-        data = source.read(min(READ_BYTES, size - position))
+        data = source.read(min(step, size - position))
+        step = READ_BYTES
         if not data:
             return None
         position += len(data)
