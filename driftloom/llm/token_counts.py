@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, stored, text_of
+from .common import drop_at_exit, scratch_path, stored, text_of
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_bytes long, n_tokens long"
 _LOADED: dict[str, object] = {}
@@ -93,6 +93,8 @@ def token_counts(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", limit:
     distinct = keyed.groupBy("digest").agg(F.first("text").alias("text"))
     misses = distinct.join(known.select("digest"), "digest", "left_anti")
     encode_misses(misses, tokenizer, version).write.mode("append").parquet(cache_path)
+    if not shared:
+        drop_at_exit(spark, cache_path)
     counted = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).drop("tokenizer")
     if shared:
         counted = stored(counted.dropDuplicates(["digest"]), "counted")
