@@ -44,6 +44,8 @@ KEYBOARD = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdef
 LEET = str.maketrans("0134578@$!", "oleastbasi")
 _STEP = {(a, b) for row in KEYBOARD for a, b in zip(row, row[1:], strict=False)} | {(b, a) for row in KEYBOARD for a, b in zip(row, row[1:], strict=False)}
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d", re.ASCII)
+#: What may hold a value, where a value may begin in it, and what ends no value.
+_RUN, _INNER, _ENDS = re.compile(r"""[^\s"'<>,;]+"""), re.compile(r"(?:\A|(?<=[\W_]))(?=[^\s])"), ".:!?)]}"
 _WORD = re.compile(r"[^\W\d_]{3,24}")
 
 
@@ -83,15 +85,36 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
     return best[n]
 
 
-def ranks_of(text: str) -> dict[str, int]:
-    """Words of the text itself and common ones, ranked: what a guesser who knows the text would try first."""
+def ranks_of(text: str, values: frozenset[str] = frozenset()) -> dict[str, int]:
+    """Words of the text itself and common ones, ranked: what a guesser who knows the text would try first.
+
+    values, in lower case, are candidates: their own words do not count wherever the text has them.
+    """
     ranks = {w: i + 1 for i, w in enumerate(COMMON)}
+    if values:
+        text = _without(text.lower(), values)
     for w in _WORD.findall(text.lower()):
         if w not in ranks:
             ranks[w] = len(ranks) + 1
     return ranks
 
 
+def _without(low: str, values: frozenset[str]) -> str:
+    """low with spaces for the values; a value within a longer word stays."""
+    lengths = {len(v) for v in values}
+    least = min(lengths)
+
+    def clean(m: re.Match) -> str:
+        run = m[0].rstrip(_ENDS)
+        if len(run) >= least:
+            for p in _INNER.finditer(run):
+                if len(run) - p.start() in lengths and run[p.start() :] in values:
+                    return run[: p.start()] + " " + m[0][len(run) :]
+        return m[0]
+
+    return _RUN.sub(clean, low)
+
+
 def scan(text: str, dear: float = DEAR) -> list[tuple[int, int, int]]:
     """(start, kind's index, end) of all spans by start, then kind."""
     low, found = text.lower(), []
@@ -101,17 +124,19 @@ def scan(text: str, dear: float = DEAR) -> list[tuple[int, int, int]]:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if any(x in low for x in CONTEXT_HINTS):
-        base, ranks = list(found), None
+        base, held, values = list(found), [], set()
         for m in CONTEXT.finditer(text):
-            start, value = m.start("value"), m["value"].rstrip(".:!?)]}")
+            start, value = m.start("value"), m["value"].rstrip(_ENDS)
             end = start + len(value)
             mixed = any(c.isalpha() for c in value) and any(not c.isalpha() for c in value)
-            if len(value) < MIN_ASSIGN or not mixed or any(a <= start and end <= b for a, _, b in base):
+            if len(value) < MIN_ASSIGN or not mixed:
                 continue
-            if ranks is None:
-                ranks = ranks_of(text[: m.start()] + " " + text[end:])
-            if guess_cost(value, ranks) >= dear:
-                found.append((start, 3, end))
+            values.add(value.lower())
+            if not any(a <= start and end <= b for a, _, b in base):
+                held.append((start, end, value))
+        if held:
+            ranks = ranks_of(text, frozenset(values))
+            found += [(start, 3, end) for start, end, value in held if guess_cost(value, ranks) >= dear]
     return sorted(found)
 
 

@@ -6,6 +6,8 @@ import random
 
 from helpers import LOWER, WORDS, documents
 
+from driftloom.llm import secrets
+
 
 def grams(text: str, width: int) -> set[tuple]:
     w = WORDS.findall(text.translate(LOWER))
@@ -39,3 +41,19 @@ def test_pipeline_drops_near_copies_by_five_words_and_four_fifths(spark, tmp_pat
     docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).select("doc_id", "text", "lang", "source", "n_chars")
     kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
     assert {r["doc_id"] for r in kept.collect()} == {i for i, n in enumerate(name) if i == n}
+
+
+def guessed(text: str) -> list[str]:
+    return [text[s:e] for s, k, e in secrets.scan(text) if k == 3]
+
+
+def test_a_credential_is_dear_wherever_its_text_has_it():
+    rng = random.Random(7)
+    letters = "".join
+    prose = " ".join(letters(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(200))
+    first, second = "zkqwvbnx-tprlgh-9", "Vhqzjwkp-xgdmfb-4"
+    assert guessed(f"{prose} pwd: {first} and pwd: {second} end") == [first, second]
+    assert guessed(f"{prose} pwd: {second} and pwd: {first} end") == [second, first]
+    assert guessed(f"{first} {prose} pwd: {first}. So ({first}) or x={first} then login: {first}") == [first, first]
+    words = prose.split()
+    assert guessed(f"{prose} pwd: {words[0]}-{words[1]}") == []  # the text's own words stay cheap
