@@ -2,7 +2,8 @@
 
 A value's guess cost is the least over all ways to cut it into words, dates, repeats, keyboard walks and
 brute-force characters; the sum of the parts' log10 guesses is minimised by dynamic programming. Values
-that are dear to guess are reported although no fixed pattern knows them.
+that are dear to guess are reported although no fixed pattern knows them. Values of letters alone are costed
+after a sign (``:``, ``=``), and left out after ``is``, ``was`` and ``bearer`` alone, where they are mostly prose.
 """
 
 from __future__ import annotations
@@ -128,8 +129,7 @@ def scan(text: str, dear: float = DEAR) -> list[tuple[int, int, int]]:
         for m in CONTEXT.finditer(text):
             start, value = m.start("value"), m["value"].rstrip(_ENDS)
             end = start + len(value)
-            mixed = any(c.isalpha() for c in value) and any(not c.isalpha() for c in value)
-            if len(value) < MIN_ASSIGN or not mixed:
+            if len(value) < MIN_ASSIGN or (value.isalpha() and m["sign"] is None):
                 continue
             values.add(value.lower())
             if not any(a <= start and end <= b for a, _, b in base):

@@ -57,3 +57,11 @@ def test_a_credential_is_dear_wherever_its_text_has_it():
     assert guessed(f"{first} {prose} pwd: {first}. So ({first}) or x={first} then login: {first}") == [first, first]
     words = prose.split()
     assert guessed(f"{prose} pwd: {words[0]}-{words[1]}") == []  # the text's own words stay cheap
+
+
+def test_values_of_letters_or_digits_alone_are_costed():
+    assert guessed("passphrase: qzkfjwplmxvr") == ["qzkfjwplmxvr"]
+    assert guessed("pwd: 84739201847362 and pwd is 84739201847362") == ["84739201847362"] * 2
+    assert secrets.redacted("passphrase: qzkfjwplmxvr") == "passphrase: [guess]"
+    assert guessed("pwd: 19991231 login: qwertyuiop pwd: password") == []
+    assert guessed("the password is wonderful") == []
