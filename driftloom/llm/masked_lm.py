@@ -5,8 +5,8 @@ place, and predicts the masked token in two steps: its class, then its place in
 the sum over all its tokens of the log-probability given the rest.
 
 Words are counted over all documents; the most frequent ones are tokens, the rest fall into buckets by digest.
-Tasks train copies of the network from one start on every ``stride``-th token of all their documents, and the
-copies are averaged, weighted by tokens, in a tree of tasks, so that no task gathers more than FAN copies.
+Tasks train copies of the network from one start on every token of all their documents, and the copies are
+averaged, weighted by tokens, in a tree of tasks, so that no task gathers more than FAN copies.
 """
 
 from __future__ import annotations
@@ -258,7 +258,7 @@ def score(docs: DataFrame, words: dict[str, int], model: dict[str, np.ndarray])
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
 
 
-def masked_lm(docs: DataFrame, stride: int = 8) -> DataFrame:
+def masked_lm(docs: DataFrame, stride: int = 1) -> DataFrame:
     """doc_id, n_tokens, log_prob (summed), mean_log_prob of every row, by a network trained on docs.
 
     A null text counts as empty: no tokens, log_prob 0, mean null. Rows of a null or repeated doc_id are

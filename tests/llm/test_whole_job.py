@@ -6,7 +6,7 @@ import random
 
 from helpers import LOWER, WORDS, documents
 
-from driftloom.llm import secrets
+from driftloom.llm import masked_lm, secrets
 
 
 def grams(text: str, width: int) -> set[tuple]:
@@ -65,3 +65,14 @@ def test_values_of_letters_or_digits_alone_are_costed():
     assert secrets.redacted("passphrase: qzkfjwplmxvr") == "passphrase: [guess]"
     assert guessed("pwd: 19991231 login: qwertyuiop pwd: password") == []
     assert guessed("the password is wonderful") == []
+
+
+def test_every_token_is_trained_on(spark, monkeypatch):
+    seen = []
+    plain = masked_lm.trained
+    monkeypatch.setattr(masked_lm, "trained", lambda docs, words, stride: seen.append(stride) or plain(docs, words, stride))
+    rows = [(i, f"left{i % 2} right{i % 2}", "en", "s") for i in range(20_000)] + [(-1, "left0 right1", "en", "s")]
+    got = {r["doc_id"]: r for r in masked_lm.masked_lm(documents(spark, rows).coalesce(1)).where("doc_id < 2").collect()}
+    assert seen == [1]
+    assert got[0]["log_prob"] > got[-1]["log_prob"] + 1
+    assert got[0]["log_prob"] > -2.5  # both words are learned
