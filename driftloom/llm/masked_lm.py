@@ -5,6 +5,8 @@ place, and predicts the masked token in two steps: its class, then its place in
 the sum over all its tokens of the log-probability given the rest.
 
 Words are counted over all documents; the most frequent ones are tokens, the rest fall into buckets by digest.
+The network scores a bucket; a word of a bucket gets its own share of it on top, by its count over all documents
+that are scored. Only as surroundings of other words are rare words known by their buckets alone.
 Tasks train copies of the network from one start on every token of all their documents, and the copies are
 averaged, weighted by tokens, in a tree of tasks, so that no task gathers more than FAN copies.
 """
@@ -16,7 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, stored, text_of
@@ -52,11 +55,32 @@ class Ids(dict):
         return own
 
 
+class Names(dict):
+    """From words, as UTF-8, to 64-bit digests of which the low bits are the word's bucket; kept up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        own = xxhash.xxh64_intdigest(word) & ~(CLASSES - 1) | zlib.crc32(word) % CLASSES
+        own -= (own >> 63) << 64
+        if len(self) < 200_000:
+            self[word] = own
+        return own
+
+
+def split(text: str) -> list[bytes]:
+    return text.lower().encode("utf-8", "surrogatepass").split()  # bytes.split knows ASCII white space alone
+
+
 def ids_of(text: str, ids: Ids) -> np.ndarray:
-    words = text.lower().encode("utf-8", "surrogatepass").split()  # bytes.split knows ASCII white space alone
+    words = split(text)
     return np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))
 
 
+def rare_of(words: list[bytes], tokens: np.ndarray, names: Names) -> tuple[np.ndarray, np.ndarray]:
+    """The digests of a text's distinct words that fall into buckets, and how often it has them."""
+    at = np.flatnonzero(tokens >= RARE).tolist()
+    return np.unique(np.fromiter((names[words[k]] for k in at), dtype=np.int64, count=len(at)), return_counts=True)
+
+
 def contexts(tokens: np.ndarray) -> np.ndarray:
     """(tokens, offsets): the ids around each token."""
     padded = np.concatenate([np.full(2, OUTSIDE), tokens, np.full(2, OUTSIDE)])
@@ -222,13 +246,22 @@ def trained(docs: DataFrame, words: dict[str, int], stride: int) -> dict[str, np
     return shaped(sum(np.frombuffer(r["total"], np.float32).astype(np.float64) for r in last) / sum(r["weight"] for r in last))
 
 
-def score(docs: DataFrame, words: dict[str, int], model: dict[str, np.ndarray]) -> DataFrame:
+SCORE_SCHEMA = "row long, doc_id long, n_tokens long, log_prob double, mean_log_prob double, words array<long>, times array<long>"
+
+
+def scored(docs: DataFrame, words: dict[str, int], model: dict[str, np.ndarray]) -> DataFrame:
+    """SCORE_SCHEMA: scores with buckets in place of rare words, and each row's rare words. row: unique once stored."""
     shared = docs.sparkSession.sparkContext.broadcast((words, model))  # bounded by the vocabulary and the network
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(shared.value[0])
+        from pyspark import TaskContext
+
+        ids, names = Ids(shared.value[0]), Names()
         network = shared.value[1]
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
+            rare: list[np.ndarray] = []
+            times: list[np.ndarray] = []
             sizes, sums = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             held: list[tuple[int, np.ndarray, np.ndarray]] = []
             waiting = 0
@@ -243,7 +276,11 @@ def score(docs: DataFrame, words: dict[str, int], model: dict[str, np.ndarray])
                     held.clear()
 
             for i, text in enumerate(batch.column(1)):
-                tokens = ids_of(text.as_py(), ids)
+                own = split(text.as_py())
+                tokens = np.fromiter(map(ids.__getitem__, own), dtype=np.int64, count=len(own))
+                found = rare_of(own, tokens, names)
+                rare.append(found[0])
+                times.append(found[1])
                 sizes[i] = len(tokens)
                 if len(tokens):
                     held.append((i, tokens, contexts(tokens)))
@@ -253,9 +290,36 @@ def score(docs: DataFrame, words: dict[str, int], model: dict[str, np.ndarray])
                     waiting = 0
             flush(held, sums)
             mean = pa.array(np.where(sizes > 0, sums / np.maximum(sizes, 1), np.nan), mask=sizes == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes), pa.array(sums), mean], names=["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
+            ends = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *x]), pa.int64())) for x in (rare, times)]
+            rows = pa.array(np.arange(row, row + batch.num_rows), pa.int64())
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays([rows, batch.column(0).cast(pa.int64()), pa.array(sizes), pa.array(sums), mean, *lists], names=[x.strip().split(" ")[0] for x in SCORE_SCHEMA.split(",")])
+
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, SCORE_SCHEMA)
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+
+def score(docs: DataFrame, words: dict[str, int], model: dict[str, np.ndarray]) -> DataFrame:
+    """doc_id, n_tokens, log_prob, mean_log_prob, with buckets in place of rare words."""
+    return scored(docs, words, model).select("doc_id", "n_tokens", "log_prob", "mean_log_prob")
+
+
+def with_shares(rows: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, log_prob, mean_log_prob; each rare word's share of its bucket, over all rows, is multiplied in.
+
+    No table of words is gathered: a word's group holds it once for each document, and a word that is rarer than
+    RARE others has a small part of all tokens.
+    """
+    rows = stored(rows, "lm-scores")
+    held = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
+    bucket = F.col("word").bitwiseAND(F.lit(CLASSES - 1)).cast("int")
+    totals = {r["bucket"]: r["n"] for r in held.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).collect()}  # at most CLASSES rows
+    logs = F.array(*[F.lit(float(np.log(totals.get(k, 1)))) for k in range(CLASSES)])
+    shares = held.withColumn("c", F.sum("n").over(Window.partitionBy("word")))
+    shares = shares.groupBy("row").agg(F.sum(F.col("n") * (F.log(F.col("c")) - F.get(logs, bucket))).alias("share")).withColumnRenamed("row", "of")
+    total = F.col("log_prob") + F.coalesce("share", F.lit(0.0))
+    out = rows.join(shares, F.col("row") == F.col("of"), "left")
+    return out.select("doc_id", "n_tokens", total.alias("log_prob"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_prob"))
 
 
 def masked_lm(docs: DataFrame, stride: int = 1) -> DataFrame:
@@ -265,4 +329,4 @@ def masked_lm(docs: DataFrame, stride: int = 1) -> DataFrame:
     scored one by one. Other columns are not read. An empty table gives an empty result.
     """
     words = vocabulary(docs)
-    return score(docs, words, trained(docs, words, stride))
+    return with_shares(scored(docs, words, trained(docs, words, stride)))

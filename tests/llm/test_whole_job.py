@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
+import zlib
+from collections import Counter
 
 from helpers import LOWER, WORDS, documents
 
@@ -76,3 +79,25 @@ def test_every_token_is_trained_on(spark, monkeypatch):
     assert seen == [1]
     assert got[0]["log_prob"] > got[-1]["log_prob"] + 1
     assert got[0]["log_prob"] > -2.5  # both words are learned
+
+
+def test_rare_words_get_their_share_of_a_bucket(spark, monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(masked_lm, "vocabulary", lambda docs: {"common": 0})
+    texts = ["common " + " ".join(rng.choices(["Often", "seldom", "Ünï", *(f"r{k}" for k in range(200))], [60, 9, 9, *[1] * 200], k=rng.randint(0, 30))) for _ in range(150)]
+    rows = [(None if i % 50 == 0 else i % 140, t, "en", "s") for i, t in enumerate(texts)] + [(900, None, "en", "s")]
+    docs = documents(spark, rows).coalesce(1)
+    words = masked_lm.vocabulary(docs)
+    model = masked_lm.start()
+    monkeypatch.setattr(masked_lm, "trained", lambda docs, words, stride: model)
+    counts = Counter(w for t in texts for w in t.lower().split() if w not in words)
+    bucket = lambda w: zlib.crc32(w.encode()) % masked_lm.CLASSES
+    totals = Counter()
+    for w, n in counts.items():
+        totals[bucket(w)] += n
+    share = lambda t: sum(math.log(counts[w] / totals[bucket(w)]) for w in (t or "").lower().split() if w in counts)
+    plain = masked_lm.score(docs, words, model).collect()
+    want = sorted((str(r["doc_id"]), r["n_tokens"], round(r["log_prob"] + share(t), 6)) for r, (_, t, *_) in zip(plain, rows, strict=True))
+    got = masked_lm.masked_lm(docs).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], round(r["log_prob"], 6)) for r in got) == want
+    assert {r["mean_log_prob"] for r in got if r["doc_id"] == 900} == {None}
