@@ -29,8 +29,12 @@ ARCHIVE_BYTES, RANGE_BYTES, READ_BYTES = 1 << 30, 16 << 20, 1 << 18
 FIRST_READ = 1 << 13
 #: What a record begins with: a gzip member of its own, or the version line.
 MAGIC = {True: b"\x1f\x8b\x08\x00", False: b"WARC/1."}
-#: Headers longer than this are no record's.
+#: Of a line of a record's headers so much is kept, which holds all fields that are read; lines may be of any length.
+LINE_BYTES = 1 << 12
+#: HTTP headers longer than this are no record's: they are written without urls.
 HEADER_BYTES = 1 << 20
+#: Fields of a record that are kept.
+KEPT = (b"warc-type", b"warc-record-id", b"warc-refers-to", b"warc-payload-digest", b"content-length")
 RECORD_SCHEMA = "archive string, range int, start long, next long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, held_digest string"
 FIXED_DATE = "2024-01-01T00:00:00Z"
 
@@ -130,29 +134,64 @@ class _Absent(bytes):
 
 
 _FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*(.*?)[ \t]*$", re.MULTILINE)
+_NAME = re.compile(rb"[A-Za-z-]+:")
 
 
 class Parser:
-    """Takes a record's bytes in pieces, keeps its headers and the payload's digest, and never the payload."""
+    """Takes a record's bytes in pieces, keeps the start of each header line it reads, and never the payload."""
 
     def __init__(self) -> None:
-        self.head, self.fields, self.left, self.http = b"", None, 0, b""
+        self.found: dict[bytes, bytes] = {}
+        self.line, self.line_size, self.lines, self.head_size = b"", 0, 0, 0
+        self.fields, self.left, self.http = None, 0, b""
         self.sha, self.payload, self.in_payload, self.tail, self.bad, self.total = hashlib.sha1(), 0, False, b"", False, 0
 
+    def head(self, data: bytes) -> bytes:
+        """Takes header lines; returns what follows the empty line that ends them."""
+        at = 0
+        while at < len(data):
+            end = data.find(b"\n", at)
+            stop = len(data) if end < 0 else end
+            self.line += data[at : min(stop, at + LINE_BYTES - len(self.line))]
+            self.line_size += stop - at
+            self.head_size += stop - at + (end >= 0)
+            at = stop + 1
+            if not self.lines:
+                self.bad = self.line_size > 16 or not b"WARC/1."[: len(self.line)] == self.line[:7]
+            elif self.line_size >= LINE_BYTES:
+                self.bad = not _NAME.match(self.line)
+            if self.bad:
+                return b""
+            if end < 0:
+                return b""
+            line, whole = self.line.removesuffix(b"\r"), self.line_size == len(self.line)
+            if self.lines and not line:
+                self.ended()
+                return data[at:]
+            if self.lines:
+                m = _FIELD.fullmatch(line)
+                name = m[1].lower() if m else b""
+                self.bad = not m or (name in KEPT and not whole)
+                if self.bad:
+                    return b""
+                if name in KEPT:
+                    self.found[name] = m[2]
+            self.line, self.line_size, self.lines = b"", 0, self.lines + 1
+        return b""
+
+    def ended(self) -> None:
+        length = self.found.get(b"content-length", b"")
+        if not length.isdigit() or b"warc-type" not in self.found:
+            self.bad = True
+            return
+        self.fields, self.left, self.size = self.found, int(length), self.head_size + int(length) + 4
+
     def feed(self, data: bytes) -> None:
         self.total += len(data)
         if self.fields is None:
-            self.head += data
-            end = self.head.find(b"\r\n\r\n")
-            if end < 0:
-                self.bad |= len(self.head) > HEADER_BYTES or not b"WARC/1."[: len(self.head)] == self.head[:7]
-                return
-            fields = {k.lower(): v for k, v in _FIELD.findall(self.head[:end].replace(b"\r\n", b"\n"))}
-            if not self.head.startswith(b"WARC/1.") or not fields.get(b"content-length", b"").isdigit() or b"warc-type" not in fields:
-                self.bad = True
+            data = self.head(data)
+            if self.fields is None:
                 return
-            self.fields, self.left, self.size = fields, int(fields[b"content-length"]), end + 4 + int(fields[b"content-length"]) + 4
-            data, self.head = self.head[end + 4 :], b""
         block, rest = data[: self.left], data[self.left :]
         self.left -= len(block)
         self.tail += rest
@@ -311,11 +350,15 @@ def round_trip(pages: DataFrame, least_bytes: int = 0, compress: bool = True, ra
     payloads the one with the largest page_id is the response; rows of a null page_id are revisits of it, or
     responses among themselves. Rows that repeat a page_id and its payload are written alike. Other columns are
     not read. An empty table gives no archives and no rows. The digest of a response is that of its bytes as read.
+    Urls may be of any length. It is an error if other than the written number of records is read.
     """
     folder = scratch_path(pages.sparkSession, "warc")
     archives = write(pages, folder, compress, least_bytes)
     drop_at_exit(pages.sparkSession, folder)
-    back = read(archives, range_bytes)
+    back = stored(read(archives, range_bytes), "records")
+    written, held = archives.agg(F.sum("records")).first()[0] or 0, back.count()
+    if written != held:
+        raise RuntimeError(f"{written} records were written, {held} were read back")
     return back.select("page_id", "payload_bytes", F.coalesce("held_digest", "payload_digest").alias("payload_digest"), "record_type", "refers_to")
 
 

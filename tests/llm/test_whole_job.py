@@ -7,9 +7,10 @@ import random
 import zlib
 from collections import Counter
 
+import pytest
 from helpers import LOWER, WORDS, documents
 
-from driftloom.llm import masked_lm, secrets
+from driftloom.llm import masked_lm, secrets, warc
 
 
 def grams(text: str, width: int) -> set[tuple]:
@@ -101,3 +102,30 @@ def test_rare_words_get_their_share_of_a_bucket(spark, monkeypatch):
     got = masked_lm.masked_lm(docs).collect()
     assert sorted((str(r["doc_id"]), r["n_tokens"], round(r["log_prob"], 6)) for r in got) == want
     assert {r["mean_log_prob"] for r in got if r["doc_id"] == 900} == {None}
+
+
+def test_warc_records_with_very_long_urls_come_back(spark):
+    rng = random.Random(2)
+    far = "http://a/" + "".join(rng.choices("abcdef /", k=2 << 20))
+    rows = [(1, "http://b/", "one"), (2, far, "two"), (3, "http://c/", "three"), (4, far, "three")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    for compress in (True, False):
+        got = warc.round_trip(pages, compress=compress).collect()
+        assert {(r["page_id"], r["payload_bytes"], r["record_type"]) for r in got} == {(1, 3, "response"), (2, 3, "response"), (3, 5, "revisit"), (4, 5, "response")}
+
+
+def test_warc_records_that_are_lost_are_an_error(spark, monkeypatch):
+    plain = warc.read
+    monkeypatch.setattr(warc, "read", lambda archives, range_bytes: plain(archives, range_bytes).where("page_id <> 2"))
+    with pytest.raises(RuntimeError, match="2 records were written, 1"):
+        warc.round_trip(spark.createDataFrame([(1, "u", "x"), (2, "v", "y")], "page_id long, url string, html string"))
+
+
+@pytest.mark.parametrize("step", [1, 7, 1 << 18])
+def test_warc_headers_are_taken_in_any_pieces(step):
+    data = warc.record_bytes(5, "http://x/" + "y" * 9000, b"<p>", "D" * 32, "response", None)
+    parser = warc.Parser()
+    for k in range(0, len(data), step):
+        parser.feed(data[k : k + step])
+    assert parser.whole and parser.size == len(data) and len(parser.line) <= warc.LINE_BYTES
+    assert parser.row()[:2] == (5, "response")
