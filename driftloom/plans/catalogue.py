@@ -152,7 +152,7 @@ def line_sequence_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def word_lcs_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "benchmark").select("item_id", F.split("text", " ").alias("a"), F.split(F.reverse("text"), " ").alias("b"))
-    return rows.select("item_id", sequence.lcs_length(F.slice("a", 1, 12), F.slice("b", 1, 12)).cast("long").alias("lcs"))
+    return rows.select("item_id", sequence.lcs_length(F.col("a"), F.col("b")).cast("long").alias("lcs"))
 
 
 @query(
