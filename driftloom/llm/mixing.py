@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, stored, text_of
+from .common import WORD_RE, packed, stored, text_of
 
 #: Hexadecimal digits of the draw: 52 bits, which a double holds without rounding.
 DRAW_DIGITS = 13
@@ -28,7 +28,8 @@ def draw(seed: str, doc_id: Column) -> Column:
 def source_targets(sized: DataFrame, max_repeats: int, cycle: int) -> DataFrame:
     """source, source_size, target: one row for each source, from (source, size).
 
-    The windows order the table of sources, which has a row for each source and no documents.
+    The windows order the table of sources in one task: it has a row for each source and no documents, and is meant
+    for up to some millions of them (a row takes under 100 bytes).
     """
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name, by_ratio = Window.orderBy(F.asc_nulls_last("source")), Window.orderBy("ratio", F.asc_nulls_last("source"))
@@ -44,16 +45,15 @@ def source_targets(sized: DataFrame, max_repeats: int, cycle: int) -> DataFrame:
     return per.select("source", "source_size", target.alias("target"))
 
 
-def with_copies(rows: DataFrame, size: str, seed: str, max_repeats: int, cycle: int) -> DataFrame:
-    """rows (doc_id, source, a size and others) with their source's size and target and their number of copies.
+def with_copies(rows: DataFrame, doc_id: Column, source: Column, seed: str, max_repeats: int, cycle: int) -> DataFrame:
+    """rows (with a size, and no columns named below) with their source's size and target and their number of copies.
 
     The table of sources is written first: its size is then known, and Spark broadcasts it only if it is small.
     """
-    per = stored(source_targets(rows.select("source", F.col(size).alias("size")), max_repeats, cycle), "sources")
-    per = per.select(*[F.col(c).alias(f"__{c}") for c in per.columns])
-    rate = F.when(F.col("__source_size") > 0, F.least(F.col("__target") / F.col("__source_size"), F.lit(float(max_repeats)))).otherwise(0.0)
-    out = rows.join(per, rows["source"].eqNullSafe(per["__source"])).withColumn("__rate", rate)
-    return out.withColumn("__copies", (F.floor("__rate") + (draw(seed, F.col("doc_id")) < F.col("__rate") - F.floor("__rate")).cast("long")).cast("long"))
+    per = stored(source_targets(rows.select(source.alias("source"), "size"), max_repeats, cycle), "sources").withColumnRenamed("source", "of_source")
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_repeats)))).otherwise(0.0)
+    out = rows.join(per, source.eqNullSafe(F.col("of_source"))).withColumn("rate", rate)
+    return out.withColumn("copies", (F.floor("rate") + (draw(seed, doc_id) < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
 
 
 def mix(docs: DataFrame, seed: str = "mix:", max_repeats: int = 3, cycle: int = 3) -> DataFrame:
@@ -64,14 +64,15 @@ def mix(docs: DataFrame, seed: str = "mix:", max_repeats: int = 3, cycle: int =
     have target 0. An empty table gives an empty result.
     """
     sized = docs.select("doc_id", "source", size_of(text_of()).alias("size"))
-    out = with_copies(sized, "size", seed, max_repeats, cycle)
-    return out.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"), (F.col("size") * F.col("__copies")).alias("taken"))
+    out = with_copies(sized, F.col("doc_id"), F.col("source"), seed, max_repeats, cycle)
+    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def emit(docs: DataFrame, seed: str = "mix:", max_repeats: int = 3, cycle: int = 3) -> DataFrame:
-    """The mix itself: every row as many times as it is taken, with docs' own columns."""
-    out = with_copies(docs.withColumn("__size", size_of(text_of())), "__size", seed, max_repeats, cycle).where("__copies > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    """The mix itself: every row as many times as it is taken, with docs' own columns, whatever their names."""
+    sized = packed(docs).withColumn("size", size_of(F.coalesce("row.text", F.lit(""))))
+    out = with_copies(sized, F.col("row.doc_id"), F.col("row.source"), seed, max_repeats, cycle).where("copies > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 SQL = """

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD_RE, let, stored, text_of
+from .common import SPACES, WORD_RE, let, packed, passing, stored, text_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -58,9 +58,8 @@ def repeat_words(words: Column) -> Column:
     return let(words, count)
 
 
-def with_counts(docs: DataFrame) -> DataFrame:
-    """docs with a struct ``__q`` of the five counts; a null text has no words."""
-    text = text_of()
+def counts_of(text: Column) -> Column:
+    """A struct of the five counts of a text that is not null."""
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(without(x, SPACES)) > 0)
     words = F.regexp_extract_all(text, F.lit(WORD_RE), F.lit(0))
     counts = [
@@ -68,7 +67,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
         (F.length(text) - F.length(without(text, SYMBOLS))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     ]
-    return docs.withColumn("__q", let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), *counts, repeat_words(w).alias("n_repeat_words"))))
+    return let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), *counts, repeat_words(w).alias("n_repeat_words")))
 
 
 def failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -77,7 +76,7 @@ def failed(n_words: Column, n_repeat_words: Column) -> Column:
 
 def rule_counts(docs: DataFrame) -> DataFrame:
     """doc_id, source, the five counts and base_failed."""
-    out = with_counts(docs.select("doc_id", "source", "text")).select("doc_id", "source", *[F.col(f"__q.{c}").alias(c) for c in COUNTS])
+    out = docs.select("doc_id", "source", counts_of(text_of()).alias("q")).select("doc_id", "source", *[F.col(f"q.{c}").alias(c) for c in COUNTS])
     return out.withColumn("base_failed", failed(F.col("n_words"), F.col("n_repeat_words")))
 
 
@@ -110,12 +109,16 @@ def quality(docs: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
 
 
 def keep(docs: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
-    """The rows of docs that pass their own rules and whose host passes, with docs' own columns."""
-    judged = with_counts(docs).withColumn("__failed", failed(F.col("__q.n_words"), F.col("__q.n_repeat_words"))).drop("__q")
-    judged = stored(judged, "judged")
-    hosts = stored(host_rates(judged.select("source", F.col("__failed").alias("base_failed")), "source"), "hosts")
-    hosts = hosts.where(F.col("host_rate") <= host_rate).select(F.col("of_host").alias("__host"))
-    return judged.where(~F.col("__failed")).join(hosts, F.col("source").eqNullSafe(F.col("__host")), "left_semi").select(*docs.columns)
+    """The rows of docs that pass their own rules and whose host passes, with docs' own columns, whatever their names.
+
+    Texts are written once, with their verdicts: counting them again would cost more than reading them does.
+    """
+    rows = packed(docs).withColumn("q", counts_of(F.coalesce("row.text", F.lit(""))))
+    with passing(docs.sparkSession) as kept:
+        judged = kept(stored(rows.select("row", failed(F.col("q.n_words"), F.col("q.n_repeat_words")).alias("failed")), "judged"))
+        hosts = kept(stored(host_rates(judged.select("row.source", F.col("failed").alias("base_failed")), "source"), "hosts"))
+    hosts = hosts.where(F.col("host_rate") <= host_rate).select("of_host")
+    return judged.where("NOT failed").join(hosts, F.col("row.source").eqNullSafe(F.col("of_host")), "left_semi").select("row.*")
 
 
 SQL = r"""
