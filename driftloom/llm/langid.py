@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import dealt, text_of
 
 DIMENSIONS, SEED = 1024, 20_240_501
-#: Letter triples whose vectors a worker keeps, and texts that are multiplied together.
-CACHE_GRAMS, GROUP = 16_384, 128
+#: Letter triples whose vectors a worker keeps, texts that are multiplied together, and triples that are at once.
+CACHE_GRAMS, GROUP, SLICE = 16_384, 128, 4_096
 UNKNOWN = "und"
 _STATE: dict = {}
 
@@ -70,14 +70,17 @@ def grams_of(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_vectors(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """A row for each text: the sum of its triples' vectors."""
-    grams = np.unique(np.concatenate([g for g, _ in found]))
-    counts = np.zeros((len(found), len(grams)), np.float32)
-    for i, (g, n) in enumerate(found):
-        counts[i, np.searchsorted(grams, g)] = n
+    """A row for each text: the sum of its triples' vectors. Counts are laid out for a slice of the triples at a time."""
+    grams, number = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+    owner = np.repeat(np.arange(len(found)), [len(g) for g, _ in found])
+    order = np.argsort(number, kind="stable")
+    number, owner, times = number[order], owner[order], np.concatenate([n for _, n in found])[order]
     out = np.zeros((len(found), DIMENSIONS), np.float32)
-    for k in range(0, len(grams), CACHE_GRAMS // 4):
-        out += counts[:, k : k + CACHE_GRAMS // 4] @ gram_vectors(grams[k : k + CACHE_GRAMS // 4])
+    for k in range(0, len(grams), SLICE):
+        own = slice(*np.searchsorted(number, (k, k + SLICE)))
+        counts = np.zeros((len(found), min(SLICE, len(grams) - k)), np.float32)
+        counts[owner[own], number[own] - k] = times[own]
+        out += counts @ gram_vectors(grams[k : k + SLICE])
     return out
 
 
@@ -96,12 +99,12 @@ def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
             for lang, own in counts.items():
                 grams, n = np.fromiter(own, np.int64, len(own)), np.fromiter(own.values(), np.float64, len(own))
                 total = totals.setdefault(lang, np.zeros(DIMENSIONS))
-                for k in range(0, len(grams), CACHE_GRAMS // 4):
-                    total += n[k : k + CACHE_GRAMS // 4] @ gram_vectors(grams[k : k + CACHE_GRAMS // 4])
+                for k in range(0, len(grams), SLICE):
+                    total += n[k : k + SLICE] @ gram_vectors(grams[k : k + SLICE])
         for lang, total in totals.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS), pa.array(range(DIMENSIONS), pa.int32()), pa.array(total.astype(np.int64))], names=["lang", "dim", "value"])
 
-    rows = docs.select("text", "lang").mapInArrow(run, "lang string, dim int, value long")
+    rows = dealt(docs.select("text", "lang")).mapInArrow(run, "lang string, dim int, value long")
     summed = rows.groupBy("lang", "dim").agg(F.sum("value").alias("value"))
     out: dict[str, np.ndarray] = {}
     for r in summed.collect():  # languages times dimensions
@@ -135,7 +138,7 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
                 scores += score.tolist()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", held_out_of().alias("held_out"), text_of().alias("text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return dealt(docs.select("doc_id", held_out_of().alias("held_out"), text_of().alias("text"))).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame) -> DataFrame:
