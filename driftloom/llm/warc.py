@@ -25,6 +25,8 @@ from .common import drop_at_exit, scratch_path, stored
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Bytes after which a task begins another archive, of a range that a task reads, and of a single read.
 ARCHIVE_BYTES, RANGE_BYTES, READ_BYTES = 1 << 30, 16 << 20, 1 << 18
+#: Tasks that ranges are dealt to at most.
+MOST_PARTS = 100_000
 #: Bytes of a record that are read first: most records end within them.
 FIRST_READ = 1 << 13
 #: What a record begins with: a gzip member of its own, or the version line.
@@ -281,7 +283,9 @@ def chain(starts: list[int], following: dict[int, int], at: int, end: int) -> li
 def scan(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """All candidates of all ranges, as RECORD_SCHEMA; archives: (archive, bytes)."""
     ranges = archives.where("bytes > 0").select("archive", "bytes", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("bytes") / range_bytes) - 1).cast("int"))).alias("range"))
-    dealt = ranges.repartition(F.col("archive"), F.col("range"))
+    # a stated number of parts, which adaptive execution leaves as they are: rows are few, the work behind each is not
+    number = archives.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 1
+    dealt = ranges.repartition(max(1, min(int(number), MOST_PARTS)), F.col("archive"), F.col("range"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
