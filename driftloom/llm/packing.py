@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import dealt, stored, text_of
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
 #: Pieces that one group of equal length and salt holds on average; bounds the rows that a task must order.
 GROUP_ROWS = 5_000
-#: Entries of each of a worker's caches from words to ids.
-CACHE_WORDS = 200_000
+#: Entries of each of a worker's caches from words to ids, and the longest word in them.
+CACHE_WORDS, CACHE_CHARACTERS = 400_000, 48
 _ENCODERS: dict[str, WordEncoder] = {}
 #: White space other than blanks and line ends, in any library's view, and control characters near it.
 _UNUSUAL = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
@@ -49,7 +49,7 @@ class Known(dict):
 
     def __missing__(self, word: str) -> bytes:
         ids = self.encode(word)
-        if len(self) < CACHE_WORDS:
+        if len(self) < CACHE_WORDS and len(word) <= CACHE_CHARACTERS:
             self[word] = ids
         return ids
 
@@ -85,8 +85,12 @@ class WordEncoder:
     def word(self, word: str, blank: str) -> bytes:
         """Ids of blank and word, which holds no white space."""
         if word.isalpha():
-            mapped = (blank + word).encode().decode("latin-1").translate(self.letters)
-            return b"".join([self.bytes_of[t.id] for t in self.piece(mapped)])
+            if word.isascii():
+                mapped = self.letters[32] + word if blank else word
+            else:
+                mapped = (blank + word).encode().decode("latin-1").translate(self.letters)
+            found = self.piece(mapped)
+            return self.bytes_of[found[0].id] if len(found) == 1 else b"".join([self.bytes_of[t.id] for t in found])
         tail = _TAIL.search(word)
         if tail and (core := word[: tail.start()]).isalpha():
             return (self.inside if blank else self.leading)[core] + self.tails[tail[0]]
@@ -131,7 +135,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
             columns = zip(*rows, strict=True) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, PIECE_SCHEMA)
+    return dealt(docs.select("doc_id", text_of().alias("text"))).mapInArrow(run, PIECE_SCHEMA)
 
 
 class Counts:
