@@ -1,11 +1,12 @@
 """Exact top-k search by aggregation without random access, over blocks of candidates.
 
-Each component of the candidates of a block is a list sorted by value. Lists are read from the end that a
-query's own component favours, all to the same depth. What has been read gives each candidate a lower and an
-upper bound of its score: a component that has not been read is at least the list's least value and at most
-the last value read. Reading stops once few candidates, in sight or not, have an upper bound that reaches the
-k-th best lower bound; these survivors' scores are then resolved. Bounds of all queries of a block come from
-matrix products; scores are whole numbers, and doubles hold them exactly or integers are used.
+Each component of the candidates of a block is a list sorted by value, and their lengths are known. Lists are read
+from the end that a query's own component favours, those of heavy components further: a list whose share of the
+query's square is large enough is read whole, others in proportion to theirs. What has been read gives each
+candidate a lower and an upper bound of its score. The rest of its components lie between the list's last value and
+the last one read, and their product with the query's is at most that of what is left of both lengths. Candidates
+whose upper bound is below the k-th best lower bound cannot qualify. Reading goes on, for those in sight alone,
+until few are left; their scores are then resolved. Scores are whole numbers.
 """
 
 from __future__ import annotations
@@ -18,10 +19,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE = 256
-#: Rows of a block of candidates and of queries; queries whose bounds are held at once.
-CANDIDATES, QUERIES, AT_ONCE = 16_384, 2_048, 128
-#: Depths at which bounds are drawn up, as parts of the list, and the part of survivors that ends reading.
-DEPTHS, FEW = (0.25, 0.5), 0.05
+#: Rows of a block of candidates and of queries.
+CANDIDATES, QUERIES = 16_384, 16_384
+#: How far lists are read in each round, as multiples of a component's share of the query's square; the least part of a
+#: list that is read; and the part of candidates that ends reading.
+ROUNDS, LEAST, FEW = (1.0, 2.0, 4.0, 8.0), 1 / 16, 0.02
+#: Sums of products below this are exact in doubles; those beyond the second may wrap and are not bounded.
+EXACT, WRAPS = 2.0**52, 2.0**62
 RESULT = "query_id long, vec_id long, score long"
 
 
@@ -39,44 +43,70 @@ def one_each(ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ids[first], vectors[first]
 
 
-def survivors(q: np.ndarray, x: np.ndarray, lists: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
-    """For each query and candidate, whether its bounds allow a place among the k best. own: pairs to leave out."""
-    up, down, n = np.maximum(q, 0), np.minimum(q, 0), len(x)
-    alive = ~own
-    for part in DEPTHS:
-        depth = max(1, int(n * part))
-        high, low = lists[n - depth], lists[depth - 1]
-        upper = up @ np.maximum(x, high).T + down @ np.minimum(x, low).T
-        lower = up @ np.where(x >= high, x, lists[0]).T + down @ np.where(x <= low, x, lists[-1]).T
-        lower[own] = -np.inf
-        threshold = np.partition(lower, n - k, axis=1)[:, n - k, None]
-        alive &= upper >= threshold
-        if alive.mean() <= FEW:
-            break
-    return alive
-
-
-def search(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """The k best candidates of each query (all, if fewer): query ids, candidate ids, scores."""
-    reach = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
-    kind = np.float64 if reach < 2**52 else np.int64
-    q, x = q.astype(kind), x.astype(kind)
-    lists = np.sort(x, axis=0)
+class Lists:
+    """The sorted lists of a block's candidates, by component."""
+
+    def __init__(self, x: np.ndarray) -> None:
+        self.x = np.ascontiguousarray(x.T, dtype=np.float64)
+        self.n = len(x)
+        order = np.argsort(self.x, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(self.x, order, axis=1)
+        self.place = np.empty(order.shape, np.int32)
+        np.put_along_axis(self.place, order, np.arange(self.n, dtype=np.int32)[None, :].repeat(len(order), 0), axis=1)
+        self.squares = self.x * self.x
+        self.lengths = self.squares.sum(axis=0)
+
+    def bounds(self, q: np.ndarray, rows: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """(lower, upper) bounds of the scores of rows, after lists were read as far as reach says."""
+        weight = q * q
+        parts = np.clip(reach * weight / max(weight.mean(), 1e-300), LEAST, 1.0)
+        whole = (parts >= 1) & (q != 0)
+        seen = q[whole] @ self.x[np.ix_(whole, rows)]
+        left = self.lengths[rows] - self.squares[np.ix_(whole, rows)].sum(axis=0)
+        most, least, unread = np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(rows))
+        for i in np.flatnonzero((parts < 1) & (q != 0)):
+            depth = max(1, int(parts[i] * self.n))
+            read = self.place[i, rows] >= self.n - depth if q[i] > 0 else self.place[i, rows] < depth
+            last, worst = (self.sorted[i, self.n - depth], self.sorted[i, 0]) if q[i] > 0 else (self.sorted[i, depth - 1], self.sorted[i, -1])
+            seen += np.where(read, q[i] * self.x[i, rows], 0.0)
+            left -= np.where(read, self.squares[i, rows], 0.0)
+            unread += np.where(read, 0.0, weight[i])
+            most += np.where(read, 0.0, q[i] * last)
+            least += np.where(read, 0.0, q[i] * worst)
+        span = np.sqrt(unread * np.maximum(left, 0.0))
+        slack = 1e-9 * (np.sqrt(weight.sum() * self.lengths[rows])) + 1e-6  # what rounding may take
+        return seen + np.maximum(least, -span) - slack, seen + np.minimum(most, span) + slack
+
+    def survivors(self, q: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+        """Those of rows whose bounds allow a place among the k best."""
+        for reach in ROUNDS:
+            if len(rows) <= max(k, FEW * self.n):
+                break
+            lower, upper = self.bounds(q, rows, reach)
+            rows = rows[upper >= np.partition(lower, len(rows) - k)[len(rows) - k]]
+        return rows
+
+
+def search(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, resolved: list[int] | None = None) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """The k best candidates of each query (all, if fewer): query ids, candidate ids, scores.
+
+    resolved: takes how many scores were worked out for each query. Sums that may wrap are all resolved.
+    """
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
+    kind = np.float64 if most < EXACT else np.int64
+    exact_q, exact_x, lists = q.astype(kind), x.astype(kind), Lists(x) if most < WRAPS else None
+    every = np.arange(len(x))
     out: tuple[list, list, list] = ([], [], [])
-    for at in range(0, len(q), AT_ONCE):
-        part, names = q[at : at + AT_ONCE], query_ids[at : at + AT_ONCE]
-        own = names[:, None] == ids[None, :]
-        if kind is np.float64 and len(x) > 4 * k:
-            alive = survivors(part, x, lists, own, k)
-        else:
-            alive = ~own
-        for i, name in enumerate(names):
-            some = np.flatnonzero(alive[i])
-            scores = x[some] @ part[i]
-            best = np.lexsort((ids[some], -scores))[:k]
-            out[0].append(np.full(len(best), name))
-            out[1].append(ids[some][best])
-            out[2].append(scores[best].astype(np.int64))
+    for name, real, own in zip(query_ids, q.astype(np.float64), exact_q, strict=True):
+        rows = every[ids != name]
+        some = lists.survivors(real, rows, k) if lists else rows
+        if resolved is not None:
+            resolved.append(len(some))
+        scores = exact_x[some] @ own
+        best = np.lexsort((ids[some], -scores))[:k]
+        out[0].append(np.full(len(best), name))
+        out[1].append(ids[some][best])
+        out[2].append(scores[best].astype(np.int64))
     return out
 
 

@@ -48,13 +48,29 @@ def test_bounds_leave_out_no_winner():
     rng = np.random.default_rng(3)
     x = np.floor(rng.normal(size=(2000, 16)) * 100)
     q = x[:20] + np.floor(rng.normal(size=(20, 16)) * 5)
-    own = np.zeros((20, 2000), bool)
-    alive = topk.survivors(q, x, np.sort(x, axis=0), own, 5)
+    lists, alive = topk.Lists(x), np.zeros((20, 2000), bool)
+    for i in range(20):
+        alive[i, lists.survivors(q[i], np.arange(2000), 5)] = True
     for i, scores in enumerate(q @ x.T):
         assert alive[i][scores >= np.sort(scores)[-5]].all()
     assert alive.mean() < 0.6
 
 
+def test_bounds_hold_and_prune_vectors_without_near_neighbours():
+    rng = np.random.default_rng(5)
+    x = np.floor(rng.normal(size=(3000, 64)) * 40)
+    lists, rows, resolved = topk.Lists(x), np.arange(3000), []
+    for q in np.floor(rng.normal(size=(12, 64)) * 40):
+        scores = x @ q
+        for reach in topk.ROUNDS:
+            lower, upper = lists.bounds(q, rows, reach)
+            assert (lower <= scores).all() and (scores <= upper).all()
+        left = lists.survivors(q, rows, 5)
+        assert set(np.argsort(-scores, kind="stable")[:5]) <= set(left.tolist())
+        resolved.append(len(left) / len(x))
+    assert np.mean(resolved) < 0.2
+
+
 def plain_components(rows):
     sets = defaultdict(set)
     for i, t, *_ in rows:

@@ -71,6 +71,65 @@ def test_values_of_letters_or_digits_alone_are_costed():
     assert guessed("the password is wonderful") == []
 
 
+def test_a_secret_is_no_dictionary_for_another():
+    first, second = "Xkqjzvbnw8842Q", "Wmzrtplk9931Zc"
+    assert guessed(f"password is {first}") == [first]
+    assert guessed(f"password is {first} and login is {second}") == [first, second]
+    assert guessed(f"password is {first} , again Xkqjzvbnw") == [first]
+    assert guessed("password is kqzjxwvbnmtrplgh") == ["kqzjxwvbnmtrplgh"]
+    assert guessed("pwd is 839201847362519") == ["839201847362519"]
+
+
+def least_cost(value: str, ranks: dict[str, int]) -> float:
+    """The guess cost by enumeration: the least sum over all ways to cut value into parts that may stand alone."""
+    import math
+
+    def part(x: str) -> list[float]:
+        low, out = x.lower(), []
+        if len(x) == 1:
+            return [secrets.brute(x)]
+        for form, extra in ((low, 0.0), (low.translate(secrets.LEET), 0.3)):
+            if len(x) >= 3 and form in ranks:
+                out.append(math.log10(ranks[form] + 1) + extra + (0.3 if x != low else 0.0))
+        if len(x) >= 4 and secrets._DATE.fullmatch(x):
+            out.append(math.log10(365 * (100 if len(x) > 4 else 1)))
+        for unit in (1, 2, 3):
+            n = len(x) // unit
+            if x == x[:unit] * n and n > 1 and len(x) >= max(3, 2 * unit):
+                out.append(sum(map(secrets.brute, x[:unit])) + math.log10(n))
+        if len(x) >= 3 and all((a, b) in secrets._STEP for a, b in zip(low, low[1:], strict=False)):
+            out.append(math.log10(47 * 2 * len(x)))
+        return out
+
+    if not value:
+        return 0.0
+    return min((c + least_cost(value[k:], ranks) for k in range(1, len(value) + 1) for c in part(value[:k])), default=math.inf)
+
+
+def test_guess_costs_equal_an_enumeration_of_all_cuts():
+    rng, ranks = random.Random(11), {"pass": 1, "word": 5, "cat": 40, "dog": 7, "secret": 3}
+    bits = ["pass", "P4ss", "word", "cat", "d0g", "a", "7", "-", "qwe", "asd", "123", "aaa", "abab", "1999", "2001-12"]
+    for _ in range(400):
+        value = "".join(rng.choice(bits) for _ in range(rng.randint(1, 4)))[:11]
+        assert abs(secrets.guess_cost(value, ranks) - least_cost(value, ranks)) < 1e-9, value
+
+
+def test_words_of_all_documents_are_ranked_without_credentials(spark):
+    rows = [(i, "tarim velo " * 3 + f"kesto pwd: Xkqjzvbnw8842Q Xkqjzvbnw8842Q {i}", "en", "s") for i in range(5)] + [(9, None, None, None)]
+    ranks = secrets.corpus_ranks(documents(spark, rows))
+    assert ranks["tarim"] == 1 and ranks["velo"] == 2 and "kesto" in ranks and "pwd" in ranks and "xkqjzvbnw" not in ranks
+    assert [r["n_guess"] for r in secrets.secrets(documents(spark, rows)).orderBy("doc_id").collect()] == [1] * 5 + [0]
+    assert secrets.secrets(documents(spark, [])).count() == 0
+
+
+def test_long_values_cost_time_in_proportion():
+    import time
+
+    began = time.process_time()
+    assert len(guessed("password: !" + "k" * 400_000 + "x")) == 1
+    assert time.process_time() - began < 5
+
+
 def test_every_token_is_trained_on(spark, monkeypatch):
     seen = []
     plain = masked_lm.trained
