@@ -150,7 +150,7 @@ def frequent(counts: DataFrame, word: str, n: str, most: int) -> dict[str, int]:
     return {r[word]: r[n] for r in counts.where(step >= least).select(word, n).collect()}
 
 
-def word_counts(texts: Iterator[list[bytes]], most: int = 500_000) -> Iterator[pa.RecordBatch]:
+def word_counts(texts: Iterator[list], most: int = 500_000) -> Iterator[pa.RecordBatch]:
     """(word, n) batches from lists of words: counted in the task, and handed on whenever ``most`` words are held."""
     held: Counter = Counter()
 

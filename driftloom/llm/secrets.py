@@ -1,23 +1,26 @@
 """Secret scans: fixed patterns, and guess costs of values that stand in a credential's place.
 
 A value's guess cost is the least over all ways to cut it into words, dates, repeats, keyboard walks and
-brute-force characters; the sum of the parts' log10 guesses is minimised by dynamic programming. Values
-that are dear to guess are reported although no fixed pattern knows them. Values of letters alone are costed
-after a sign (``:``, ``=``), and left out after ``is``, ``was`` and ``bearer`` alone, where they are mostly prose.
+brute-force characters; the sum of the parts' log10 guesses is minimised by dynamic programming. Words are ranked
+as a guesser would try them: common ones of passwords, those of the text itself, and the words of all documents by
+their counts. No value in a credential's place, nor any repeat of it in its text, counts as a word. Values that are
+dear to guess are reported although no fixed pattern knows them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import dealt, frequent, text_of, word_counts
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -34,6 +37,12 @@ CONTEXT = re.compile(
 )
 #: log10 of the guesses from which a value counts as a secret.
 DEAR = 10.0
+#: The same for values of letters alone that no sign joins to the credential's name: after ``is`` mostly prose follows.
+DEAR_PROSE = 15.0
+#: Words of all documents that are ranked: bounds a broadcast of some MB.
+CORPUS_WORDS = 100_000
+#: No part of a value costs less, which is what the first word does: longer values are dear whatever they hold.
+CHEAPEST = math.log10(2)
 #: The longest word, date or walk that is tried.
 LONGEST = 24
 #: Common words of passwords, commonest first.
@@ -55,10 +64,11 @@ def brute(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isalpha() else math.log10(33)
 
 
-def guess_cost(value: str, ranks: dict[str, int]) -> float:
+def guess_cost(value: str, ranks: Ranks | dict[str, int]) -> float:
     """log10 of the guesses that value takes; ranks: of words, from 1. Time is the length times LONGEST."""
-    n, low = len(value), value.lower()
-    plain = low.translate(LEET) if len(low) == n else low
+    n = len(value)
+    low = "".join(x if len(x := c.lower()) == 1 else c for c in value)
+    plain = low.translate(LEET)
     best = [0.0] + [math.inf] * n
     for i in range(n):
         here = best[i]
@@ -70,14 +80,16 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
                 if (rank := ranks.get(form[i:j])) is not None:
                     cost = here + math.log10(rank + 1) + extra + (0.3 if value[i:j] != low[i:j] else 0.0)
                     best[j] = min(best[j], cost)
-        if (m := _DATE.match(value, i)) and m.end() - i >= 4:
-            best[m.end()] = min(best[m.end()], here + math.log10(365 * (100 if m.end() - i > 4 else 1)))
+        if value[i].isdigit():
+            for j in range(i + 4, min(n, i + 10) + 1):
+                if _DATE.fullmatch(value, i, j):
+                    best[j] = min(best[j], here + math.log10(365 * (100 if j - i > 4 else 1)))
         for unit in (1, 2, 3):  # repeats of a character, or of two or three
-            j = i + unit
+            j, one = i + unit, here + sum(map(brute, value[i : i + unit]))
             while value.startswith(value[i : i + unit], j) and j + unit <= n and j - i < LONGEST:
                 j += unit
-            if j - i >= max(3, 2 * unit):
-                best[j] = min(best[j], here + sum(map(brute, value[i : i + unit])) + math.log10((j - i) / unit))
+                if j - i >= max(3, 2 * unit):
+                    best[j] = min(best[j], one + math.log10((j - i) / unit))
         j = i + 1
         while j < n and j - i < LONGEST and (low[j - 1], low[j]) in _STEP:
             j += 1
@@ -86,18 +98,59 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
     return best[n]
 
 
-def ranks_of(text: str, values: frozenset[str] = frozenset()) -> dict[str, int]:
+class Ranks:
+    """The ranks of words, from 1, by what a guesser knows: first the text, then all documents."""
+
+    def __init__(self, own: dict[str, int], corpus: dict[str, int]) -> None:
+        self.own, self.corpus = own, corpus
+
+    def get(self, word: str) -> int | None:
+        own, far = self.own.get(word), self.corpus.get(word)
+        return far if own is None else own if far is None else min(own, far)
+
+
+def ranks_of(text: str, values: frozenset[str] = frozenset(), corpus: dict[str, int] | None = None, first: int = 0) -> Ranks:
     """Words of the text itself and common ones, ranked: what a guesser who knows the text would try first.
 
-    values, in lower case, are candidates: their own words do not count wherever the text has them.
+    values, in lower case, are candidates: they do not count wherever the text has them, nor do words that are parts
+    of them unless the text has those before its first candidate, which begins at ``first``.
     """
     ranks = {w: i + 1 for i, w in enumerate(COMMON)}
-    if values:
-        text = _without(text.lower(), values)
-    for w in _WORD.findall(text.lower()):
-        if w not in ranks:
-            ranks[w] = len(ranks) + 1
-    return ranks
+    parts = {w for v in values for w in _WORD.findall(v)}
+    pieces = (text[:first].lower(), text[first:].lower()) if values else ("", text.lower())
+    for k, piece in enumerate(pieces):
+        for w in _WORD.findall(_without(piece, values) if values and piece else piece):
+            if w not in ranks and not (k and w in parts):
+                ranks[w] = len(ranks) + 1
+    return Ranks(ranks, corpus or {})
+
+
+def candidates(text: str) -> list[tuple[int, int, str, bool]]:
+    """(start, end, value, whether it may be prose) of what stands in a credential's place."""
+    out = []
+    for m in CONTEXT.finditer(text):
+        start, value = m.start("value"), m["value"].rstrip(_ENDS)
+        if len(value) >= MIN_ASSIGN:
+            out.append((start, start + len(value), value, m["sign"] is None and value.isalpha()))
+    return out
+
+
+def corpus_ranks(docs: DataFrame, most: int = CORPUS_WORDS) -> dict[str, int]:
+    """The words that all documents have most often, ranked by count and then code point; without values in a credential's place."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
+        for batch in batches:
+            for text in batch.column(0):
+                text = text.as_py()
+                low = text.lower()
+                if any(x in low for x in CONTEXT_HINTS) and (values := frozenset(v.lower() for _, _, v, _ in candidates(text))):
+                    low = _without(low, values)
+                yield [w.encode("utf-8", "surrogatepass") for w in _WORD.findall(low)]
+
+    rows = dealt(docs.select(text_of().alias("text"))).mapInArrow(lambda batches: word_counts(words(batches)), "word binary, n long")
+    found = frequent(rows.groupBy("word").agg(F.sum("n").alias("n")), "word", "n", most)
+    order = sorted(found, key=lambda w: (-found[w], w))
+    return {bytes(w).decode("utf-8", "surrogatepass"): k + 1 for k, w in enumerate(order)}
 
 
 def _without(low: str, values: frozenset[str]) -> str:
@@ -116,7 +169,11 @@ def _without(low: str, values: frozenset[str]) -> str:
     return _RUN.sub(clean, low)
 
 
-def scan(text: str, dear: float = DEAR) -> list[tuple[int, int, int]]:
+def is_dear(value: str, ranks: Ranks, dear: float = DEAR) -> bool:
+    return len(value) / LONGEST * CHEAPEST >= dear or guess_cost(value, ranks) >= dear
+
+
+def scan(text: str, dear: float = DEAR, corpus: dict[str, int] | None = None) -> list[tuple[int, int, int]]:
     """(start, kind's index, end) of all spans by start, then kind."""
     low, found = text.lower(), []
     if any(x in low for x in ASSIGN_HINTS):
@@ -124,19 +181,15 @@ def scan(text: str, dear: float = DEAR) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    if any(x in low for x in CONTEXT_HINTS):
-        base, held, values = list(found), [], set()
-        for m in CONTEXT.finditer(text):
-            start, value = m.start("value"), m["value"].rstrip(_ENDS)
-            end = start + len(value)
-            if len(value) < MIN_ASSIGN or (value.isalpha() and m["sign"] is None):
-                continue
-            values.add(value.lower())
-            if not any(a <= start and end <= b for a, _, b in base):
-                held.append((start, end, value))
-        if held:
-            ranks = ranks_of(text, frozenset(values))
-            found += [(start, 3, end) for start, end, value in held if guess_cost(value, ranks) >= dear]
+    if any(x in low for x in CONTEXT_HINTS) and (held := candidates(text)):
+        found.sort()
+        starts, reach = [a for a, *_ in found], list(itertools.accumulate((b for *_, b in found), max))
+        values = frozenset(v.lower() for _, _, v, _ in held)
+        # values within a span of the fixed patterns are found already
+        free = [(a, b, v, p) for a, b, v, p in held if not (k := bisect_right(starts, a)) or reach[k - 1] < b]
+        if free:
+            ranks = ranks_of(text, values, corpus, held[0][0])
+            found += [(a, 3, b) for a, b, v, p in free if is_dear(v, ranks, max(dear, DEAR_PROSE) if p else dear)]
     return sorted(found)
 
 
@@ -144,19 +197,20 @@ def spans_text(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def secrets(docs: DataFrame, dear: float = DEAR) -> DataFrame:
+def secrets(docs: DataFrame, dear: float = DEAR, corpus_words: int = CORPUS_WORDS) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans of every row.
 
     A null text counts as empty: no spans, and the digest of the empty string. Rows of a null or repeated
     doc_id are scanned one by one. Other columns are not read. Offsets are code points, ends exclusive.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(corpus_ranks(docs, corpus_words))  # at most corpus_words words of 24 letters
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column(1):
-                spans = scan(text.as_py(), dear)
+                spans = scan(text.as_py(), dear, shared.value)
                 base = spans_text([x for x in spans if x[1] < 3])
                 rows.append((*[sum(k == kind for _, k, _ in spans) for kind in range(4)], hashlib.sha256(base.encode()).hexdigest(), spans_text(spans)))
             columns = list(zip(*rows, strict=True)) or [()] * 6
@@ -164,24 +218,25 @@ def secrets(docs: DataFrame, dear: float = DEAR) -> DataFrame:
             names = ["doc_id", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans"]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, schema)
+    return dealt(docs.select("doc_id", text_of().alias("text"))).mapInArrow(run, schema)
 
 
-def redacted(text: str, dear: float = DEAR) -> str:
+def redacted(text: str, dear: float = DEAR, corpus: dict[str, int] | None = None) -> str:
     """The text with each span replaced by its kind in brackets; spans that overlap become one."""
     out, at = [], 0
-    for start, kind, end in scan(text, dear):
+    for start, kind, end in scan(text, dear, corpus):
         if start >= at:
             out += [text[at:start], f"[{KINDS[kind]}]"]
         at = max(at, end)
     return "".join(out) + text[at:]
 
 
-def redact(docs: DataFrame, dear: float = DEAR) -> DataFrame:
+def redact(docs: DataFrame, dear: float = DEAR, corpus_words: int = CORPUS_WORDS) -> DataFrame:
     """docs with secrets in ``text`` replaced; all rows and columns stay, and a null text stays null."""
+    shared = docs.sparkSession.sparkContext.broadcast(corpus_ranks(docs, corpus_words))
 
     @F.pandas_udf("string")
     def clean(texts):  # noqa: ANN001, ANN202
-        return texts.map(lambda t: None if t is None else redacted(t, dear))
+        return texts.map(lambda t: None if t is None else redacted(t, dear, shared.value))
 
     return docs.withColumn("text", clean("text"))
