@@ -1,14 +1,17 @@
 """Masked pseudo-likelihood: a bidirectional window network scores each token from both sides.
 
 The network sees two tokens on either side of a masked one, each through an embedding of its own for that
-place, and predicts the masked token in two steps: its class, then its place in the class. A document's score is
-the sum over all its tokens of the log-probability given the rest.
-
-Words are counted over all documents; the most frequent ones are tokens, the rest fall into buckets by digest.
-The network scores a bucket; a word of a bucket gets its own share of it on top, by its count over all documents
-that are scored. Only as surroundings of other words are rare words known by their buckets alone.
-Tasks train copies of the network from one start on every token of all their documents, and the copies are
-averaged, weighted by tokens, in a tree of tasks, so that no task gathers more than FAN copies.
+place, and predicts the masked token in three steps of sixteen branches. A document's score is the sum over all its
+tokens of the log-probability given the rest.
+
+Words are counted over all documents. The most frequent ones are tokens; the rest fall into buckets by their ending,
+which says much about a word's language and kind, so that rare words too tell the network what to expect. A word of a
+bucket gets its own share of it on top: by its count if it is among the SHARED most frequent of them, else
+an equal part of what the others of its bucket have together.
+
+Tasks train copies of the network on every token of all their documents, and copies are averaged, weighted by tokens,
+in a tree of tasks. This is done in rounds: a document is learned from in one of them, by a hash of its id and text, and each round
+starts where the average of the one before ended.
 """
 
 from __future__ import annotations
@@ -18,28 +21,48 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, stored, text_of
+from .common import dealt, frequent, release, stored, text_of, word_counts
 
-CLASSES = 64
-VOCABULARY = CLASSES * CLASSES
-#: Ids of the last class are buckets for words that are not tokens; one more id stands for what lies beyond a text's ends.
+#: Branches of each of the three steps, and buckets of rare words.
+BRANCH, CLASSES = 16, 64
+VOCABULARY = BRANCH**3
+#: The last ids are buckets for words that are not tokens; one more id stands for what lies beyond a text's ends.
 RARE, OUTSIDE = VOCABULARY - CLASSES, VOCABULARY
 OFFSETS, WIDTH = (-2, -1, 1, 2), 32
-BATCH, RATE, SEED, FAN = 1024, 0.15, 11, 32
-#: Tokens that are scored at once.
-CHUNK = 8192
-SHAPES = {"e": (len(OFFSETS), VOCABULARY + 1, WIDTH), "b": (WIDTH,), "wc": (WIDTH, CLASSES), "bc": (CLASSES,), "wt": (CLASSES, WIDTH, CLASSES), "bt": (CLASSES, CLASSES)}
+#: Batches grow from the first to the second size, to one part in GROWTH of what a task has learned; copies that a task averages; rounds.
+BATCHES, GROWTH, RATE, SEED, FAN, ROUNDS = (256, 2048), 1024, 0.3, 11, 8, 3
+#: Tokens that are scored at once, rare words whose own share is known, and words that a worker remembers.
+CHUNK, SHARED, CACHE_WORDS, CACHE_BYTES = 8192, 100_000, 200_000, 64
+SHAPES = {
+    "e": (len(OFFSETS), VOCABULARY + 1, WIDTH), "b": (WIDTH,), "w0": (1, WIDTH, BRANCH), "b0": (1, BRANCH),
+    "w1": (BRANCH, WIDTH, BRANCH), "b1": (BRANCH, BRANCH), "w2": (BRANCH**2, WIDTH, BRANCH), "b2": (BRANCH**2, BRANCH),
+}
+
+
+def split(text: str) -> list[bytes]:
+    return text.lower().encode("utf-8", "surrogatepass").split()  # bytes.split knows ASCII white space alone
 
 
-def vocabulary(docs: DataFrame) -> dict[str, int]:
-    """The most frequent words of all documents, by falling count and then code points, to ids; at most RARE words."""
-    words = docs.select(F.explode(F.split(F.trim(F.translate(F.lower(text_of()), SPACES, " " * len(SPACES))), " +")).alias("word")).where("word <> ''")
-    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(RARE)
-    return {r["word"]: i for i, r in enumerate(top.collect())}
+def bucket_of(word: bytes) -> int:
+    """Of a word that is no token, by its last three bytes without points and commas."""
+    return zlib.crc32((word.rstrip(b".,;:!?)\"'") or word)[-3:]) % CLASSES
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """(word, n) over all documents, words as UTF-8."""
+    rows = dealt(docs.select(text_of().alias("text")))
+    lists = lambda batches: (split(t.as_py()) for b in batches for t in b.column(0))
+    return rows.mapInArrow(lambda batches: word_counts(lists(batches)), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(rows: DataFrame) -> dict[str, int]:
+    """The most frequent words, by falling count and then code points, to ids; at most RARE words. rows: documents, or (word, n)."""
+    found = frequent(rows if rows.columns == ["word", "n"] else stored(count_words(rows), "lm-words"), "word", "n", RARE)
+    order = sorted(found, key=lambda w: (-found[w], bytes(w)))
+    return {bytes(w).decode("utf-8", "surrogatepass"): i for i, w in enumerate(order)}
 
 
 class Ids(dict):
@@ -49,25 +72,49 @@ class Ids(dict):
         super().__init__((w.encode("utf-8", "surrogatepass"), i) for w, i in words.items())
 
     def __missing__(self, word: bytes) -> int:
-        own = RARE + zlib.crc32(word) % CLASSES
-        if len(self) < 200_000:
+        own = RARE + bucket_of(word)
+        if len(self) < CACHE_WORDS and len(word) <= CACHE_BYTES:
             self[word] = own
         return own
 
 
-class Names(dict):
-    """From words, as UTF-8, to 64-bit digests of which the low bits are the word's bucket; kept up to a bound."""
+class Shares:
+    """log of a rare word's part of its bucket: of known words their own, of others their bucket's equal part."""
 
-    def __missing__(self, word: bytes) -> int:
-        own = xxhash.xxh64_intdigest(word) & ~(CLASSES - 1) | zlib.crc32(word) % CLASSES
-        own -= (own >> 63) << 64
-        if len(self) < 200_000:
-            self[word] = own
-        return own
+    def __init__(self, known: dict[bytes, float], others: np.ndarray) -> None:
+        self.known, self.others = known, others
 
+    def total(self, words: list[bytes], tokens: np.ndarray) -> float:
+        rare = np.flatnonzero(tokens >= RARE)
+        if not len(rare):
+            return 0.0
+        rest = self.others[tokens[rare] - RARE].tolist()
+        known = self.known
+        return float(sum(known.get(words[k], r) for k, r in zip(rare.tolist(), rest, strict=True)))
 
-def split(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").split()  # bytes.split knows ASCII white space alone
+
+def shares(counts: DataFrame, words: dict[str, int]) -> Shares:
+    """From (word, n): nothing but SHARED words and CLASSES sums reach the driver."""
+    shared = counts.sparkSession.sparkContext.broadcast(frozenset(w.encode("utf-8", "surrogatepass") for w in words))  # at most RARE words
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [(w, n, bucket_of(w)) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w not in shared.value]
+            columns = list(zip(*own, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int64(), pa.int32()), strict=True)], names=["word", "n", "bucket"])
+
+    rows = stored(counts.mapInArrow(rare, "word binary, n long, bucket int"), "lm-rare")
+    mass, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in rows.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect():  # at most CLASSES rows
+        mass[r["bucket"]], kinds[r["bucket"]] = r["n"], r["k"]
+    top = {bytes(w): n for w, n in frequent(rows, "word", "n", SHARED).items()}
+    release(rows)
+    rest_mass, rest_kinds = mass.copy(), kinds.copy()
+    for w, n in top.items():
+        rest_mass[bucket_of(w)] -= n
+        rest_kinds[bucket_of(w)] -= 1
+    part = np.where(rest_kinds > 0, rest_mass / np.maximum(rest_kinds, 1), 1.0)
+    return Shares({w: float(np.log(n / mass[bucket_of(w)])) for w, n in top.items()}, np.log(part / np.maximum(mass, 1.0)))
 
 
 def ids_of(text: str, ids: Ids) -> np.ndarray:
@@ -75,12 +122,6 @@ def ids_of(text: str, ids: Ids) -> np.ndarray:
     return np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))
 
 
-def rare_of(words: list[bytes], tokens: np.ndarray, names: Names) -> tuple[np.ndarray, np.ndarray]:
-    """The digests of a text's distinct words that fall into buckets, and how often it has them."""
-    at = np.flatnonzero(tokens >= RARE).tolist()
-    return np.unique(np.fromiter((names[words[k]] for k in at), dtype=np.int64, count=len(at)), return_counts=True)
-
-
 def contexts(tokens: np.ndarray) -> np.ndarray:
     """(tokens, offsets): the ids around each token."""
     padded = np.concatenate([np.full(2, OUTSIDE), tokens, np.full(2, OUTSIDE)])
@@ -91,19 +132,37 @@ def contexts(tokens: np.ndarray) -> np.ndarray:
 def start() -> dict[str, np.ndarray]:
     rng = np.random.default_rng(SEED)
     out = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
-    for k in ("e", "wc", "wt"):
+    for k in ("e", "w0", "w1", "w2"):
         out[k] = (rng.standard_normal(SHAPES[k]) * 0.1).astype(np.float32)
     return out
 
 
 def hidden(model: dict[str, np.ndarray], around: np.ndarray) -> np.ndarray:
-    h = model["b"] + sum(model["e"][k, around[:, k]] for k in range(len(OFFSETS)))
-    return np.tanh(h)
+    h = model["e"][0, around[:, 0]]
+    for k in range(1, len(OFFSETS)):
+        h += model["e"][k, around[:, k]]
+    h += model["b"]
+    return np.tanh(h, out=h)
+
+
+def steps(tokens: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(step, node, branch) of sorted tokens: the node that each is in before the step, and the branch it takes."""
+    return [(s, tokens // BRANCH ** (3 - s), tokens // BRANCH ** (2 - s) % BRANCH) for s in range(3)]
 
 
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def by_node(nodes: np.ndarray) -> list[tuple[int, slice]]:
+    """Runs of equal nodes, which are in order."""
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(nodes)) + 1, [len(nodes)]]) if len(nodes) else np.zeros(1, int)
+    return [(int(nodes[a]), slice(a, b)) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+
+def logits(model: dict[str, np.ndarray], h: np.ndarray, step: int, parts: list[tuple[int, slice]]) -> np.ndarray:
+    z = np.empty((len(h), BRANCH), np.float32)
+    w, b = model[f"w{step}"], model[f"b{step}"]
+    for node, own in parts:
+        np.matmul(h[own], w[node], out=z[own])
+        z[own] += b[node]
+    return z
 
 
 def chosen(z: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -113,45 +172,42 @@ def chosen(z: np.ndarray, columns: np.ndarray) -> np.ndarray:
     return own - np.log(np.exp(z, out=z).sum(axis=1))
 
 
-def by_class(classes: np.ndarray) -> list[tuple[int, slice]]:
-    edges = np.searchsorted(classes, np.arange(CLASSES + 1))
-    return [(c, slice(edges[c], edges[c + 1])) for c in np.flatnonzero(np.diff(edges)).tolist()]
-
-
 def log_probabilities(model: dict[str, np.ndarray], tokens: np.ndarray, around: np.ndarray) -> np.ndarray:
-    """Of each token given its surroundings; tokens are taken by class, so that a class is one product."""
+    """Of each token given its surroundings; tokens are taken in order, so that a node of a step is one product."""
     order = np.argsort(tokens, kind="stable")
     out = np.empty(len(tokens), np.float32)
     t, h = tokens[order], hidden(model, around[order])
-    classes, places = np.divmod(t, CLASSES)
-    p = chosen(h @ model["wc"] + model["bc"], classes)
-    z = np.empty((len(t), CLASSES), np.float32)
-    for c, own in by_class(classes):
-        np.matmul(h[own], model["wt"][c], out=z[own])
-        z[own] += model["bt"][c]
-    out[order] = p + chosen(z, places)
+    out[order] = sum(chosen(logits(model, h, s, by_node(nodes)), branches) for s, nodes, branches in steps(t))
     return out
 
 
 class Trainer:
-    """Adagrad on mini-batches of tokens."""
+    """Adagrad on mini-batches of tokens, from a network and its sums of squares."""
 
-    def __init__(self) -> None:
-        self.model, self.sums, self.seen = start(), {k: np.full(s, 1e-3, np.float32) for k, s in SHAPES.items()}, 0
+    def __init__(self, model: dict[str, np.ndarray] | None = None, sums: dict[str, np.ndarray] | None = None) -> None:
+        self.model = model or start()
+        self.sums = sums or {k: np.full(s, 1e-3, np.float32) for k, s in SHAPES.items()}
+        self.seen, self.waiting = 0, 0
         self.kept: list[tuple[np.ndarray, np.ndarray]] = []
-        self.waiting = 0
+
+    @property
+    def batch(self) -> int:
+        return min(max(self.seen // GROWTH, BATCHES[0]), BATCHES[1])
 
     def add(self, tokens: np.ndarray, around: np.ndarray) -> None:
         self.kept.append((tokens, around))
         self.waiting += len(tokens)
-        if self.waiting >= BATCH:
+        if self.waiting >= self.batch:
             self.flush()
 
     def flush(self) -> None:
         if self.waiting:
             tokens, around = (np.concatenate(x) for x in zip(*self.kept, strict=True))
-            for k in range(0, len(tokens), BATCH):
-                self.step(tokens[k : k + BATCH], around[k : k + BATCH])
+            k = 0
+            while k < len(tokens):
+                n = self.batch
+                self.step(tokens[k : k + n], around[k : k + n])
+                k += n
             self.kept, self.waiting = [], 0
 
     def move(self, name: str, where, grad: np.ndarray) -> None:
@@ -160,34 +216,32 @@ class Trainer:
         self.model[name][where] -= RATE * grad / np.sqrt(sums[where])
 
     def step(self, tokens: np.ndarray, around: np.ndarray) -> None:
-        m, order = self.model, np.argsort(tokens, kind="stable")
-        tokens, around, n = tokens[order], around[order], len(tokens)
+        m, order, n = self.model, np.argsort(tokens, kind="stable"), len(tokens)
+        tokens, around = tokens[order], around[order]
         h, rows = hidden(m, around), np.arange(n)
-        classes, places = np.divmod(tokens, CLASSES)
-        gc = np.exp(log_softmax(h @ m["wc"] + m["bc"]))
-        gc[rows, classes] -= 1
-        gh = gc @ m["wc"].T
-        parts, z = by_class(classes), np.empty((n, CLASSES), np.float32)
-        for c, own in parts:
-            np.matmul(h[own], m["wt"][c], out=z[own])
-            z[own] += m["bt"][c]
-        g = np.exp(log_softmax(z))
-        g[rows, places] -= 1
-        gw, gb = np.zeros(SHAPES["wt"], np.float32), np.zeros(SHAPES["bt"], np.float32)
-        for c, own in parts:
-            gh[own] += g[own] @ m["wt"][c].T
-            np.matmul(h[own].T, g[own], out=gw[c])
-            gb[c] = g[own].sum(axis=0)
-        self.move("wt", ..., gw / n)
-        self.move("bt", ..., gb / n)
-        self.move("wc", ..., h.T @ gc / n)
-        self.move("bc", ..., gc.sum(axis=0) / n)
+        gh, moves = np.zeros_like(h), []
+        for s, nodes, branches in steps(tokens):
+            parts = by_node(nodes)
+            g = logits(m, h, s, parts)
+            g -= g.max(axis=1, keepdims=True)
+            np.exp(g, out=g)
+            g /= g.sum(axis=1, keepdims=True)
+            g[rows, branches] -= 1
+            w, at = m[f"w{s}"], np.array([node for node, _ in parts])
+            gw, gb = np.empty((len(parts), WIDTH, BRANCH), np.float32), np.add.reduceat(g, [own.start for _, own in parts], axis=0)
+            for k, (node, own) in enumerate(parts):
+                gh[own] += g[own] @ w[node].T
+                np.matmul(h[own].T, g[own], out=gw[k])
+            moves += [(f"w{s}", at, gw / n), (f"b{s}", at, gb / n)]
+        for name, at, grad in moves:
+            self.move(name, at, grad)
         gh *= (1 - h * h) / n
         self.move("b", ..., gh.sum(axis=0))
         for k in range(len(OFFSETS)):
             order = np.argsort(around[:, k], kind="stable")
-            ids, first = np.unique(around[order, k], return_index=True)
-            self.move("e", (k, ids), np.add.reduceat(gh[order], first, axis=0))
+            ids = around[order, k]
+            first = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1])
+            self.move("e", (k, ids[first]), np.add.reduceat(gh[order], first, axis=0))
         self.seen += n
 
 
@@ -205,26 +259,32 @@ def shaped(values: np.ndarray) -> dict[str, np.ndarray]:
 
 
 COPY_SCHEMA = "node long, weight long, total binary"
+_COPY_NAMES, _COPY_TYPES = ["node", "weight", "total"], (pa.int64(), pa.int64(), pa.binary())
 
 
-def trained(docs: DataFrame, words: dict[str, int], stride: int) -> dict[str, np.ndarray]:
-    """The average of the tasks' networks; the start itself where there is nothing to learn from."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)  # at most RARE words
+def _copy(node: int, weight: int, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((node, weight, total.astype(np.float32).tobytes()), _COPY_TYPES, strict=True)], names=_COPY_NAMES)
+
+
+def one_round(texts: DataFrame, words, held: np.ndarray, stride: int) -> np.ndarray:  # noqa: ANN001
+    """held (a network and its sums) after learning from texts; itself where there is nothing to learn from."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(held)  # of the network's size
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        trainer, ids = Trainer(), Ids(shared.value)
+        half = len(shared.value) // 2
+        trainer, ids = Trainer(shaped(shared.value[:half]), shaped(shared.value[half:])), Ids(words.value)
         for batch in batches:
             for text in batch.column(0):
                 tokens = ids_of(text.as_py(), ids)
-                some = np.arange(int(tokens[0]) % stride if len(tokens) > stride else 0, len(tokens), stride) if len(tokens) else tokens
-                if len(some):
+                some = slice(int(tokens[0]) % stride if len(tokens) > stride else 0, None, stride) if len(tokens) else slice(0, 0)
+                if len(tokens[some]):
                     trainer.add(tokens[some], contexts(tokens)[some])
         trainer.flush()
         if trainer.seen:
-            total = flat(trainer.model).astype(np.float64) * trainer.seen
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([trainer.seen], pa.int64()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["node", "weight", "total"])
+            yield _copy(TaskContext.get().partitionId(), trainer.seen, np.concatenate([flat(trainer.model), flat(trainer.sums)]).astype(np.float64) * trainer.seen)
 
     def add(key: tuple, copies: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, total = 0, None
@@ -232,36 +292,41 @@ def trained(docs: DataFrame, words: dict[str, int], stride: int) -> dict[str, np
             for w, x in zip(batch.column("weight").to_pylist(), batch.column("total"), strict=True):
                 own = np.frombuffer(x.as_buffer(), np.float32).astype(np.float64)
                 weight, total = weight + w, own if total is None else total + own
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([weight], pa.int64()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["node", "weight", "total"])
+        yield _copy(key[0].as_py(), weight, total)
 
-    texts = docs.select(text_of().alias("text")).where("text <> ''")
     parts = texts.rdd.getNumPartitions()
-    copies = stored(texts.mapInArrow(train, COPY_SCHEMA), "lm-copies")
+    kept = copies = stored(texts.mapInArrow(train, COPY_SCHEMA), "lm-copies")
     while parts > 1:
         parts = -(-parts // FAN)
         copies = copies.select((F.floor(F.col("node") / FAN)).cast("long").alias("node"), "weight", "total").groupBy("node").applyInArrow(add, COPY_SCHEMA)
     last = copies.collect()  # one row
+    release(kept)
     if not last:
-        return start()
-    return shaped(sum(np.frombuffer(r["total"], np.float32).astype(np.float64) for r in last) / sum(r["weight"] for r in last))
+        return held
+    return (sum(np.frombuffer(r["total"], np.float32).astype(np.float64) for r in last) / sum(r["weight"] for r in last)).astype(np.float32)
 
 
-SCORE_SCHEMA = "row long, doc_id long, n_tokens long, log_prob double, mean_log_prob double, words array<long>, times array<long>"
+def trained(docs: DataFrame, words: dict[str, int], stride: int) -> dict[str, np.ndarray]:
+    """The network after all rounds; the start itself where there is nothing to learn from."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)  # at most RARE words
+    turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)).alias("turn")  # copies of a text are spread over all rounds
+    texts = dealt(docs.select(text_of().alias("text"), turn).where("text <> ''"))
+    held = np.concatenate([flat(start()), flat(Trainer().sums)])
+    for k in range(ROUNDS):
+        held = one_round(texts.where(F.col("turn") == k).select("text"), shared, held, stride)
+    return shaped(held[: len(held) // 2])
 
 
-def scored(docs: DataFrame, words: dict[str, int], model: dict[str, np.ndarray]) -> DataFrame:
-    """SCORE_SCHEMA: scores with buckets in place of rare words, and each row's rare words. row: unique once stored."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, model))  # bounded by the vocabulary and the network
+SCORE_SCHEMA = "doc_id long, n_tokens long, log_prob double, mean_log_prob double"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        ids, names = Ids(shared.value[0]), Names()
-        network = shared.value[1]
-        row = TaskContext.get().partitionId() << 40
+def score(docs: DataFrame, words: dict[str, int], model: dict[str, np.ndarray], own: Shares | None = None) -> DataFrame:
+    """SCORE_SCHEMA of every row, with buckets in place of rare words unless their shares are given."""
+    shared = docs.sparkSession.sparkContext.broadcast((words, model, own))  # bounded by the vocabulary, the network and SHARED
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, network, parts = Ids(shared.value[0]), shared.value[1], shared.value[2]
         for batch in batches:
-            rare: list[np.ndarray] = []
-            times: list[np.ndarray] = []
             sizes, sums = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             held: list[tuple[int, np.ndarray, np.ndarray]] = []
             waiting = 0
@@ -271,17 +336,16 @@ def scored(docs: DataFrame, words: dict[str, int], model: dict[str, np.ndarray])
                     rows = np.concatenate([np.full(len(t), i) for i, t, _ in held])
                     tokens, around = np.concatenate([t for _, t, _ in held]), np.concatenate([a for *_, a in held])
                     for k in range(0, len(tokens), CHUNK):
-                        own = slice(k, k + CHUNK)
-                        sums += np.bincount(rows[own], log_probabilities(network, tokens[own], around[own]), minlength=len(sums))
+                        some = slice(k, k + CHUNK)
+                        sums += np.bincount(rows[some], log_probabilities(network, tokens[some], around[some]), minlength=len(sums))
                     held.clear()
 
             for i, text in enumerate(batch.column(1)):
-                own = split(text.as_py())
-                tokens = np.fromiter(map(ids.__getitem__, own), dtype=np.int64, count=len(own))
-                found = rare_of(own, tokens, names)
-                rare.append(found[0])
-                times.append(found[1])
+                found = split(text.as_py())
+                tokens = np.fromiter(map(ids.__getitem__, found), dtype=np.int64, count=len(found))
                 sizes[i] = len(tokens)
+                if parts:
+                    sums[i] += parts.total(found, tokens)
                 if len(tokens):
                     held.append((i, tokens, contexts(tokens)))
                     waiting += len(tokens)
@@ -290,36 +354,9 @@ def scored(docs: DataFrame, words: dict[str, int], model: dict[str, np.ndarray])
                     waiting = 0
             flush(held, sums)
             mean = pa.array(np.where(sizes > 0, sums / np.maximum(sizes, 1), np.nan), mask=sizes == 0)
-            ends = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *x]), pa.int64())) for x in (rare, times)]
-            rows = pa.array(np.arange(row, row + batch.num_rows), pa.int64())
-            row += batch.num_rows
-            yield pa.RecordBatch.from_arrays([rows, batch.column(0).cast(pa.int64()), pa.array(sizes), pa.array(sums), mean, *lists], names=[x.strip().split(" ")[0] for x in SCORE_SCHEMA.split(",")])
-
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, SCORE_SCHEMA)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes), pa.array(sums), mean], names=[x.strip().split(" ")[0] for x in SCORE_SCHEMA.split(",")])
 
-
-def score(docs: DataFrame, words: dict[str, int], model: dict[str, np.ndarray]) -> DataFrame:
-    """doc_id, n_tokens, log_prob, mean_log_prob, with buckets in place of rare words."""
-    return scored(docs, words, model).select("doc_id", "n_tokens", "log_prob", "mean_log_prob")
-
-
-def with_shares(rows: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, log_prob, mean_log_prob; each rare word's share of its bucket, over all rows, is multiplied in.
-
-    No table of words is gathered: a word's group holds it once for each document, and a word that is rarer than
-    RARE others has a small part of all tokens.
-    """
-    rows = stored(rows, "lm-scores")
-    held = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
-    bucket = F.col("word").bitwiseAND(F.lit(CLASSES - 1)).cast("int")
-    totals = {r["bucket"]: r["n"] for r in held.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).collect()}  # at most CLASSES rows
-    logs = F.array(*[F.lit(float(np.log(totals.get(k, 1)))) for k in range(CLASSES)])
-    shares = held.withColumn("c", F.sum("n").over(Window.partitionBy("word")))
-    shares = shares.groupBy("row").agg(F.sum(F.col("n") * (F.log(F.col("c")) - F.get(logs, bucket))).alias("share")).withColumnRenamed("row", "of")
-    total = F.col("log_prob") + F.coalesce("share", F.lit(0.0))
-    out = rows.join(shares, F.col("row") == F.col("of"), "left")
-    return out.select("doc_id", "n_tokens", total.alias("log_prob"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_prob"))
+    return dealt(docs.select("doc_id", text_of().alias("text"))).mapInArrow(run, SCORE_SCHEMA)
 
 
 def masked_lm(docs: DataFrame, stride: int = 1) -> DataFrame:
@@ -328,5 +365,8 @@ def masked_lm(docs: DataFrame, stride: int = 1) -> DataFrame:
     A null text counts as empty: no tokens, log_prob 0, mean null. Rows of a null or repeated doc_id are
     scored one by one. Other columns are not read. An empty table gives an empty result.
     """
-    words = vocabulary(docs)
-    return with_shares(scored(docs, words, trained(docs, words, stride)))
+    counts = stored(count_words(docs), "lm-words")
+    words = vocabulary(counts)
+    own = shares(counts, words)
+    release(counts)
+    return score(docs, words, trained(docs, words, stride), own)
