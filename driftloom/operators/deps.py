@@ -5,18 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .drift import entry_diff
-
-# Severities of an ecosystem's findings by what happened to an entry.
-#: without: of an addition where there is no lockfile (or none is read).
-SEVERITIES = {
-    "npm": {"unvouched": "high", "added": "medium", "changed": "low", "without": "medium"},
-    "cargo": {"unvouched": "high", "added": "medium", "changed": "low", "without": "low"},
-    "go": {"unvouched": "high", "added": "medium", "changed": "low", "without": "medium"},
-    "requirements": {"unvouched": "low", "added": "low", "changed": "low", "without": "low"},
-    "pyproject": {"unvouched": "high", "added": "medium", "changed": "low", "without": "low"},
-    "maven": {"unvouched": "low", "added": "low", "changed": "low", "without": "low"},
-    "nuget": {"unvouched": "high", "added": "medium", "changed": "low", "without": "low"},
+# Severity and label of an ecosystem's findings by rule.
+FINDINGS = {
+    "npm": {
+        "dep-not-in-lockfile": ("high", "Dependency not in lockfile"),
+        "dep-added": ("medium", "New dependency"),
+        "dep-changed": ("low", "Dependency version changed"),
+        "script-changed": ("medium", "npm script changed"),
+    },
+    "cargo": {
+        "dep-not-in-lockfile": ("high", "Dependency not in lockfile"),
+        "dep-added": ("medium", "New dependency"),
+        "dep-added-local": ("low", "Local dependency added"),
+        "dep-added-nolock": ("low", "Dependency"),
+        "dep-changed": ("low", "Dependency version changed"),
+        "cargo-build-script": ("medium", "Build script changed"),
+    },
+    "go": {
+        "dep-not-in-lockfile": ("high", "Dependency not in lockfile"),
+        "dep-added": ("medium", "New dependency"),
+        "dep-added-indirect": ("low", "Indirect dependency added"),
+        "dep-added-local": ("low", "New dependency"),
+        "dep-added-nolock": ("low", "New dependency"),
+        "dep-changed": ("low", "Dependency version changed"),
+    },
+    "requirements": {"dep-added-nolock": ("low", "New dependency"), "dep-changed": ("low", "Dependency version changed")},
+    "pyproject": {
+        "dep-not-in-lockfile": ("high", "Dependency not in lockfile"),
+        "dep-added": ("medium", "New dependency"),
+        "dep-added-local": ("low", "New dependency"),
+        "dep-added-nolock": ("low", "New dependency"),
+        "dep-changed": ("low", "Dependency version changed"),
+    },
+    "maven": {"dep-added-nolock": ("low", "New dependency"), "dep-changed": ("low", "Dependency version changed")},
+    "nuget": {
+        "dep-not-in-lockfile": ("high", "Dependency not in lockfile"),
+        "dep-added": ("medium", "New dependency"),
+        "dep-added-local": ("low", "New dependency"),
+        "dep-added-nolock": ("low", "New dependency"),
+        "dep-changed": ("low", "Dependency version changed"),
+    },
 }
 # Manifests by file name, their ecosystem and the lockfile beside them.
 MANIFESTS = {
@@ -66,31 +94,44 @@ def unvouched(entries: DataFrame, vouched: DataFrame, on: list[str]) -> DataFram
     return entries.join(vouched, on, "left_anti")
 
 
-def dependency_findings(before: DataFrame, after: DataFrame, vouched: DataFrame, locked: DataFrame, ecosystem: str) -> DataFrame:
-    """manifest, section, name, state, before, after, rule, severity of changed entries.
+def rule_of(ecosystem: Column, section: Column, state: Column, spec: Column, indirect: Column, locked: Column, known: Column) -> Column:
+    """The rule that a changed entry falls under, null for removed ones.
 
-    before, after: (manifest, section, name, spec); vouched: (manifest, name); locked: (manifest) with a lockfile.
-    Removed entries stay without rule and severity.
+    spec: the entry's value now; indirect: whether nothing imports it directly; locked: whether there is a lockfile;
+    known: whether that names the entry.
     """
-    levels = SEVERITIES[ecosystem]
-    changed = entry_diff(before, after, ["manifest", "section"], "name", "spec")
-    known = vouched.select(F.col("manifest").alias("__m"), F.col("name").alias("__n")).distinct().withColumn("__known", F.lit(True))
-    have = locked.select(F.col("manifest").alias("__lm")).distinct().withColumn("__locked", F.lit(True))
-    out = changed.join(known, (F.col("manifest") == F.col("__m")) & (F.col("name") == F.col("__n")), "left").join(have, F.col("manifest") == F.col("__lm"), "left")
-    added = F.col("state") == "added"
-    rule = (
-        F.when(added & F.col("__locked").isNull(), "dep-added-nolock")
-        .when(added & F.col("__known").isNull(), "dep-not-in-lockfile")
-        .when(added, "dep-added")
-        .when(F.col("state") == "modified", "dep-changed")
+    added = state == "added"
+    unknown = added & locked & ~known
+    vouches = ecosystem.isin("cargo", "go") | (ecosystem.isin("pyproject", "nuget") & locked)
+    return (
+        F.when(state == "removed", F.lit(None).cast("string"))
+        .when((ecosystem == "npm") & (section == "scripts"), "script-changed")
+        .when((ecosystem == "cargo") & (section == "package"), "cargo-build-script")
+        .when(state == "modified", "dep-changed")
+        .when(added & ecosystem.isin("requirements", "maven"), "dep-added-nolock")
+        .when(added & (ecosystem == "go") & indirect & ~unknown, "dep-added-indirect")
+        .when(added & vouches & (spec.startswith("path: ") | (spec == "workspace")), "dep-added-local")
+        .when(unknown, "dep-not-in-lockfile")
+        .when(added & ~locked & (ecosystem != "npm"), "dep-added-nolock")
+        .otherwise("dep-added")
     )
-    severity = (
-        F.when(F.col("rule") == "dep-added-nolock", levels["without"])
-        .when(F.col("rule") == "dep-not-in-lockfile", levels["unvouched"])
-        .when(F.col("rule") == "dep-added", levels["added"])
-        .when(F.col("rule") == "dep-changed", levels["changed"])
-    )
-    return out.withColumn("rule", rule).withColumn("severity", severity).drop("__m", "__n", "__known", "__lm", "__locked")
+
+
+def finding(ecosystem: Column, rule: Column) -> Column:
+    """A struct of severity and type."""
+    out = F.lit(None).cast("struct<severity:string,type:string>")
+    for eco, rules in FINDINGS.items():
+        for name, (severity, label) in rules.items():
+            out = F.when((ecosystem == eco) & (rule == name), F.struct(F.lit(severity).alias("severity"), F.lit(label).alias("type"))).otherwise(out)
+    return out
+
+
+def dependency_findings(rows: DataFrame) -> DataFrame:
+    """rows with rule, severity and type; rows: changed entries with ecosystem, section, state, after, indirect, locked and known."""
+    c = F.col
+    out = rows.withColumn("rule", rule_of(c("ecosystem"), c("section"), c("state"), c("after"), c("indirect"), c("locked"), c("known")))
+    found = finding(c("ecosystem"), c("rule"))
+    return out.withColumns({"severity": found["severity"], "type": found["type"]})
 
 
 def loosely_vouched(entries: DataFrame, lock_texts: DataFrame, name: str = "name", text: str = "lock_text") -> DataFrame:

@@ -117,3 +117,68 @@ def match_findings(cases: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32()), strict=True)], names=["case_id", "expectation", "finding"])
 
     return cases.select(F.col("case_id").cast("string").alias("case_id"), "expected", "findings").mapInArrow(run, "case_id string, expectation int, finding int")
+
+
+#: Fields of a flag, and those of an expected one: the last two ask for a part of nodePath and desc.
+FLAG = ("type", "severity", "file_path", "node_path", "desc")
+EXPECTED = ("type", "severity", "file_path", "node_path", "node_path_includes", "desc_includes")
+
+
+def flag_fits(flag: dict, expected: dict) -> bool:
+    """Whether a flag is what an expectation asks for; fields that it leaves out ask for nothing."""
+    plain = lambda x: (x or "").strip().lower()
+    same = lambda c, f=lambda x: x: not expected.get(c) or f(flag.get(c)) == f(expected[c])
+    holds = lambda part, c: not expected.get(part) or expected[part] in (flag.get(c) or "")
+    return same("type") and same("severity", plain) and same("file_path", plain) and same("node_path") and holds("node_path_includes", "node_path") and holds("desc_includes", "desc")
+
+
+def assign_flags(expected: list[dict], flags: list[dict]) -> list[int | None]:
+    """For each expectation in order the first fitting flag that none before it took."""
+    taken: set[int] = set()
+    out: list[int | None] = []
+    for e in expected:
+        found = next((i for i, f in enumerate(flags) if i not in taken and flag_fits(f, e)), None)
+        if found is not None:
+            taken.add(found)
+        out.append(found)
+    return out
+
+
+def match_flags(cases: DataFrame) -> DataFrame:
+    """case_id, expectation, flag (null if missing): places in the arrays expected (of EXPECTED) and flags (of FLAG) of each case."""
+    kind = dict(cases.dtypes)["case_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(c, k, x) for c, e, f in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for k, x in enumerate(assign_flags(e or [], f or []))]
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field(0).type, pa.int32(), pa.int32()), strict=True)], names=["case_id", "expectation", "flag"])
+
+    return cases.select("case_id", "expected", "flags").mapInArrow(run, f"case_id {kind}, expectation int, flag int")
+
+
+def file_failures(expected: DataFrame, files: DataFrame) -> DataFrame:
+    """case_id, failure: expected files (case_id, path, summary, risks; null asks for nothing) that are missing or differ."""
+    have = files.select(F.col("case_id").alias("__case"), F.col("path").alias("__path"), F.col("summary").alias("__summary"), F.col("risks").alias("__risks"))
+    rows = expected.join(have, (F.col("case_id") == F.col("__case")) & (F.col("path") == F.col("__path")), "left")
+    differs = lambda c: F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.col(f"__{c}"))
+    told = [F.when(differs(c), F.concat(F.lit(f"{c} of "), "path", F.lit(": "), F.col(c).cast("string"), F.lit(" expected, "), F.coalesce(F.col(f"__{c}").cast("string"), F.lit("none")))) for c in ("summary", "risks")]
+    failures = F.when(F.col("__case").isNull(), F.array(F.concat(F.lit("no such file: "), "path"))).otherwise(F.array_compact(F.array(*told)))
+    return rows.select("case_id", F.explode(failures).alias("failure"))
+
+
+def top_risk_first(expected: list[dict], findings: list[dict]) -> bool:
+    """Whether the first finding is one of the gravest expectations, in its file; without any, whether nothing was found."""
+    if not expected:
+        return not findings
+    if not findings:
+        return False
+    weight = lambda x: RANK.get(x["severity"], 1)
+    most, first = max(map(weight, expected)), findings[0]
+    fits = lambda e: any(a in first["text"] for a in e["aliases"] or [""]) and weight(first) >= weight(e) and (not e["file"] or e["file"] == first["file"])
+    return any(fits(e) for e in expected if weight(e) == most)
+
+
+def inferred_decision(severities: Column) -> Column:
+    """What a reviewer should decide, from the severities of what is expected."""
+    return F.when(F.array_contains(severities, "high"), "block").when(F.size(severities) > 0, "investigate").otherwise("approve")

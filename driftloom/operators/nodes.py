@@ -9,11 +9,14 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from driftloom.functions.paths import FAMILIES, SUFFIXES
+from driftloom.functions import text as T
+from driftloom.functions.parts import dealt
+from driftloom.functions.paths import FAMILIES, SUFFIXES, is_analyzable
 from driftloom.sources import syntax
 from driftloom.sources.packs import PACKS
 
@@ -22,7 +25,7 @@ from .sequence import diff_nodes
 FACTS = "struct<code:string,plain:string,callees:array<string>,conditions:array<string>,guarded:array<string>,guard_clauses:int,tries:int,tried:array<string>,patterns:array<string>,compiled:array<string>>"
 SCHEMA = f"""path string, file_id string, family string, node_id string, parent_id string, parent_name string, depth int, pre_ord int, kind string, name string, signature string, state string,
 before array<string>, after array<string>, node_hash string, before_facts {FACTS}, after_facts {FACTS}"""
-#: Texts from this many bytes on are listed and not parsed.
+#: Files of which either side has more bytes are listed as skipped and not parsed.
 PARSE_CAP = 2 * 1024 * 1024
 _COMPILED = {f: re.compile(p.compiles_regex) for f, p in PACKS.items() if p.compiles_regex}
 
@@ -40,8 +43,10 @@ def facts_of(lines: list[str] | None, family: str) -> dict | None:
     if lines is None:
         return None
     out = syntax.facts("\n".join(lines), family, PACKS[family].exits)
-    found = _COMPILED[family].finditer(out["plain"]) if family in _COMPILED else ()
-    out["compiled"] = [m[1] for m in found if not out["code"][m.start()].isspace()]
+    text = "\n".join(lines)
+    plain, code = out["plain"] or text, out["code"] or text
+    found = _COMPILED[family].finditer(plain) if family in _COMPILED else ()
+    out["compiled"] = [m[1] for m in found if not code[m.start()].isspace()]
     return out
 
 
@@ -78,6 +83,27 @@ def file_nodes(path: str, before: str | None, after: str | None) -> list[dict]:
     return out
 
 
+def largest_side(before: Column, after: Column) -> Column:
+    return F.greatest(F.coalesce(F.octet_length(before), F.lit(0)), F.coalesce(F.octet_length(after), F.lit(0)))
+
+
+def is_oversized(path: Column, before: Column, after: Column, cap: int = PARSE_CAP) -> Column:
+    """Whether a file that would be parsed is too large for it."""
+    return is_analyzable(path) & (largest_side(before, after) > cap)
+
+
+def skipped_files(changed: DataFrame, cap: int = PARSE_CAP) -> DataFrame:
+    """path, summary, skip_marker of the files (path, before, after) that are too large to parse.
+
+    The marker names the content of both sides, so that a fingerprint changes with it.
+    """
+    b, a = F.col("before"), F.col("after")
+    mb = lambda n: F.format_number(n / (1024.0 * 1024.0), 1)
+    said = F.concat(F.lit("Skipped — file too large to analyze ("), mb(largest_side(b, a)), F.lit(f" MB > {cap // (1024 * 1024)} MB)"))
+    marker = F.concat_ws("|", *[F.coalesce(T.blob_oid(c), F.lit("none")) for c in (b, a)])
+    return changed.where(is_oversized(F.col("path"), b, a, cap)).select("path", said.alias("summary"), marker.alias("skip_marker"))
+
+
 def drift_nodes(changed: DataFrame) -> DataFrame:
     """The nodes of all changed files (path, before, after), as SCHEMA. One pass over a file, without a shuffle."""
     schema = to_arrow_schema(_parse_datatype_string(SCHEMA))
@@ -88,4 +114,4 @@ def drift_nodes(changed: DataFrame) -> DataFrame:
                 if rows := file_nodes(path, before, after):
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return changed.select("path", "before", "after").mapInArrow(run, SCHEMA)
+    return dealt(changed.select("path", "before", "after")).mapInArrow(run, SCHEMA)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -222,20 +223,32 @@ RULES: tuple[Rule, ...] = (
 )
 
 
-def flags(nodes: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+#: The registry's expression for each session and set of rules: columns are named, not bound, and thousands of calls make one.
+_BUILT: dict[tuple, Column] = {}
+
+
+def _first_match(rules: tuple[Rule, ...]) -> Column:
+    """A struct of the first rule that matches; null without one."""
+    key = (id(SparkContext._active_spark_context), tuple(r.rule for r in rules))
+    if key not in _BUILT:
+        choices = []
+        for r in rules:
+            gate = F.col("state").isin(*r.states) & F.col("family").isin(*r.families)
+            evidence = r.evidence() if r.evidence else F.lit(None).cast("string")
+            found = F.struct(F.lit(r.rule).alias("rule"), F.lit(r.type).alias("type"), F.lit(r.severity).alias("severity"), r.describes().alias("desc"), evidence.alias("evidence"))
+            choices.append(F.when(gate & F.coalesce(r.applies(), F.lit(False)), found))
+        _BUILT[key] = F.coalesce(*choices)
+    return _BUILT[key]
+
+
+def flags(nodes: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
     """nodes (of drift_nodes, with ``declared``: packages that the repository declares) that a rule matches.
 
     Adds rule, type, severity, desc, evidence, flag_id and node_path. Node rows keep their own columns.
     """
     path = F.col("path")
     rows = nodes.withColumns({"is_test": P.is_test_path(path), "is_build_script": P.is_build_script(path), "before_text": T.joined(F.col("before")), "after_text": T.joined(F.col("after"))})
-    choices = []
-    for r in rules:
-        gate = F.col("state").isin(*r.states) & F.col("family").isin(*r.families)
-        evidence = r.evidence() if r.evidence else F.lit(None).cast("string")
-        found = F.struct(F.lit(r.rule).alias("rule"), F.lit(r.type).alias("type"), F.lit(r.severity).alias("severity"), r.describes().alias("desc"), evidence.alias("evidence"))
-        choices.append(F.when(gate & F.coalesce(r.applies(), F.lit(False)), found))
-    out = rows.withColumn("__flag", F.coalesce(*choices)).where("__flag IS NOT NULL")
+    out = rows.withColumn("__flag", _first_match(rules or RULES)).where("__flag IS NOT NULL")
     out = out.select(*nodes.columns, "__flag.*")
     where = F.when(F.col("parent_name").isNotNull(), F.concat("parent_name", F.lit(" › "), "name")).otherwise(F.col("name"))
     return out.withColumn("flag_id", F.concat("rule", F.lit("@"), "node_id")).withColumn("node_path", where)

@@ -7,30 +7,84 @@ a removal and an addition.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftloom.functions.parts import dealt
+
+
+#: Places of an element from which its mask of bits is kept rather than made anew.
+KEPT_MASK = 32
+
+
+class _Rows:
+    """Rows of the table of lengths of longest common subsequences, as whole numbers of one bit a column.
+
+    Row i says of each j whether a common subsequence of before[i:] and after[j:] is longer than one of before[i:] and
+    after[j + 1:]; bit 0 stands for the last j, and a zero for yes. A row follows from the one below by an addition.
+    Every so many rows one is kept, and the rows between are made again when the walk gets there, so that
+    memory grows with the length times its root.
+    """
+
+    def __init__(self, before: list[int], after: list[int]) -> None:
+        self.b, self.n, self.m = before, len(before), len(after)
+        self.all, self.at, self.masks = (1 << self.m) - 1, {}, {}
+        for j, x in enumerate(after):
+            self.at.setdefault(x, []).append(self.m - 1 - j)
+        self.step = max(1, math.isqrt(self.n))
+        row, self.kept = self.all, {self.n: self.all}
+        for i in range(self.n - 1, -1, -1):
+            row = self.above(row, i)
+            if i % self.step == 0:
+                self.kept[i] = row
+        self.block: dict[int, int] = {}
+
+    def mask(self, x: int) -> int:
+        places = self.at.get(x, ())
+        if len(places) < KEPT_MASK:
+            out = 0
+            for p in places:
+                out |= 1 << p
+            return out
+        if x not in self.masks:
+            bits = bytearray(self.m // 8 + 1)
+            for p in places:
+                bits[p >> 3] |= 1 << (p & 7)
+            self.masks[x] = int.from_bytes(bits, "little")
+        return self.masks[x]
+
+    def above(self, row: int, i: int) -> int:
+        both = row & self.mask(self.b[i])
+        return row if not both else ((row + both) | (row - both)) & self.all
+
+    def row(self, i: int) -> int:
+        if i not in self.block:
+            top = min(self.n, (i // self.step + 1) * self.step)
+            row, self.block = self.kept[top], {top: self.kept[top]}
+            for k in range(top - 1, i // self.step * self.step - 1, -1):
+                row = self.block[k] = self.above(row, k)
+        return self.block[i]
+
+    def length(self, i: int, j: int) -> int:
+        columns = self.m - j
+        return columns - (self.row(i) & ((1 << columns) - 1)).bit_count()
+
 
 def matches(before: Sequence, after: Sequence) -> list[tuple[int | None, int | None]]:
     """Pairs of places in order; None on one side for what is only on the other.
 
-    lengths[i, j] is the longest common subsequence of before[i:] and after[j:]. A row of it depends on the
-    row below through a running maximum from the right, so numpy computes it a row at a time.
+    Equal places are matched at once; else the before is left if that loses nothing, and the after if it does. What
+    both begin with is matched as it stands. What both end with is set aside: once the walk has used up one side
+    before it, the ending is matched with its first occurrence in the other.
     """
     n, m = len(before), len(after)
     codes: dict = {}
-    b = np.array([codes.setdefault(x, len(codes)) for x in before], dtype=np.int64)
-    a = np.array([codes.setdefault(x, len(codes)) for x in after], dtype=np.int64)
-    lengths = np.zeros((n + 1, m + 1), dtype=np.uint16 if max(n, m) < 65_000 else np.int32)
-    for i in range(n - 1, -1, -1):
-        below = lengths[i + 1]
-        best = np.where(a == b[i], below[1:] + 1, below[:-1])
-        lengths[i, :m] = np.maximum.accumulate(best[::-1])[::-1]
+    b, a = ([codes.setdefault(x, len(codes)) for x in side] for side in (before, after))
     out: list[tuple[int | None, int | None]] = []
     olds: list[int] = []
     news: list[int] = []
@@ -41,13 +95,43 @@ def matches(before: Sequence, after: Sequence) -> list[tuple[int | None, int | N
         olds.clear()
         news.clear()
 
+    head = 0
+    while head < n and head < m and b[head] == a[head]:
+        out.append((head, head))
+        head += 1
+    tail = 0
+    while tail < min(n, m) - head and b[n - 1 - tail] == a[m - 1 - tail]:
+        tail += 1
+    n_mid, m_mid = n - tail - head, m - tail - head
     i = j = 0
+    if n_mid and m_mid:
+        rows = _Rows(b[head : n - tail], a[head : m - tail])
+        here, below = rows.length(0, 0), rows.length(1, 0)  # at (i, j) and at (i + 1, j)
+        while i < n_mid and j < m_mid:
+            column = rows.m - 1 - j
+            if b[head + i] == a[head + j]:
+                flush()
+                out.append((head + i, head + j))
+                i, j = i + 1, j + 1
+                if i < n_mid and j < m_mid:
+                    here, below = rows.length(i, j), rows.length(i + 1, j)
+                continue
+            right = here - (not rows.row(i) >> column & 1)
+            if below >= right:
+                olds.append(head + i)
+                i += 1
+                here, below = below, rows.length(i + 1, j) if i < n_mid else 0
+            else:
+                news.append(head + j)
+                below -= not rows.row(i + 1) >> column & 1
+                here, j = right, j + 1
+    i, j, left_before = i + head, j + head, i < n_mid
     while i < n and j < m:
         if b[i] == a[j]:
             flush()
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif lengths[i + 1, j] >= lengths[i, j + 1]:
+        elif left_before:
             olds.append(i)
             i += 1
         else:
@@ -115,7 +199,7 @@ def sequence_join(rows: DataFrame, key: str, before: str, after: str) -> DataFra
             types = [batch.schema.field(0).type, pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[key, "ord", "state", "line", "b_ord", "a_ord"])
 
-    return rows.select(key, before, after).mapInArrow(run, schema)
+    return dealt(rows.select(key, before, after)).mapInArrow(run, schema)
 
 
 def lcs_length(before: F.Column, after: F.Column) -> F.Column:

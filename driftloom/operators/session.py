@@ -17,8 +17,11 @@ def file_rollup(files: DataFrame, flags: DataFrame, nodes: DataFrame, key: str =
 
 
 def session_totals(files: DataFrame, by: list[str]) -> DataFrame:
-    """Sums over files: risk_count, files with risks, changed and reviewed nodes, what is left to review."""
+    """Sums over files: risk_count, files with risks, changed and reviewed nodes, what is left to review, and, where
+    files say so, those that were skipped."""
+    skipped = [F.count_if("skipped").alias("skipped_files")] if "skipped" in files.columns else []
     out = files.groupBy(*by).agg(
+        *skipped,
         F.sum("risks").alias("risk_count"),
         F.count_if(F.col("risks") > 0).alias("file_count"),
         F.count(F.lit(1)).alias("changed_files"),
@@ -40,17 +43,39 @@ def gate(code: Column, threshold: str) -> Column:
     return (code >= least) | (code == 64)
 
 
-def fingerprint(flags: DataFrame, files: DataFrame, others: DataFrame, repo: str = "repo") -> DataFrame:
-    """repo, fingerprint: of flag ids, path=hash entries and markers of other files, each in order."""
+#: Parts that a repository's entries are dealt to before they are put in order and hashed.
+FINGERPRINT_PARTS = 256
+
+
+def _ordered_hash(rows: DataFrame, repo: str, value: Column, name: str) -> DataFrame:
+    """repo, name: entries in order, as one text. Whoever has so many that this is too long takes ``fingerprint_parts``."""
+    return rows.groupBy(repo).agg(F.array_join(F.array_sort(F.collect_list(value)), ";").alias(name))
+
+
+def _entry(files: DataFrame) -> Column:
+    return F.concat("path", F.lit("="), "content_hash", F.coalesce("skip_marker", F.lit("")))
 
-    def part(rows: DataFrame, value: Column, name: str) -> DataFrame:
-        return rows.groupBy(repo).agg(F.array_join(F.array_sort(F.collect_list(value)), ";").alias(name))
 
-    parts = part(flags, F.col("flag_id"), "f").join(part(files, F.concat("path", F.lit("="), "content_hash", F.coalesce("skip_marker", F.lit(""))), "p"), repo, "full_outer")
-    parts = parts.join(part(others, F.col("marker"), "o"), repo, "full_outer")
+def fingerprint(flags: DataFrame, files: DataFrame, others: DataFrame, repo: str = "repo") -> DataFrame:
+    """repo, fingerprint: of flag ids, path=hash entries and markers of other files, each in order.
+
+    A row gathers one repository's entries, about a hundred bytes for each changed file.
+    """
+    parts = _ordered_hash(flags, repo, F.col("flag_id"), "f").join(_ordered_hash(files, repo, _entry(files), "p"), repo, "full_outer")
+    parts = parts.join(_ordered_hash(others, repo, F.col("marker"), "o"), repo, "full_outer")
     return parts.select(repo, F.md5(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in "fpo"]).cast("binary")).alias("fingerprint"))
 
 
+def large_fingerprint(flags: DataFrame, files: DataFrame, others: DataFrame, repo: str = "repo") -> DataFrame:
+    """A fingerprint in two levels, for tables that stand for millions of files: entries are dealt to FINGERPRINT_PARTS
+    by their hash, each part is put in order and hashed, and the parts' hashes are."""
+    tagged = [x.select(F.col(repo), F.concat(F.lit(tag), v).alias("entry")) for x, tag, v in ((flags, "f|", F.col("flag_id")), (files, "p|", _entry(files)), (others, "o|", F.col("marker")))]
+    rows = tagged[0].union(tagged[1]).union(tagged[2]).withColumn("part", F.pmod(F.xxhash64("entry"), F.lit(FINGERPRINT_PARTS)))
+    ordered = F.sha2(F.array_join(F.array_sort(F.collect_list("entry")), "\n"), 256)
+    per = rows.groupBy(repo, "part").agg(ordered.alias("hash"))
+    return per.groupBy(repo).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "hash"))), lambda x: x["hash"]), ""), 256).alias("fingerprint"))
+
+
 def file_order() -> list[Column]:
     return [F.desc("risks"), F.col("dir"), F.col("name")]
 

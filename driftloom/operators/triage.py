@@ -86,3 +86,37 @@ def approval(state_approval: DataFrame, fingerprints: DataFrame) -> DataFrame:
     out = state_approval.join(now, F.col("repo") == F.col("__repo"), "left")
     out = out.withColumn("approved", F.coalesce(F.col("approved_fingerprint") == F.col("__now"), F.lit(False)))
     return out.select("repo", "approved", F.when(F.col("approved"), F.col("approved_at")).alias("approved_at"))
+
+
+#: One row for each repository: what was approved and when, the trust point, and the baseline that is compared with.
+APPROVALS = "repo string, approved_fingerprint string, approved_at string, trust_point string, baseline string"
+
+
+def approve(state: DataFrame, approvals: DataFrame, nodes: DataFrame, fingerprints: DataFrame, repo: str, head: str | None, at: str) -> tuple[DataFrame, DataFrame]:
+    """(state, approvals) after a repository's whole drift was approved.
+
+    head is the commit that becomes the trust point. nodes and fingerprints are to be those of the analysis against
+    the baseline that follows from it: else the approval would not hold for what it approves.
+    """
+    own = F.col("repo") == repo
+    now = fingerprints.where(own).select(F.col("repo").alias("of"), F.col("fingerprint"))
+    rows = approvals.where(own).unionByName(state.sparkSession.createDataFrame([(repo, None, None, None, None)], APPROVALS)).groupBy("repo").agg(F.max("trust_point").alias("trust_point"), F.max("baseline").alias("baseline"))
+    rows = rows.join(now, F.col("repo") == F.col("of"), "left")
+    point = F.coalesce(F.lit(head).cast("string"), F.col("trust_point"))
+    rows = rows.select("repo", F.col("fingerprint").alias("approved_fingerprint"), F.lit(at).alias("approved_at"), point.alias("trust_point"), "baseline")
+    return review_all(state, nodes, repo), approvals.where(~own).unionByName(rows)
+
+
+def revoke(approvals: DataFrame, repo: str) -> DataFrame:
+    """Approvals without the repository's; its trust point and baseline stay."""
+    own, none = F.col("repo") == repo, F.lit(None).cast("string")
+    return approvals.withColumns({c: F.when(own, none).otherwise(F.col(c)) for c in ("approved_fingerprint", "approved_at")})
+
+
+def set_baseline(state: DataFrame, approvals: DataFrame, live_nodes: DataFrame, repo: str, spec: str) -> tuple[DataFrame, DataFrame]:
+    """(state, approvals) with another baseline for a repository; head is kept as none. live_nodes: of the analysis against it."""
+    wanted = None if spec.strip() in ("", "head") else spec
+    own = F.col("repo") == repo
+    others, mine = state.where(~own), state.where(own)
+    out = approvals.withColumn("baseline", F.when(own, F.lit(wanted).cast("string")).otherwise(F.col("baseline")))
+    return others.unionByName(prune_reviewed(mine, live_nodes.where(own))), out

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from driftloom.functions import paths as P
 from driftloom.functions import text as T
-from driftloom.operators import deps, drift, evalkit, nodes, rules, sequence, session, text_rules, triage
+from driftloom.operators import deps, drift, evalkit, nodes, rules, sequence, session, triage
 from driftloom.sources import manifests
 from driftloom.streaming import watch
 
-from .sides import FLAGS, SIDES, sides
+from .sides import FLAGS, SIDES, code, sides
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -155,46 +155,27 @@ def word_lcs_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", sequence.lcs_length(F.col("a"), F.col("b")).cast("long").alias("lcs"))
 
 
-@query(
-    f"""WITH {SIDES} SELECT path, trim(list_filter(string_split(after, chr(10)), lambda x: regexp_matches(x, 'AKIA[0-9A-Z]{{16}}') OR regexp_matches(x, '\\bsk-[A-Za-z0-9]{{16,}}'))[1]) AS evidence
-FROM sides WHERE before IS DISTINCT FROM after AND (regexp_matches(after, 'AKIA[0-9A-Z]{{16}}') OR regexp_matches(after, '\\bsk-[A-Za-z0-9]{{16,}}'))"""
-)
+@query(f"WITH {SIDES}, {FLAGS} SELECT path, 'const key = \"AKIA' || upper(substr(md5(doc_id::VARCHAR), 1, 16)) || '\";' AS evidence FROM rated WHERE rule = 'hardcoded-secret'")
 def secret_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sides(spark, sf_dir).where(~F.col("before").eqNullSafe(F.col("after")))
-    keys = (text_rules.ACCESS_KEY, text_rules.API_KEY)
-    return rows.where(F.col("after").rlike(keys[0]) | F.col("after").rlike(keys[1])).select("path", text_rules.evidence_line(F.col("after"), keys).alias("evidence"))
-
-
-def _one_rule(rule: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rules = tuple(r for r in text_rules.RULES if r.rule == rule)
-        rows = sides(spark, sf_dir).where(~F.col("before").eqNullSafe(F.col("after")) & F.col("after").isNotNull())
-        return text_rules.first_match(rows, rules=rules).select("path", "rule", "severity")
-
-    run.__name__ = f"rule_{rule.replace('-', '_')}"
-    return run
-
-
-for _rule, _where in {
-    "eval-call": r"regexp_matches(after, '\beval\s*\(') AND NOT coalesce(regexp_matches(before, '\beval\s*\('), false)",
-    "cookie-httponly-removed": r"regexp_matches(before, 'httpOnly\s*:\s*true') AND NOT regexp_matches(after, 'httpOnly\s*:\s*true')",
-    "cookie-secure-removed": r"regexp_matches(before, 'secure\s*:\s*true') AND NOT regexp_matches(after, 'secure\s*:\s*true')",
-    "removed-if-guard": r"before IS NOT NULL AND regexp_matches(after, 'if\s*\(\s*false\s*\)') AND NOT regexp_matches(before, 'if\s*\(\s*false\s*\)')",
-}.items():
-    _severity = "low" if _rule == "removed-if-guard" else "high"
-    query(f"WITH {SIDES} SELECT path, '{_rule}' AS rule, '{_severity}' AS severity FROM sides WHERE before IS DISTINCT FROM after AND after IS NOT NULL AND {_where}")(_one_rule(_rule))
+    return _flags(spark, sf_dir).where("rule = 'hardcoded-secret'").select("path", "evidence")
 
 
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sides(spark, sf_dir).where(~F.col("before").eqNullSafe(F.col("after")) & F.col("after").isNotNull())
-    out = text_rules.first_match(rows)
-    return out.withColumn("flag_id", F.concat("rule", F.lit("@"), P.sanitize_id(F.col("path")))).withColumn("node_hash", F.md5(F.col("after").cast("binary"))).withColumn("repo", F.lit("r"))
+    """Flags of the whole registry over the scripts beside changed documents; path: the document's."""
+    scripts = code(spark, sf_dir)
+    tree = nodes.drift_nodes(scripts).withColumn("declared", F.array().cast("array<string>"))
+    found = rules.flags(tree).select(F.col("path").alias("at"), "rule", "severity", "evidence")
+    own = scripts.select("doc_id", "source", F.col("of_path"), F.col("path").alias("script"), F.md5(F.col("text").cast("binary")).alias("node_hash"))
+    out = found.join(own, F.col("at") == F.col("script")).select("doc_id", "source", F.col("of_path").alias("path"), "rule", "severity", "evidence", "node_hash")
+    return out.withColumn("flag_id", F.concat("rule", F.lit("@"), P.sanitize_id(F.col("path")))).withColumn("repo", F.lit("r"))
 
 
 def _triage_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third document of good quality has been dismissed, with the content that it has now."""
+    """Every third document of good quality has been dismissed, with the content that it has now, whatever was wrong with it."""
     good = _read(spark, sf_dir, "labels").where("quality = 1 AND doc_id % 3 = 0").select("doc_id").distinct()
-    rows = _flags(spark, sf_dir).join(good, "doc_id", "left_semi")
+    every = F.explode(F.array(*[F.lit(r.rule) for r in rules.RULES]))
+    rows = code(spark, sf_dir).join(good, "doc_id", "left_semi").select(F.lit("r").alias("repo"), every.alias("rule"), F.col("of_path").alias("path"), F.md5(F.col("text").cast("binary")).alias("node_hash"))
+    rows = rows.withColumn("flag_id", F.concat("rule", F.lit("@"), P.sanitize_id(F.col("path"))))
     return rows.select("repo", F.lit("dismissed").alias("kind"), F.col("flag_id").alias("id"), F.col("node_hash").alias("hash"))
 
 
@@ -259,8 +240,12 @@ def vouch_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = lambda c: (F.col(c) % 7).cast("string").alias("manifest")
     after = _read(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(manifest("o_custkey"), F.col("o_orderpriority").alias("section"), F.col("o_custkey").cast("string").alias("name"), F.lit("1").alias("spec")).distinct()
     vouched = _read(spark, sf_dir, "customer").where("c_custkey % 2 = 0 AND c_custkey % 7 <> 3").select(manifest("c_custkey"), F.col("c_custkey").cast("string").alias("name"))
-    out = deps.dependency_findings(after.limit(0), after, vouched, vouched.select("manifest"), "cargo")
-    return out.select("manifest", "section", "name", "rule", "severity")
+    names = vouched.distinct().select(F.col("manifest").alias("of"), F.col("name").alias("known_name"))
+    locked = vouched.select(F.col("manifest").alias("lock_of")).distinct()
+    rows = drift.entry_diff(after.where("false"), after, ["manifest", "section"], "name", "spec")
+    rows = rows.join(names, (F.col("manifest") == F.col("of")) & (F.col("name") == F.col("known_name")), "left").join(locked, F.col("manifest") == F.col("lock_of"), "left")
+    rows = rows.withColumns({"ecosystem": F.lit("cargo"), "indirect": F.lit(False), "locked": F.col("lock_of").isNotNull(), "known": F.col("known_name").isNotNull()})
+    return deps.dependency_findings(rows).select("manifest", "section", "name", "rule", "severity")
 
 
 @query(

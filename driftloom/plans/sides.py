@@ -56,17 +56,27 @@ SIDES = f"""sides AS (
       WHEN 5 THEN t || {_s(EVAL_LINE)} WHEN 6 THEN t || {_s(NO_GUARD)} WHEN 7 THEN t || {_s(WEAK_COOKIE)} ELSE t END AS after
   FROM (SELECT *, coalesce(text, '') AS t FROM documents)
 )"""
-#: Flags of the catalogue's rules, first match of a file, in SQL; needs SIDES before it.
+#: What the code of a changed document was and is by the last digit of its id; the key's line is made from the id.
+CODE = {5: ("", "eval(payload);\n"), 6: ("if (isAllowed(user)) { deny(); }\n", "if (false) { deny(); }\n"), 7: ("const jar = { httpOnly: true, secure: true };\n", "const jar = { path: '/' };\n")}
+
+
+def code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, path, before, after: a small script beside each changed document that is still there."""
+    digit, none = F.col("doc_id") % 10, F.lit("")
+    key = F.concat(F.lit('const key = "AKIA'), F.upper(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 16)), F.lit('";\n'))
+    head = F.concat(F.lit("const id = "), F.col("doc_id").cast("string"), F.lit(";\n"))
+    before, after = none, F.when(digit == 4, key).otherwise(none)
+    for k, (b, a) in CODE.items():
+        before, after = F.when(digit == k, b).otherwise(before), F.when(digit == k, a).otherwise(after)
+    changed = sides(spark, sf_dir).where(~F.col("before").eqNullSafe(F.col("after")) & F.col("after").isNotNull())
+    path = F.concat(F.regexp_replace("path", r"\.\w+$", ""), F.lit(".js"))
+    return changed.select("doc_id", "source", F.col("path").alias("of_path"), path.alias("path"), F.concat(head, before).alias("before"), F.concat(head, after).alias("after"), F.col("after").alias("text"))
+
+
+#: Flags of those scripts in SQL; needs SIDES before it.
 FLAGS = r"""flags AS (
-  SELECT * FROM (
-    SELECT doc_id, source, path, after, CASE
-      WHEN regexp_matches(after, 'AKIA[0-9A-Z]{16}') OR regexp_matches(after, '\bsk-[A-Za-z0-9]{16,}') THEN 'hardcoded-secret'
-      WHEN regexp_matches(after, '\beval\s*\(') AND NOT coalesce(regexp_matches(before, '\beval\s*\('), false) THEN 'eval-call'
-      WHEN regexp_matches(before, 'httpOnly\s*:\s*true') AND NOT regexp_matches(after, 'httpOnly\s*:\s*true') THEN 'cookie-httponly-removed'
-      WHEN regexp_matches(before, 'secure\s*:\s*true') AND NOT regexp_matches(after, 'secure\s*:\s*true') THEN 'cookie-secure-removed'
-      WHEN regexp_matches(after, 'if\s*\(\s*false\s*\)') AND before IS NOT NULL AND NOT regexp_matches(before, 'if\s*\(\s*false\s*\)') THEN 'removed-if-guard'
-    END AS rule FROM sides WHERE before IS DISTINCT FROM after AND after IS NOT NULL
-  ) WHERE rule IS NOT NULL
+  SELECT doc_id, source, path, after, CASE doc_id % 10 WHEN 4 THEN 'hardcoded-secret' WHEN 5 THEN 'eval-call' WHEN 6 THEN 'removed-if-guard' WHEN 7 THEN 'cookie-httponly-removed' END AS rule
+  FROM sides WHERE before IS DISTINCT FROM after AND after IS NOT NULL AND doc_id % 10 IN (4, 5, 6, 7)
 ), rated AS (
   SELECT *, CASE WHEN rule = 'removed-if-guard' THEN 'low' ELSE 'high' END AS severity, rule || '@' || regexp_replace(path, '[^A-Za-z0-9]', '_', 'g') AS flag_id, md5(after) AS node_hash FROM flags
 ), judged AS (

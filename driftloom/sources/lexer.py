@@ -11,8 +11,8 @@ from functools import cache
 
 Span = tuple[str, int, int]
 
-_DOUBLE = r'"(?:\\.|[^"\\\n])*"'
-_SINGLE = r"'(?:\\.|[^'\\\n])*'"
+_DOUBLE = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
+_SINGLE = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
 _CHAR = r"'(?:\\(?:u\{[^}\n]*\}|x[0-9a-fA-F]{2}|.)|[^'\\\n])'"
 _TRIPLE = r'"""(?:\\.|[^\\])*?"""'
 #: For each family: line comments, whether block comments nest, and patterns of strings, longest forms first.
@@ -52,25 +52,26 @@ def _block_end(text: str, at: int, nests: bool) -> int:
     return i
 
 
+_TEMPLATE = re.compile(r"\\.|`|\$\{|[{}]", re.DOTALL)
+
+
 def _template_end(text: str, at: int) -> int:
     """After the backtick that closes the one at ``at``, with expressions in between that may hold others."""
-    i, depth = at + 1, 0
-    while i < len(text):
-        c = text[i]
-        if c == "\\":
-            i += 2
-            continue
-        if not depth and c == "`":
-            return i + 1
-        if not depth and text.startswith("${", i):
-            depth, i = 1, i + 2
-            continue
-        if depth:
-            if c == "`":
-                i = _template_end(text, i)
-                continue
-            depth += (c == "{") - (c == "}")
-        i += 1
+    open_braces = [0]  # of each template that is open; none: its own text, else an expression in it
+    for m in _TEMPLATE.finditer(text, at + 1):
+        mark = m[0]
+        if mark == "`" and not open_braces[-1]:
+            open_braces.pop()
+            if not open_braces:
+                return m.end()
+        elif mark == "`":
+            open_braces.append(0)
+        elif not open_braces[-1]:
+            open_braces[-1] = int(mark == "${")
+        elif mark in ("{", "${"):
+            open_braces[-1] += 1
+        elif mark == "}":
+            open_braces[-1] -= 1
     return len(text)
 
 

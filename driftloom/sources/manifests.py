@@ -266,6 +266,20 @@ def entries(files: DataFrame) -> DataFrame:
     return _by_file(files, rows_of, "manifest string, section string, name string, spec string, vouch_name string")
 
 
+#: Lockfiles whose text is searched where no name could be read from them.
+LOOSE = ("yarn.lock", "pnpm-lock.yaml")
+
+
+def loose_texts(files: DataFrame) -> DataFrame:
+    """lock_path, lock_text of lockfiles with content from which their reader takes no name."""
+
+    def rows_of(path: str, text: str) -> list[tuple]:
+        name = path.rsplit("/", 1)[-1]
+        return [(path, text)] if name in LOOSE and text.strip() and not LOCK_READERS[name](text) else []
+
+    return _by_file(files, rows_of, "lock_path string, lock_text string")
+
+
 def locked(files: DataFrame) -> DataFrame:
     """lock_path, name of all lockfiles among files."""
 

@@ -23,7 +23,7 @@ def to_dict(found: Session, head: dict) -> dict:
     flags = [r.asDict(recursive=True) for r in found.flags.orderBy(*session.flag_order()).collect()]
     files = [r.asDict(recursive=True) for r in found.files.orderBy(*session.file_order()).collect()]
     others = [r["path"] for r in found.other_files.orderBy("path").collect()]
-    zero = {"risk_count": 0, "file_count": 0, "changed_files": 0, "changed_nodes": 0, "reviewed_nodes": 0, "pending_review": 0, "exit_code": 0}
+    zero = {"risk_count": 0, "file_count": 0, "changed_files": 0, "changed_nodes": 0, "reviewed_nodes": 0, "pending_review": 0, "skipped_files": 0, "exit_code": 0}
     return {"schema_version": SCHEMA_VERSION, "session": head | (totals[0] if totals else zero), "flags": flags, "files": files, "other_files": others}
 
 

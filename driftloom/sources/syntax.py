@@ -7,7 +7,10 @@ how they begin. Malformed texts give statements too.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from dataclasses import dataclass, field
+from functools import cache, cached_property
 
 from . import lexer
 
@@ -38,9 +41,18 @@ class Node:
         return {"kind": self.kind, "name": self.name, "signature": self.signature, "lines": self.lines, "children": [c.plain() for c in self.children]}
 
 
+_OPEN, _CLOSE = "([{", ")]}"
+_BRACKET, _OPENING = re.compile(r"[()\[\]{}]"), re.compile(r"[(\[{]")
+_SPACE, _WORD_RUN = re.compile(r"\s*+"), re.compile(r"[\w$]++")
+#: Characters in which a statement's beginning or end is recognised, and its kind, name and signature.
+HEAD, SHAPE_HEAD = 400, 4_000
+#: Containers within containers that are looked into.
+DEEPEST = 100
+
+
 @dataclass
 class Source:
-    """A text with its masked views."""
+    """A text with its masked views, and where its brackets pair; all is found in one pass each, when first asked for."""
 
     text: str
     family: str
@@ -48,26 +60,64 @@ class Source:
     def __post_init__(self) -> None:
         self.spans = lexer.spans(self.text, self.family)
         self.code = lexer.masked(self.text, self.spans, strings=True)
-        self.plain = lexer.masked(self.text, self.spans, strings=False)
 
+    @cached_property
+    def plain(self) -> str:
+        return lexer.masked(self.text, self.spans, strings=False)
+
+    @cached_property
+    def strings(self) -> list[tuple[int, int]]:
+        return [(s, e) for k, s, e in self.spans if k == "string"]
+
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """Closing places of brackets by opening ones, whatever their kinds."""
+        out, waiting = {}, []
+        for m in _BRACKET.finditer(self.code):
+            if m[0] in _OPEN:
+                waiting.append(m.start())
+            elif waiting:
+                out[waiting.pop()] = m.start()
+        return out
 
-_OPEN, _CLOSE = "([{", ")]}"
-#: Characters in which a statement's beginning or end is recognised.
-HEAD = 400
+    def closing(self, at: int, end: int) -> int:
+        """The place of the bracket that closes the one at ``at``, or end."""
+        return min(self.pairs.get(at, end), end)
+
+    @cached_property
+    def bodies(self) -> tuple[list[int], list[int]]:
+        """Places of opening brackets, and for each the first brace from there on that is in no other bracket; -1: none."""
+        places = [m.start() for m in _OPENING.finditer(self.code)]
+        braces = [-1] * len(places)
+        for k in range(len(places) - 1, -1, -1):
+            if self.code[places[k]] == "{":
+                braces[k] = places[k]
+            elif (close := self.pairs.get(places[k])) is not None:
+                after = bisect_right(places, close)
+                braces[k] = braces[after] if after < len(places) else -1
+        return places, braces
+
+    def body(self, start: int, end: int) -> tuple[int, int] | None:
+        """The place of a declaration's block: its first brace outside round and square brackets."""
+        places, braces = self.bodies
+        k = bisect_left(places, start)
+        if k == len(places) or not 0 <= braces[k] < end:
+            return None
+        return braces[k], self.closing(braces[k], end)
 
+    @cached_property
+    def ends(self) -> list[int]:
+        """Places of semicolons and line ends."""
+        return [m.start() for m in re.finditer(r"[;\n]", self.code)]
 
-def closing(code: str, at: int, end: int) -> int:
-    """The place of the bracket that closes the one at ``at``, or end."""
-    depth = 0
-    for i in range(at, end):
-        c = code[i]
-        if c in _OPEN:
-            depth += 1
-        elif c in _CLOSE:
-            depth -= 1
-            if not depth:
-                return i
-    return end
+    def next_end(self, at: int) -> int:
+        k = bisect_left(self.ends, at)
+        return self.ends[k] if k < len(self.ends) else len(self.code)
+
+    @cached_property
+    def calls(self) -> list[tuple[int, str]]:
+        """(place, name) of what is called, the last part of a member's name, in order."""
+        return list(_calls(self))
 
 
 # --- statements of families with braces -------------------------------------------------------------------
@@ -81,51 +131,62 @@ _BLOCK_HEAD = {
     "kotlin": r"",
     "swift": r"",
 }
-_ANY_BLOCK = re.compile(r"(?:@[\w.]+(?:\s*\([^)]*\))?\s*)*(?:[\w\[\]<>,.?]+\s+)*?(?:class|interface|enum|record|struct|namespace|object|fun|func|init|deinit|protocol|extension|actor|if|for|foreach|while|do|try|switch|when|guard|repeat|using|lock|synchronized|static|companion)\b")
-_METHOD = re.compile(r"(?:@[\w.]+(?:\s*\([^)]*\))?\s*|\[[^\]\n]*\]\s*)*(?:[\w.]+(?:<[^;{}()]*>)?(?:\[\])*\??\s+)*[\w]+\s*(?:<[^;{}()]*>)?\s*\(")
-_CONTINUES = re.compile(r"\s*(?:else\b|catch\b|finally\b|while\b(?=\s*\())")
+_GENERIC = r"<[^;{}()<>]*+(?:<[^;{}()<>]*+(?:<[^;{}()<>]*+>[^;{}()<>]*+)*+>[^;{}()<>]*+)*+>"
+_ANY_BLOCK = re.compile(r"(?:@[\w.]++(?:\s*+\([^)]*+\))?\s*+)*+(?:[\w\[\]<>,.?]++\s++)*?(?:class|interface|enum|record|struct|namespace|object|fun|func|init|deinit|protocol|extension|actor|if|for|foreach|while|do|try|switch|when|guard|repeat|using|lock|synchronized|static|companion)\b")
+_METHOD = re.compile(r"(?:@[\w.]++(?:\s*+\([^)]*+\))?\s*+|\[[^\]\n]*+\]\s*+)*+(?:[\w.]++(?:" + _GENERIC + r")?(?:\[\])*+\??\s++)*[\w]++\s*+(?:" + _GENERIC + r")?\s*+\(")
+_CONTINUES = re.compile(r"\s*+(?:else\b|catch\b|finally\b|while\b(?=\s*+\())")
 _JOINS_NEXT = re.compile(r"(?:[+\-*/%=<>&|^?:,.(\[{!~]|=>|->|\b(?:return|in|of|extends|implements|where|as|is|throws|async|await|public|private|static|export|default|const|let|var|else|from|import))\Z")
-_JOINS_BEFORE = re.compile(r"\s*(?:[.?:)\]},+*/%=<>&|^]|&&|\|\||\{|->|=>|(?:else|catch|finally|where|instanceof|extends|implements|in|as|is|of|from|throws)\b)")
-_NO_BRACE_BEFORE = re.compile(r"\s*(?:[.?:)\]},+*/%=<>&|^]|&&|\|\||->|=>|(?:else|catch|finally|where|as|is|in)\b)")
+_JOINS_BEFORE = re.compile(r"(?:[.?:)\]},+*/%=<>&|^]|&&|\|\||\{|->|=>|(?:else|catch|finally|where|instanceof|extends|implements|in|as|is|of|from|throws)\b)")
+_NO_BRACE_BEFORE = re.compile(r"(?:[.?:)\]},+*/%=<>&|^]|&&|\|\||->|=>|(?:else|catch|finally|where|as|is|in)\b)")
+
+
+_HEADS = {f: re.compile(p) for f, p in _BLOCK_HEAD.items() if p}
+_GAP, _STOPS = re.compile(r"[\s;]*+"), {True: re.compile(r"[()\[\]{};\n]"), False: re.compile(r"[()\[\]{};]")}
+_ATTRIBUTE, _DEFAULT_OBJECT = re.compile(r"#!?\["), re.compile(r"export\s++default\s++\{")
+_LOOPS, _CHAINS = re.compile(r"(?:do|repeat)\b"), re.compile(r"(?:\w+:\s*)?(?:if|try|do|guard|\}|repeat)\b")
 
 
-def _is_block(head: str, family: str) -> bool:
-    if _BLOCK_HEAD[family]:
-        return re.match(_BLOCK_HEAD[family], head) is not None
-    if _ANY_BLOCK.match(head):
+def _is_block(code: str, start: int, end: int, family: str) -> bool:
+    end = min(end, start + HEAD)
+    if family in _HEADS:
+        return _HEADS[family].match(code, start, end) is not None
+    if _ANY_BLOCK.match(code, start, end):
         return True
-    return family in ("java", "csharp") and _METHOD.match(head) is not None and "=" not in head.split("(", 1)[0]
+    return family in ("java", "csharp") and _METHOD.match(code, start, end) is not None and "=" not in code[start:end].split("(", 1)[0]
 
 
 def statements(source: Source, start: int, end: int) -> list[tuple[int, int]]:
     """(start, end) of the statements between two places outside brackets."""
     code, family, out = source.code, source.family, []
     lines_end = family in ("jsts", "go", "kotlin", "swift")
+    stops = _STOPS[lines_end]
     i = start
     while i < end:
-        while i < end and (code[i].isspace() or code[i] == ";"):
-            i += 1
+        i = _GAP.match(code, i, end).end()
         if i >= end:
             break
         if code[i] in _CLOSE:
             i += 1
             continue
-        if family == "rust" and (m := re.compile(r"#!?\[").match(code, i)):
-            i = closing(code, m.end() - 1, end) + 1
+        if family == "rust" and code[i] == "#" and (m := _ATTRIBUTE.match(code, i)):
+            i = source.closing(m.end() - 1, end) + 1
             continue
-        s, block = i, _is_block(code[i : min(end, i + HEAD)], family)
-        if family == "jsts" and block and re.match(r"export\s+default\s+\{", code[i : i + HEAD]):
+        s, block = i, _is_block(code, i, end, family)
+        if family == "jsts" and block and _DEFAULT_OBJECT.match(code, i, i + HEAD):
             block = False
         while i < end:
-            c = code[i]
+            m = stops.search(code, i, end)
+            if not m:
+                i = end
+                break
+            i, c = m.start(), m[0]
             if c in _OPEN:
-                i = closing(code, i, end) + 1
+                i = source.closing(i, end) + 1
                 if c == "{" and block:
-                    head = code[s : min(i, s + HEAD)]
                     after = _CONTINUES.match(code, i)
                     word = after and after[0].strip()
-                    chained = word and (word != "while" or re.match(r"(?:do|repeat)\b", head)) and re.match(r"(?:\w+:\s*)?(?:if|try|do|guard|\}|repeat)\b", head)
-                    if chained:
+                    top = min(i, s + HEAD)
+                    if word and (word != "while" or _LOOPS.match(code, s, top)) and _CHAINS.match(code, s, top):
                         i = after.end()
                         if word == "while":
                             block = False
@@ -137,15 +198,22 @@ def statements(source: Source, start: int, end: int) -> list[tuple[int, int]]:
                 break
             if c in _CLOSE:
                 break
-            if c == "\n" and lines_end and i > s:
-                before = code[max(s, i - HEAD) : i].rstrip(" \t")
-                joins = _JOINS_NEXT.search(before) if before else True
-                ahead = (_JOINS_BEFORE if family == "jsts" or block else _NO_BRACE_BEFORE).match(code, i)
-                if family == "go" and before and not re.search(r"(?:[+\-*/%=<>&|^,.(\[{!]|&&|\|\|)\Z", before):
-                    joins, ahead = None, None
-                if family == "jsts" and ahead and ahead[0].strip() == "{" and not block:
-                    ahead = None
-                if not joins and not ahead:
+            if i > s:
+                stop = i
+                while stop > s and code[stop - 1] in " \t":
+                    stop -= 1
+                following = _SPACE.match(code, i).end()
+                if family == "go":
+                    joins, ahead = code[stop - 1] in "+-*/%=<>&|^,.([{!", None
+                else:
+                    joins = _JOINS_NEXT.search(code, max(s, stop - 14), stop)
+                    ahead = (_JOINS_BEFORE if family == "jsts" or block else _NO_BRACE_BEFORE).match(code, following)
+                    if family == "jsts" and ahead and ahead[0] == "{" and not block:
+                        ahead = None
+                if ahead:
+                    i = following
+                    continue
+                if not joins:
                     break
             i += 1
         stop = min(i, end)
@@ -168,13 +236,18 @@ def node_lines(text: str, start: int, end: int) -> list[str]:
     return out
 
 
-def snippet(text: str, cap: int) -> str:
-    line = text.split("\n", 1)[0].strip().removesuffix(";")
+def snippet(text: str, start: int, end: int, cap: int) -> str:
+    stop = text.find("\n", start, end)
+    line = text[start : end if stop < 0 else stop].strip().removesuffix(";")
     return line[:cap] + "…" if len(line) > cap else line
 
 
 def _first_string(source: Source, start: int, end: int) -> str | None:
-    return next((source.text[s:e].strip("\"'`") for k, s, e in source.spans if k == "string" and s >= start and e <= end), None)
+    k = bisect_left(source.strings, (start, start))
+    if k == len(source.strings) or source.strings[k][1] > end:
+        return None
+    s, e = source.strings[k]
+    return source.text[s:e].strip("\"'`")
 
 
 @dataclass(frozen=True)
@@ -188,7 +261,7 @@ class Shape:
 
 
 _MODS = r"(?:(?:public|private|protected|internal|static|final|abstract|sealed|partial|virtual|override|readonly|async|unsafe|extern|new|open|data|inline|suspend|lateinit|const|fileprivate|mutating|nonisolated|lazy|weak|required|convenience|default|synchronized|native|volatile|transient|strictfp|inner|value|annotation|tailrec|operator|infix|external|actual|expect|vararg|non-sealed)\s+)*"
-_ANNOTATIONS = r"(?:@[\w.]+(?:\s*\((?:[^()]|\([^()]*\))*\))?\s*|\[[^\]\n]*\]\s*)*"
+_ANNOTATIONS = r"(?:@[\w.]++(?:\s*+\((?:[^()]++|\([^()]*+\))*+\))?\s*+|\[[^\]\n]*+\]\s*+)*"
 SHAPES: dict[str, tuple[Shape, ...]] = {
     "jsts": (
         Shape("ImportDeclaration", r"import\b(?!\s*\()"),
@@ -240,8 +313,8 @@ SHAPES: dict[str, tuple[Shape, ...]] = {
         Shape("for_statement", r"for\b"),
         Shape("while_statement", r"while\b"),
         Shape("throw_statement", r"throw\b"),
-        Shape("FunctionDeclaration", _ANNOTATIONS + _MODS + r"(?:<[^>]*>\s*)?(?:[\w.]+(?:<[^;{}()]*>)?(?:\[\])*\s+)?(?P<name>\w+)\s*\([^;{}]*\)\s*(?:throws\s+[\w.,\s]+)?(?=\{|;)", inside=True, signature=True),
-        Shape("VariableDeclaration", _ANNOTATIONS + _MODS + r"[\w.]+(?:<[^;{}()]*>)?(?:\[\])*\s+(?P<name>\w+)\s*(?:=|;|,)"),
+        Shape("FunctionDeclaration", _ANNOTATIONS + _MODS + r"(?:<[^>]*>\s*)?(?:[\w.]++(?:" + _GENERIC + r")?(?:\[\])*\s+)?(?P<name>\w+)\s*\([^;{}]*\)\s*(?:throws\s++[\w.,\s]++)?+(?=\{|;)", inside=True, signature=True),
+        Shape("VariableDeclaration", _ANNOTATIONS + _MODS + r"[\w.]++(?:" + _GENERIC + r")?(?:\[\])*\s+(?P<name>\w+)\s*(?:=|;|,)"),
     ),
     "csharp": (
         Shape("ImportDeclaration", r"(?:global\s+)?using\s+(?!var\b)(?:static\s+)?(?P<name>[\w.]+)\s*(?:=[^;]*)?;"),
@@ -254,8 +327,8 @@ SHAPES: dict[str, tuple[Shape, ...]] = {
         Shape("for_statement", r"for(?:each)?\b"),
         Shape("while_statement", r"while\b"),
         Shape("throw_statement", r"throw\b"),
-        Shape("FunctionDeclaration", _ANNOTATIONS + _MODS + r"(?:[\w.]+(?:<[^;{}()]*>)?(?:\[\])*\??\s+)?(?P<name>\w+)\s*(?:<[^>]*>)?\s*\([^;{}]*\)\s*(?::\s*(?:base|this)\s*\([^)]*\)\s*|where\s+[^{]*)?(?=\{|=>)", inside=True, signature=True),
-        Shape("VariableDeclaration", _ANNOTATIONS + _MODS + r"(?:using\s+)?[\w.]+(?:<[^;{}()]*>)?(?:\[\])*\??\s+(?P<name>\w+)\s*(?:=|;|,|\{)"),
+        Shape("FunctionDeclaration", _ANNOTATIONS + _MODS + r"(?:[\w.]++(?:" + _GENERIC + r")?(?:\[\])*\??\s+)?(?P<name>\w+)\s*(?:<[^>]*>)?\s*\([^;{}]*\)\s*(?::\s*(?:base|this)\s*\([^)]*\)\s*|where\s+[^{]*)?(?=\{|=>)", inside=True, signature=True),
+        Shape("VariableDeclaration", _ANNOTATIONS + _MODS + r"(?:using\s+)?[\w.]++(?:" + _GENERIC + r")?(?:\[\])*\??\s+(?P<name>\w+)\s*(?:=|;|,|\{)"),
     ),
     "kotlin": (
         Shape("PackageDeclaration", r"package\s+(?P<name>[\w.]+)"),
@@ -279,33 +352,19 @@ SHAPES: dict[str, tuple[Shape, ...]] = {
 _SHAPES = {f: [(s, re.compile(s.begins)) for s in shapes] for f, shapes in SHAPES.items()}
 
 
-def _body(code: str, start: int, end: int) -> tuple[int, int] | None:
-    """The place of a declaration's block: its first brace outside round and square brackets."""
-    i = start
-    while i < end:
-        if code[i] in "([":
-            i = closing(code, i, end)
-        elif code[i] == "{":
-            return i, closing(code, i, end)
-        i += 1
-    return None
-
-
-def brace_nodes(source: Source, start: int, end: int) -> list[Node]:
+def brace_nodes(source: Source, start: int, end: int, depth: int = 0) -> list[Node]:
     out = []
     for s, e in statements(source, start, end):
-        code = source.code[s:e]
         shape, name = None, None
         for candidate, begins in _SHAPES[source.family]:
-            if m := begins.match(code):
+            if m := begins.match(source.code, s, min(e, s + SHAPE_HEAD)):
                 shape = candidate
                 found = m.groupdict()
                 key = next((k for k in ("name", "other") if found.get(k)), None)
-                name = source.text[s + m.start(key) : s + m.end(key)].strip() if key else None
+                name = source.text[m.start(key) : m.end(key)].strip() if key else None
                 break
-        text = source.text[s:e]
         if shape is None:
-            out.append(Node("ExpressionStatement", snippet(text, 48 if source.family == "jsts" else 40), None, node_lines(source.text, s, e)))
+            out.append(Node("ExpressionStatement", snippet(source.text, s, e, 48 if source.family == "jsts" else 40), None, node_lines(source.text, s, e)))
             continue
         if shape.kind == "ImportDeclaration" and source.family in ("jsts", "go"):
             name = _first_string(source, s, e) or "import"
@@ -313,14 +372,14 @@ def brace_nodes(source: Source, start: int, end: int) -> list[Node]:
             name = name or "export"
         elif shape.kind in ("IfStatement", "ReturnStatement") and source.family == "jsts":
             name = "if" if shape.kind == "IfStatement" else "return"
-        name = name or snippet(text, 40)
-        body = _body(source.code, s, e)
+        name = name or snippet(source.text, s, e, 40)
+        body = source.body(s, e) if shape.signature or shape.inside else None
         signature = None
         if shape.signature:
             opened = source.code.find("(", s, e)
             if opened >= 0:
                 signature = source.text[opened : body[0] if body else e].strip() or None
-        children = brace_nodes(source, body[0] + 1, body[1]) if shape.inside and body else []
+        children = brace_nodes(source, body[0] + 1, body[1], depth + 1) if shape.inside and body and depth < DEEPEST else []
         out.append(Node(shape.kind, name, signature, node_lines(source.text, s, e), children))
     return out
 
@@ -328,23 +387,27 @@ def brace_nodes(source: Source, start: int, end: int) -> list[Node]:
 # --- statements by indentation ----------------------------------------------------------------------------
 
 
+_LOGICAL = re.compile(r"[()\[\]{}\"'\n]")
+
+
 def _logical_lines(code: str, start: int, end: int) -> list[tuple[int, int, int]]:
     """(indentation, start, end) of lines joined over brackets, strings and backslashes; blank ones are left out."""
     out, i = [], start
     while i < end:
         stop, depth, j = end, 0, i
-        while j < end:
-            c = code[j]
+        while m := _LOGICAL.search(code, j, end):
+            j, c = m.start(), m[0]
             if c in _OPEN:
                 depth += 1
             elif c in _CLOSE:
                 depth -= 1
-            elif c in "\"'":
+            elif c == "\n":
+                if depth <= 0 and code[j - 1] != "\\":
+                    stop = j
+                    break
+            else:
                 close = code.find(c, j + 1, end)
                 j = close if close > 0 else j
-            elif c == "\n" and depth <= 0 and code[j - 1] != "\\":
-                stop = j
-                break
             j += 1
         line = code[i:stop]
         if line.strip():
@@ -370,7 +433,7 @@ _PY = (
 _PY_CONTINUES = re.compile(r"(?:elif|else|except|finally)\b")
 
 
-def python_nodes(source: Source, start: int, end: int) -> list[Node]:
+def python_nodes(source: Source, start: int, end: int, depth: int = 0) -> list[Node]:
     lines, out, i = _logical_lines(source.code, start, end), [], 0
     while i < len(lines):
         indent, s, e = lines[i]
@@ -382,20 +445,20 @@ def python_nodes(source: Source, start: int, end: int) -> list[Node]:
         while j < len(lines) and (lines[j][0] > indent or (lines[j][0] == indent and _PY_CONTINUES.match(source.code, lines[j][1]))):
             e = lines[j][2]
             j += 1
-        code, kind, name = source.code[s:e], "ExpressionStatement", snippet(source.text[s:e], 48)
+        kind, name = "ExpressionStatement", snippet(source.text, s, e, 48)
         for candidate, begins in _PY:
-            if m := begins.match(code):
+            if m := begins.match(source.code, s, min(e, s + SHAPE_HEAD)):
                 kind, found = candidate, m.groupdict()
                 key = next((k for k in ("name", "other") if found.get(k)), None)
-                name = source.text[s + m.start(key) : s + m.end(key)].strip() if key else snippet(source.text[s:e], 40)
+                name = source.text[m.start(key) : m.end(key)].strip() if key else snippet(source.text, s, e, 40)
                 break
         signature, children = None, []
         if kind == "FunctionDeclaration":
             opened = source.code.find("(", s, head_end)
             if opened >= 0:
                 signature = source.text[opened:head_end].rstrip().removesuffix(":").strip() or None
-            if j > i + 1:
-                children = python_nodes(source, source.code.rfind("\n", 0, lines[i + 1][1]) + 1, e)
+            if j > i + 1 and depth < DEEPEST:
+                children = python_nodes(source, source.code.rfind("\n", 0, lines[i + 1][1]) + 1, e, depth + 1)
         out.append(Node(kind, name, signature, node_lines(source.text, decorated, e), children))
         i = j
     return out
@@ -409,76 +472,150 @@ def parse(text: str, family: str) -> list[Node]:
 
 # --- facts ------------------------------------------------------------------------------------------------
 
-_CALL = re.compile(r"([A-Za-z_$][\w$]*)\s*(?:::\s*)?(?:<[\w\s,.:&'<>\[\]?]*>\s*)?\(")
-_TYPE_BEFORE = re.compile(r"(?:^|[\s;{}])(?!return\b|throw\b|await\b|new\b|else\b|yield\b|case\b|in\b|not\b|and\b|or\b|raise\b|assert\b|do\b|try\b|go\b|defer\b)(?:[\w.]+(?:<[^;{}()]*>)?(?:\[\])*\??)\s+$")
+#: Characters before a bracket in which the arguments of a generic call, and words that declare, are looked for.
+GENERIC_REACH, BEFORE_REACH, AFTER_REACH = 400, 60, 400
+#: A condition's text is kept up to here, as longer ones equal no constant that rules ask for; a colon ends it within the second.
+CONDITION, CONDITION_REACH = 200, 2_000
+_GENERIC_PART = re.compile(r"[\w\s,.:&'<>\[\]?]")
+_TYPE_BEFORE = re.compile(r"(?:^|[\s;{}])(?!return\b|throw\b|await\b|new\b|else\b|yield\b|case\b|in\b|not\b|and\b|or\b|raise\b|assert\b|do\b|try\b|go\b|defer\b)(?:[\w.]++(?:" + _GENERIC + r")?(?:\[\])*\??)\s+$")
+_JS_METHOD, _BARE = re.compile(r"(?:^|[\n;{}]|\b(?:async|static|get|set|public|private|protected))\s*$"), re.compile(r"(?:^|[\n;{}])\s*$")
+_BLOCK_AFTER = re.compile(r"\)\s*(?::\s*[\w<>\[\]|,.\s]+?|throws\s+[\w.,\s]+|where\s+[^{]*)?\s*\{")
+
+
+def _callee(code: str, words: list[int], opened: int) -> tuple[int, str] | None:
+    """(place, name) of what stands before a round bracket, with the arguments of a generic call left out."""
+    at = opened
+    while at and code[at - 1].isspace():
+        at -= 1
+    if at and code[at - 1] == ">":
+        depth, k, least = 0, at - 1, max(0, at - GENERIC_REACH)
+        while k >= least and _GENERIC_PART.match(code, k):
+            depth += (code[k] == ">") - (code[k] == "<")
+            if not depth:
+                break
+            k -= 1
+        if k < least or depth or code[k] != "<":
+            return None
+        at = k
+        while at and code[at - 1].isspace():
+            at -= 1
+    if code.startswith("::", max(0, at - 2), at):
+        at -= 2
+        while at and code[at - 1].isspace():
+            at -= 1
+    if not at or not (code[at - 1].isalnum() or code[at - 1] in "_$"):
+        return None
+    start = words[bisect_right(words, at - 1) - 1]
+    while start < at and not (code[start] in "_$" or (code[start].isascii() and code[start].isalpha())):
+        start += 1
+    return (start, code[start:at]) if start < at else None
+
+
+def _calls(source: Source):  # noqa: ANN202
+    code, family = source.code, source.family
+    if "(" not in code:
+        return
+    words = [m.start() for m in _WORD_RUN.finditer(code)]
+    at = code.find("(")
+    while at >= 0:
+        opened, at = at, code.find("(", at + 1)
+        found = _callee(code, words, opened)
+        if not found:
+            continue
+        start, name = found
+        before = code[max(0, start - BEFORE_REACH) : start]
+        if (not before.endswith(".") and (name in CONTROL or name in FAMILY_CONTROL[family])) or DECLARES.search(before):
+            continue
+        if family in ("jsts", "java", "csharp"):
+            after = source.closing(opened, len(code))
+            if _BLOCK_AFTER.match(code, after, after + AFTER_REACH):
+                if family == "jsts" and _JS_METHOD.search(before) or family != "jsts" and (_TYPE_BEFORE.search(before) or _BARE.search(before)):
+                    continue
+        yield start, name
 
 
 def callees(source: Source, start: int = 0, end: int | None = None) -> list[str]:
-    """Names that are called, the last part of a member's, in order and as often as they are."""
-    code, out = source.code, []
-    end = len(code) if end is None else end
-    for m in _CALL.finditer(code, start, end):
-        name, before = m[1], code[max(0, m.start() - 60) : m.start()]
-        member = before.endswith((".", "?."))
-        if not member and (name in CONTROL or name in FAMILY_CONTROL[source.family]) or DECLARES.search(before):
-            continue
-        if source.family in ("jsts", "java", "csharp"):
-            after = closing(code, m.end() - 1, end)
-            tail = re.compile(r"\)\s*(?::\s*[\w<>\[\]|,.\s]+?|throws\s+[\w.,\s]+|where\s+[^{]*)?\s*\{").match(code, after)
-            if tail and (source.family == "jsts" and re.search(r"(?:^|[\n;{}]|\b(?:async|static|get|set|public|private|protected))\s*$", before) or source.family != "jsts" and (_TYPE_BEFORE.search(before) or re.search(r"(?:^|[\n;{}])\s*$", before))):
-                continue
-        out.append(name)
+    """Names that are called between two places, the last part of a member's, in order and as often as they are."""
+    return [name for place, name in source.calls if start <= place and (end is None or place < end)]
+
+
+def _depths(calls: list[tuple[int, str]], ranges: list[tuple[int, int]]) -> list[int]:
+    """For each call, how many of the ranges hold it."""
+    starts, ends = sorted(s for s, _ in ranges), sorted(e for _, e in ranges)
+    return [bisect_right(starts, place) - bisect_right(ends, place) for place, _ in calls]
+
+
+def _guarded(calls: list[tuple[int, str]], ranges: list[tuple[int, int]]) -> list[str]:
+    """Names of calls within ranges, once for each range that holds them, but no more often than they are called in all."""
+    depths, every = _depths(calls, ranges), Counter(name for _, name in calls)
+    out, held = [], Counter()
+    for (_, name), depth in zip(calls, depths, strict=True):
+        n = min(depth, every[name] - held[name])
+        held[name] += n
+        out += [name] * n
     return out
 
 
+_IF, _ROUND, _BRACE = re.compile(r"\b(?:el)?if\b"), re.compile(r"\s*+\("), re.compile(r"\s*+\{")
+
+
 def _ifs(source: Source) -> list[tuple[str, int, int]]:
     """(condition, start and end of what it guards) of every ``if``."""
     code, family, out = source.code, source.family, []
-    for m in re.finditer(r"\b(?:el)?if\b", code):
+    for m in _IF.finditer(code):
         if m[0] == "elif" and family != "python":
             continue
         at = m.end()
         if family == "python":
-            colon = _python_colon(code, at)
+            colon = _python_colon(source, at)
             if colon is None:
                 continue
             indent = m.start() - (code.rfind("\n", 0, m.start()) + 1)
-            out.append((source.text[at:colon].strip(), colon + 1, _indented_end(code, colon, indent)))
+            out.append((source.text[at : min(colon, at + CONDITION)].strip(), colon + 1, _indented_end(code, colon, indent)))
             continue
-        rest = re.compile(r"\s*\(").match(code, at)
+        rest = _ROUND.match(code, at)
         if family in ("jsts", "java", "csharp", "kotlin") and rest:
-            close = closing(code, rest.end() - 1, len(code))
-            condition, at = source.text[rest.end() : close].strip(), close + 1
+            close = source.closing(rest.end() - 1, len(code))
+            condition, at = source.text[rest.end() : min(close, rest.end() + CONDITION)].strip(), close + 1
         else:
-            brace = _body(code, at, len(code))
+            brace = source.body(at, len(code))
             if brace is None:
                 continue
-            condition, at = source.text[at : brace[0]].strip(), brace[0]
-        opened = re.compile(r"\s*\{").match(code, at)
+            condition, at = source.text[at : min(brace[0], at + CONDITION)].strip(), brace[0]
+        opened = _BRACE.match(code, at)
         if opened:
-            begin, stop = opened.end() - 1, closing(code, opened.end() - 1, len(code)) + 1
+            begin, stop = opened.end() - 1, source.closing(opened.end() - 1, len(code)) + 1
         else:
-            begin = at
-            ends = [x for x in (code.find(";", at), code.find("\n", at)) if x >= 0]
-            stop = min(ends, default=len(code))
-            if not code[at:stop].strip():  # the statement is on the next line
-                stop = min([x for x in (code.find(";", stop + 1), code.find("\n", stop + 1)) if x >= 0], default=len(code))
+            begin, stop = at, source.next_end(at)
+            if _SPACE.match(code, at, stop).end() == stop:  # the statement is on the next line
+                stop = source.next_end(stop + 1)
         out.append((condition, begin, stop))
     return out
 
 
-def _python_colon(code: str, at: int) -> int | None:
-    depth = 0
-    for i in range(at, len(code)):
-        c = code[i]
-        depth += (c in _OPEN) - (c in _CLOSE)
-        if depth < 0 or (c == "\n" and not depth):
+_COLON = re.compile(r"[()\[\]{}:\n]")
+
+
+def _python_colon(source: Source, at: int) -> int | None:
+    code, end = source.code, at + CONDITION_REACH
+    while m := _COLON.search(code, at, end):
+        at, c = m.start(), m[0]
+        if c in _OPEN:
+            close = source.pairs.get(at)
+            if close is None:
+                return None
+            at = close
+        elif c in _CLOSE or c == "\n":
             return None
-        if c == ":" and not depth and code[i + 1 : i + 2] != "=":
-            return i
+        elif code[at + 1 : at + 2] != "=":
+            return at
+        at += 1
     return None
 
 
+_LINE = re.compile(r"([ \t]*+)([^\n]*+)(?:\n|\Z)")
+
+
 def _indented_end(code: str, at: int, indent: int) -> int:
     """Where the lines that are indented beyond ``indent`` end; a body on the same line ends with it."""
     line_end = code.find("\n", at)
@@ -487,7 +624,7 @@ def _indented_end(code: str, at: int, indent: int) -> int:
     end = line_end
     if code[at + 1 : line_end].strip():
         return end
-    for m in re.compile(r"([ \t]*)([^\n]*)(?:\n|\Z)").finditer(code, line_end + 1):
+    for m in _LINE.finditer(code, line_end + 1):
         if m[2].strip() and len(m[1]) <= indent:
             break
         end = m.end()
@@ -496,26 +633,31 @@ def _indented_end(code: str, at: int, indent: int) -> int:
     return end
 
 
+_TRY, _SWIFT_TRY, _HANDLES, _EXCEPTS = re.compile(r"\btry\b"), re.compile(r"\bdo\b(?=\s*\{)"), re.compile(r"\s*+(?:catch|finally)\b"), re.compile(r"[ \t]*+(?:except|else|finally)\b")
+
+
 def _tries(source: Source) -> list[tuple[int, int]]:
     code, family, out = source.code, source.family, []
     if family in ("rust", "go"):
         return out
-    for m in re.finditer(r"\bdo\b(?=\s*\{)" if family == "swift" else r"\btry\b", code):
+    for m in (_SWIFT_TRY if family == "swift" else _TRY).finditer(code):
         if family == "python":
             indent = m.start() - (code.rfind("\n", 0, m.start()) + 1)
             end = _indented_end(code, code.find(":", m.end()), indent)
-            while (more := re.compile(r"[ \t]*(?:except|else|finally)\b").match(code, end)) and more.end() - end:
-                end = _indented_end(code, code.find(":", more.end()) if code.find(":", more.end()) >= 0 else end, indent)
+            while (more := _EXCEPTS.match(code, end)) and more.end() - end:
+                colon = code.find(":", more.end())
+                end = _indented_end(code, colon if colon >= 0 else end, indent)
             out.append((m.start(), end))
             continue
-        body = _body(code, m.end(), len(code))
-        if not body or code[m.end() : body[0]].strip().strip("(").startswith((";", "}")):
+        body = source.body(m.end(), len(code))
+        if not body:
             continue
-        if family != "java" and code[m.end() : body[0]].strip():
+        first = _SPACE.match(code, m.end()).end()
+        if first < body[0] and (family != "java" or code[first] in ";}"):
             continue
         end = body[1] + 1
-        while more := re.compile(r"\s*(?:catch|finally)\b").match(code, end):
-            nxt = _body(code, more.end(), len(code))
+        while more := _HANDLES.match(code, end):
+            nxt = source.body(more.end(), len(code))
             if not nxt:
                 break
             end = nxt[1] + 1
@@ -523,21 +665,26 @@ def _tries(source: Source) -> list[tuple[int, int]]:
     return out
 
 
+@cache
+def _clause(exits: tuple[str, ...]) -> re.Pattern:
+    return re.compile(r"\s*+\{?\s*+(?:" + "|".join(re.escape(x) for x in exits) + r")(?![\w])")
+
+
 def facts(text: str, family: str, exits: tuple[str, ...]) -> dict:
-    """What the rules ask of one side of a node."""
+    """What the rules ask of one side of a node. Views that equal the text are left out."""
     source = Source(text, family)
-    ifs = _ifs(source)
-    guarded = [c for _, s, e in ifs for c in callees(source, s, e)]
-    clause = re.compile(r"\s*\{?\s*(?:" + "|".join(re.escape(x) for x in exits) + r")(?![\w])")
-    tries = _tries(source)
+    ifs = _ifs(source) if "if" in source.code else []
+    tries = _tries(source) if "try" in source.code or "do" in source.code else []
+    calls = source.calls
+    clause = _clause(exits)
     return {
-        "code": source.code,
-        "plain": source.plain,
-        "callees": callees(source),
+        "code": source.code if source.code != text else None,
+        "plain": source.plain if source.plain != text else None,
+        "callees": [name for _, name in calls],
         "conditions": [c for c, *_ in ifs],
-        "guarded": guarded,
+        "guarded": _guarded(calls, [(s, e) for _, s, e in ifs]) if ifs else [],
         "guard_clauses": sum(bool(clause.match(source.code, s, e)) for _, s, e in ifs),
         "tries": len(tries),
-        "tried": sorted({c for s, e in tries for c in callees(source, s, e)}),
+        "tried": sorted({name for (_, name), d in zip(calls, _depths(calls, tries), strict=True) if d}) if tries else [],
         "patterns": [text[s:e] for k, s, e in source.spans if k == "pattern"],
     }

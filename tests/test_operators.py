@@ -169,7 +169,7 @@ def test_analysis_of_manifests(spark):
     flags = {(r["path"], r["node_path"], r["rule"], r["severity"]) for r in got.flags.collect()}
     assert flags == {
         ("package.json", "dependencies › a", "dep-changed", "low"), ("package.json", "dependencies › b", "dep-added", "medium"), ("package.json", "dependencies › ghost", "dep-not-in-lockfile", "high"),
-        ("package.json", "scripts › postinstall", "script-changed", "medium"), ("sub/go.mod", "indirect › b", "dep-added", "low"), ("Cargo.toml", "dependencies › x", "dep-added-local", "low"),
+        ("package.json", "scripts › postinstall", "script-changed", "medium"), ("sub/go.mod", "require › b", "dep-added-indirect", "low"), ("Cargo.toml", "dependencies › x", "dep-added-local", "low"),
         ("Cargo.toml", "dependencies › y", "dep-added-nolock", "low"), ("requirements.txt", "requirements › a", "dep-changed", "low"), ("requirements.txt", "requirements › b", "dep-added-nolock", "low"),
     }
     assert [r["path"] for r in got.other_files.collect()] == ["notes.md"]
@@ -232,3 +232,107 @@ def test_catalogue_matches_plain_sql(spark):
         want = con.execute(SQL[name]).df()
         key = lambda df: sorted(zlib.crc32(repr([None if x is None or x != x else str(x) for x in r]).encode()) for r in df[sorted(df.columns)].itertuples(index=False))
         assert key(got) == key(want), name
+
+
+def plain_matches(before, after):
+    """The matcher with a whole table of lengths."""
+    n, m = len(before), len(after)
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if before[i] == after[j] else max(best[i + 1][j], best[i][j + 1])
+    out, olds, news, i, j = [], [], [], 0, 0
+    while i < n or j < m:
+        if i < n and j < m and before[i] == after[j]:
+            out += [(x, None) for x in olds] + [(None, x) for x in news] + [(i, j)]
+            olds, news, i, j = [], [], i + 1, j + 1
+        elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
+            olds.append(i)
+            i += 1
+        else:
+            news.append(j)
+            j += 1
+    return out + [(x, None) for x in olds] + [(None, x) for x in news]
+
+
+def test_matches_equal_those_of_the_whole_table():
+    rng = random.Random(1)
+    for _ in range(3000):
+        k = rng.choice([1, 2, 3, 5, 12])
+        a = [rng.randrange(k) for _ in range(rng.randrange(14))]
+        b = [x for x in a if rng.random() < 0.8] + [rng.randrange(k) for _ in range(rng.randrange(4))] if rng.random() < 0.5 else [rng.randrange(k) for _ in range(rng.randrange(14))]
+        assert sequence.matches(a, b) == plain_matches(a, b), (a, b)
+    for k in (2, 40, 300):
+        a, b = ([rng.randrange(k) for _ in range(200)] for _ in range(2))
+        assert sequence.matches(a, b) == plain_matches(a, b)
+
+
+def test_long_files_are_matched_in_bounded_time_and_memory():
+    import time
+    import tracemalloc
+
+    lines = [str(x) for x in range(20_000)]
+    other = lines[:]
+    random.Random(2).shuffle(other)
+    tracemalloc.start()
+    began = time.process_time()
+    got = sequence.matches(lines, other)
+    took, (_, peak) = time.process_time() - began, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(got) == 40_000 - sum(i is not None and j is not None for i, j in got)
+    assert took < 30 and peak < 60e6  # a table of all pairs would take 800 MB
+
+
+def test_oversized_files_are_skipped_and_seen(spark):
+    big = "// " + "x" * 60 + "\n"
+    changed = spark.createDataFrame([("dist/b.js", big * 49152, big * 49152 + "// more\n"), ("a.ts", "const a = 1", "const a = 2")], "path string, before string, after string")
+    got = check.analyze(changed, spark.createDataFrame([], "path string, content string"), check.empty_state(spark), "r")
+    files = {r["path"]: r for r in got.files.collect()}
+    assert files["dist/b.js"]["summary"] == "Skipped — file too large to analyze (3.0 MB > 2 MB)" and files["dist/b.js"]["skipped"]
+    assert files["a.ts"]["summary"] == "1 modified" and not files["a.ts"]["skipped"]
+    assert len(files["dist/b.js"]["skip_marker"]) == 81 and got.totals.first()["skipped_files"] == 1 and got.flags.count() == 0
+
+
+def test_lockfiles_that_cannot_be_read_vouch_by_their_text(spark):
+    changed = spark.createDataFrame([("package.json", "{}", '{"dependencies": {"a": "1", "ghost": "1"}}')], "path string, before string, after string")
+    worktree = spark.createDataFrame([("yarn.lock", "future format 12\n  entry a@1 ok\n")], "path string, content string")
+    got = check.dependency_flags(changed, worktree).select("name", "rule", "type").collect()
+    assert {tuple(r) for r in got} == {("a", "dep-added", "New dependency"), ("ghost", "dep-not-in-lockfile", "Dependency not in lockfile")}
+
+
+def test_approval_as_one_operation(spark):
+    state = spark.createDataFrame([("r", "reviewed", "gone", "x"), ("s", "reviewed", "kept", "x")], triage.SCHEMA)
+    approvals = spark.createDataFrame([("r", None, None, "old", "trust-point")], triage.APPROVALS)
+    tree = spark.createDataFrame([("r", "n1", "h1", "modified")], "repo string, node_id string, node_hash string, state string")
+    prints = spark.createDataFrame([("r", "abc"), ("s", "d")], "repo string, fingerprint string")
+    after, rows = triage.approve(state, approvals, tree, prints, "r", "new", "t1")
+    assert {(r["repo"], r["id"]) for r in after.collect()} == {("r", "n1"), ("s", "kept")}
+    assert [tuple(r) for r in rows.collect()] == [("r", "abc", "t1", "new", "trust-point")]
+    assert [tuple(r) for r in triage.revoke(rows, "r").collect()] == [("r", None, None, "new", "trust-point")]
+    pruned, based = triage.set_baseline(state, rows, tree, "r", "head")
+    assert {r["id"] for r in pruned.collect()} == {"kept"} and based.first()["baseline"] is None
+
+
+def test_flags_are_matched_on_six_fields():
+    flag = {"type": "T", "severity": "High", "file_path": "A.ts", "node_path": "f › g", "desc": "was removed"}
+    assert evalkit.flag_fits(flag, {"type": "T", "severity": "high", "file_path": "a.ts", "node_path_includes": "g", "desc_includes": "removed"})
+    assert not evalkit.flag_fits(flag, {"type": "T", "node_path": "f"}) and not evalkit.flag_fits(flag, {"desc_includes": "added"})
+    assert evalkit.assign_flags([{"type": "T"}, {"type": "T"}, {}], [flag, flag | {"type": "U"}]) == [0, None, 1]
+    want = [{"severity": "low", "file": "b", "aliases": ["x"]}, {"severity": "high", "file": "a", "aliases": ["y"]}]
+    assert evalkit.top_risk_first(want, [{"text": "y", "severity": "high", "file": "a"}]) and not evalkit.top_risk_first(want, [{"text": "x", "severity": "high", "file": "b"}])
+    assert evalkit.top_risk_first([], []) and not evalkit.top_risk_first([], [{"text": "x", "severity": "low", "file": "b"}])
+
+
+def test_files_are_held_against_expectations(spark):
+    want = spark.createDataFrame([("c", "a", "1 added", None), ("c", "b", None, 2), ("c", "z", None, None)], "case_id string, path string, summary string, risks int")
+    have = spark.createDataFrame([("c", "a", "2 added", 0), ("c", "b", "x", 2)], "case_id string, path string, summary string, risks int")
+    assert sorted(r["failure"] for r in evalkit.file_failures(want, have).collect()) == ["no such file: z", "summary of a: 1 added expected, 2 added"]
+
+
+def test_large_fingerprints_do_not_depend_on_order(spark):
+    flags = spark.createDataFrame([("r", f"f{i}") for i in range(9)], "repo string, flag_id string")
+    files = spark.createDataFrame([("r", f"p{i}", "h", None) for i in range(900)], "repo string, path string, content_hash string, skip_marker string")
+    others = spark.createDataFrame([], "repo string, marker string")
+    one = session.large_fingerprint(flags, files, others).first()["fingerprint"]
+    assert session.large_fingerprint(flags.repartition(4), files.orderBy(F.desc("path")), others).first()["fingerprint"] == one
+    assert session.large_fingerprint(flags, files.limit(899), others).first()["fingerprint"] != one

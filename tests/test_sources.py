@@ -200,3 +200,36 @@ def test_command_line(spark, repo, capsys, tmp_path):
     again, _ = cli.run(spark, str(repo), state_file=file)
     assert sinks.to_dict(again, head)["session"]["exit_code"] == 0
     assert cli.main(["check", "/nonexistent"]) == 64
+
+
+HARD = {
+    "word": "a" * 100_000, "calls": "f(" * 30_000, "ifs": "if " * 30_000, "lines": "x\n" * 20_000, "quotes": "it's " * 20_000, "angles": "a<" * 40_000, "templates": "`${" * 5_000,
+    "blanks": "a" + " " * 50_000 + "b\n", "tries": "try " * 20_000, "colons": "if x: " * 10_000, "marks": "@a" * 20_000, "empty": "a.\n" + "\n" * 30_000 + ".b", "braces": "{" * 10_000, "nested": "function f(a) {" * 1_500,
+}
+
+
+@pytest.mark.parametrize("name", list(HARD))
+def test_hard_texts_take_time_in_proportion(name):
+    import time
+
+    from driftloom.sources.packs import PACKS
+
+    for family in PACKS:
+        began = time.process_time()
+        syntax.parse(HARD[name], family)
+        syntax.facts(HARD[name], family, PACKS[family].exits)
+        assert time.process_time() - began < 12, family
+
+
+def test_a_million_characters_in_one_word():
+    import time
+
+    began = time.process_time()
+    assert len(syntax.parse("x = " + "a" * 1_000_000 + "\n", "python")) == 1
+    assert syntax.facts("a" * 1_000_000 + "(", "jsts", ("return",))["callees"] == ["a" * 1_000_000]
+    assert time.process_time() - began < 10
+
+
+def test_templates_within_templates_end_where_they_do():
+    text = "const a = `x${b ? `y${c}` : '}'}z`; eval(q)"
+    assert [text[s:e] for k, s, e in lexer.spans(text, "jsts")] == ["`x${b ? `y${c}` : '}'}z`"]
