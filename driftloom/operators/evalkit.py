@@ -75,6 +75,15 @@ def buckets(rows: DataFrame, bucket: Column) -> DataFrame:
     return out.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 
+def checked_buckets(rows: DataFrame, bucket: Column, total: int) -> DataFrame:
+    """``buckets``, after a check that they hold all of total rows."""
+    out = buckets(rows, bucket)
+    held = out.agg(F.sum("n")).first()[0] or 0
+    if held != total:
+        raise ValueError(f"buckets hold {held} of {total} rows")
+    return out
+
+
 def oracle_check(cases: DataFrame) -> DataFrame:
     """case_id, failures: what differs from expectations; cases: expected_* and actual_* of exit, changed_files, risk_count, and missing/forbidden counts."""
     part = lambda bad, text: F.when(bad, text)

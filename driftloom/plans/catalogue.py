@@ -119,13 +119,13 @@ def line_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {SIDES}, {LINES}, n AS (
-  SELECT *, substr(regexp_replace(substr(line, 1, 12), '[^A-Za-z0-9]', '_', 'g'), 1, 24) AS slug, regexp_replace(path, '[^A-Za-z0-9]', '_', 'g') AS file_id FROM lines
+  SELECT *, substr(regexp_replace(line, '[^A-Za-z0-9]', '_', 'g'), 1, 24) AS slug, regexp_replace(path, '[^A-Za-z0-9]', '_', 'g') AS file_id FROM lines
 ), w AS (SELECT *, row_number() OVER s - 1 AS k, count(*) OVER (PARTITION BY file_id, slug) AS c FROM n WINDOW s AS (PARTITION BY file_id, slug ORDER BY ord))
 SELECT ord, file_id || ':root:Line:' || slug || CASE WHEN c > 1 THEN '#' || k ELSE '' END AS node_id FROM w"""
 )
 def node_ids_with_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = drift.line_nodes(sides(spark, sf_dir).where("after IS NOT NULL"), "path", "after")
-    rows = rows.select(P.sanitize_id(F.col("path")).alias("file_id"), F.lit("root").alias("parent"), F.lit("Line").alias("kind"), F.substring("line", 1, 12).alias("name"), "ord")
+    rows = rows.select(P.sanitize_id(F.col("path")).alias("file_id"), F.lit("root").alias("parent"), F.lit("Line").alias("kind"), F.col("line").alias("name"), "ord")
     return drift.with_node_ids(rows, "file_id", "parent", "kind", "name", "ord").select("ord", "node_id")
 
 

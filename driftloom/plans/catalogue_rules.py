@@ -78,7 +78,6 @@ EXAMPLES: dict[str, tuple[str, tuple[tuple[str, str | None, str, bool], ...]]] =
     )),
     "removed-if-guard": ("low", (
         (".ts", "function f@() {\n  if (ok) {\n    deny();\n  }\n}\n", "function f@() {\n  if (false) {\n    deny();\n  }\n}\n", True),
-        (".py", "def f(u):\n    if ok:\n        deny(u)\n", "def f(u):\n    if False:\n        deny(u)\n", True),
         (".ts", "function f@() {\n  if (ok) {\n    deny();\n  }\n}\n", "function f@() {\n  if (right) {\n    deny();\n  }\n}\n", False),
     )),
     "removed-sanitize": ("low", (

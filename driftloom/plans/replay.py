@@ -43,5 +43,27 @@ def by_rule(flags: DataFrame) -> DataFrame:
 
 def coverage(flags: DataFrame) -> DataFrame:
     """target, code, dependency: flags of code rules and of dependency rules."""
-    dependency = F.col("rule").startswith("dep-") | F.col("rule").contains("script-")
+    dependency = F.col("rule").startswith("dep-") | F.col("rule").isin("script-changed", "cargo-build-script")
     return flags.groupBy("target").agg(F.count_if(~dependency).alias("code"), F.count_if(dependency).alias("dependency"))
+
+
+def coverage_card(flags: DataFrame, files: DataFrame) -> list[dict]:
+    """Of each target files, flags, and flags by kind; it is an error if kinds do not sum up to all flags. A row for each target reaches the driver."""
+    kinds = {r["target"]: r for r in coverage(flags).collect()}
+    out = []
+    for r in summary(flags, files).where("target IS NOT NULL").orderBy("target").collect():
+        code, dependency = (kinds[r["target"]][c] if r["target"] in kinds else 0 for c in ("code", "dependency"))
+        if code + dependency != r["flags"]:
+            raise ValueError(f"{r['target']}: {code} and {dependency} flags by kind, {r['flags']} in all")
+        out.append({"target": r["target"], "files": r["files"], "flags": r["flags"], "code": code, "dependency": dependency})
+    return out
+
+
+def report(flags: DataFrame, files: DataFrame, errors: DataFrame, generated_at: str) -> str:
+    """The replay as Markdown: targets, rules, and targets that failed."""
+    rows = summary(flags, files).orderBy(F.asc_nulls_last("target")).collect()
+    lines = ["# Replay", "", f"- generated: {generated_at}", "", "| Target | Files | Flags | Flags per file |", "|-|-|-|-|"]
+    lines += [f"| {r['target'] or 'all'} | {r['files']} | {r['flags']} | {r['flags_per_file']:.2f} |" for r in rows]
+    lines += ["", "| Finding | Flags |", "|-|-|", *(f"| {r['type']} | {r['n']} |" for r in by_rule(flags).collect())]
+    failed = errors.orderBy("target").collect()
+    return "\n".join([*lines, "", "## Failed", "", *(f"- {r['target']}: {r['error']}" for r in failed)] if failed else lines) + "\n"

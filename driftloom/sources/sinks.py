@@ -5,6 +5,7 @@ Reports are of one repository and are put together on the driver from rows that
 
 from __future__ import annotations
 
+import html
 import json
 from pathlib import Path
 
@@ -63,6 +64,23 @@ def markdown_report(found: Session, head: dict, generated_at: str, cap: int = 80
     return "\n".join(lines)
 
 
+def html_report(markdown: str, title: str) -> str:
+    """A report as a page of its own: the text as it stands, escaped."""
+    return f'<!doctype html>\n<html lang="en"><head><meta charset="utf-8"><title>{html.escape(title)}</title></head><body><pre>{html.escape(markdown)}</pre></body></html>\n'
+
+
+def write_results(folder: str, doc: dict, markdown: str, name: str = "latest") -> list[str]:
+    """Writes a result as JSON, Markdown and HTML, each put in place whole; returns the paths."""
+    at = Path(folder)
+    at.mkdir(parents=True, exist_ok=True)
+    texts = {"json": json.dumps(doc, indent=2, ensure_ascii=False), "md": markdown, "html": html_report(markdown, name)}
+    for kind, text in texts.items():
+        part = at / f"{name}.{kind}.part"
+        part.write_text(text, encoding="utf-8")
+        part.replace(at / f"{name}.{kind}")
+    return [str(at / f"{name}.{kind}") for kind in texts]
+
+
 def load_state(path: str, repo: str) -> tuple[list[tuple[str, str, str, str]], dict]:
     """(rows as triage.SCHEMA, approval and baseline) of a repository from the state file.
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,10 +82,30 @@ class KeyedState:
         self.epoch += 1
         self._write(rows, -1)
 
+    def settle(self, changes: int) -> bool:
+        """Whether the state was emptied because nothing has changed any more; a batch of the old epoch is stale then."""
+        if changes:
+            return False
+        self.refresh(self.rows().where("false"))
+        return True
+
     def live(self) -> DataFrame:
         return self.rows().where(~F.col(self.gone))
 
 
+def emit_session(folder: str, batch: int, doc: dict) -> str:
+    """Writes the session document of a batch; a batch that runs again replaces its own, and ``latest`` names the last."""
+    at = Path(folder)
+    at.mkdir(parents=True, exist_ok=True)
+    text = json.dumps(doc | {"batch": batch}, ensure_ascii=False)
+    known = json.loads((at / "latest.json").read_text(encoding="utf-8"))["batch"] if (at / "latest.json").exists() else -1
+    for name in (f"batch-{batch}.json", *(["latest.json"] if batch >= known else [])):
+        part = at / f"{name}.part"
+        part.write_text(text, encoding="utf-8")
+        part.replace(at / name)
+    return str(at / f"batch-{batch}.json")
+
+
 def _stream_folder(spark: SparkSession) -> str:
     """A new folder for a stream's state and checkpoints: in the shared one, or a temporary one in local mode."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
