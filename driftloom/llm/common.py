@@ -134,20 +134,21 @@ def dealt(df: DataFrame, least: int | None = None) -> DataFrame:
 def frequent(counts: DataFrame, word: str, n: str, most: int) -> dict[str, int]:
     """The words of counts (word, n) that are counted most often, at most ``most`` of them, each with its count.
 
-    Words are taken by steps of a sixteenth of an octave of counts, whole steps alone, so that ties are not split
-    and nothing but the chosen words reaches the driver.
+    Words are taken by steps of a sixteenth of an octave of counts; of the step that would be too much, those with the
+    least hashes. Little but the chosen words reaches the driver, and the choice does not depend on how rows are dealt.
     """
     step = F.floor(F.log2(F.col(n).cast("double")) * 16)
     steps = {r["step"]: r["k"] for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect()}  # under 1,024 rows
-    total, least = 0, None
+    total, wanted = 0, F.lit(False)
     for s in sorted(steps, reverse=True):
-        total += steps[s]
-        if total > most:
+        if total + steps[s] > most:
+            part = int((most - total) / steps[s] * 1_000_000)
+            wanted = wanted | ((step == s) & (F.pmod(F.xxhash64(word), F.lit(1_000_000)) < part))
             break
-        least = s
-    if least is None:
-        return {}
-    return {r[word]: r[n] for r in counts.where(step >= least).select(word, n).collect()}
+        total += steps[s]
+        wanted = step >= s
+    found = {r[word]: r[n] for r in counts.where(wanted).select(word, n).collect()}
+    return dict(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:most])
 
 
 def word_counts(texts: Iterator[list], most: int = 500_000) -> Iterator[pa.RecordBatch]:

@@ -8,9 +8,10 @@ import zlib
 from collections import Counter
 
 import pytest
-from helpers import LOWER, WORDS, documents
+from helpers import LOWER, ODD, WORDS, documents
+from pyspark.sql import functions as F
 
-from driftloom.llm import masked_lm, secrets, warc
+from driftloom.llm import langid, masked_lm, mixing, ngram_join, quality, secrets, warc
 
 
 def grams(text: str, width: int) -> set[tuple]:
@@ -262,3 +263,83 @@ def test_scores_equal_those_worked_out_one_token_at_a_time(spark):
 
     got = masked_lm.score(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), words, model).orderBy("doc_id").collect()
     assert all(abs(r["log_prob"] - plain(t)) < 1e-3 * (1 + abs(plain(t))) for r, t in zip(got, texts, strict=True))
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, `row` string, hit boolean, failed boolean, `rows` long, size long, copies long, `of_doc` long, bits string, `a.b` string, node string"
+
+
+def clashing(spark, rows):
+    """Rows of (doc_id, text, lang, source) with columns of the names that stages use within."""
+    return spark.createDataFrame([(i, t, lang, s, len(t or ""), "r", True, True, 9, 8, 7, 6, "b", "d", "n") for i, t, lang, s in rows], CLASHING)
+
+
+STAGE_FORMS = {
+    "keep": lambda docs: quality.keep(docs),
+    "one_of_each": lambda docs: ngram_join.one_of_each(docs),
+    "redact": lambda docs: secrets.redact(docs),
+    "emit": lambda docs: mixing.emit(docs),
+}
+
+
+@pytest.mark.parametrize("name", list(STAGE_FORMS))
+def test_stage_forms_take_odd_rows_columns_of_any_name_and_no_rows(spark, name):
+    docs = clashing(spark, ODD)
+    got = STAGE_FORMS[name](docs)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert all(r["row"] == "r" and r["a.b"] == "d" and r["size"] == 8 and r["node"] == "n" for r in rows)
+    ids = Counter(r["doc_id"] for r in rows)
+    if name == "keep":
+        assert set(ids) == {4, 5} or set(ids) <= {4, 5}  # the others have under ten words or are repeats
+    elif name == "one_of_each":
+        assert ids[4] == 1 and ids[5] == 0 and ids[None] == 1 and ids[1] == ids[2] == ids[3] == 1
+    elif name == "redact":
+        assert len(rows) == len(ODD) and [r["text"] for r in rows if r["doc_id"] == 1] == [None]
+    assert STAGE_FORMS[name](docs.limit(0)).count() == 0
+
+
+def test_a_repeated_id_is_judged_by_its_own_texts(spark):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(40))
+    rows = [(7, text(1), "en", "s"), (7, text(2), "en", "s"), (3, text(2), "en", "s"), (7, text(1), "en", "s")]
+    got = ngram_join.one_of_each(documents(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(3, text(2)), (7, text(1))]
+
+
+def test_filters_never_miss(spark):
+    from driftloom.llm.common import may_hold, membership
+
+    held = spark.range(0, 3000, 3)
+    tested = may_hold(spark.range(-100, 3000).withColumnRenamed("id", "k"), F.col("k"), membership(held)).collect()
+    assert all(r["hit"] for r in tested if 0 <= r["k"] and r["k"] % 3 == 0)
+    assert sum(r["hit"] for r in tested) < 1000 + 20
+
+
+def test_the_pipeline_runs_over_odd_rows_and_none(spark, tmp_path):
+    import corpus_pipeline
+
+    good = [(100 + k, " ".join(f"d{k}w{i}" for i in range(30)), "en", "a") for k in range(6)] + [(200, " ".join(f"d0w{i}" for i in range(30)), "en", "b")]
+    docs = documents(spark, [*ODD, *good, (300, "password: hunter2hunter " + " ".join(f"s{i}" for i in range(30)), "en", "a")]).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(str(tmp_path / "one" / "documents.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path / "one")).collect()
+    ids = {r["doc_id"] for r in rows}
+    assert {100 + k for k in range(6)} <= ids and 200 not in ids and not ids & {1, 2, 3, 6, 7}
+    used = {}
+    for r in rows:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in x) <= 1024 and sorted(x)[0][0] == 0 for x in used.values())
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_many_distinct_triples_take_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    found = [langid.grams_of("".join(chr(c) for c in rng.integers(0x4E00, 0x9FA5, 4000))) for _ in range(16)]
+    tracemalloc.start()
+    got = langid.text_vectors(found)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert got.shape == (16, langid.DIMENSIONS) and peak < 150e6
