@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, masked_lm, mixing, ngram_join, packing, quality, secrets, token_counts, topk, warc
+from . import langid, masked_lm, mixing, ngram_join, packing, phrases, quality, secrets, sharding, spelling, token_counts, topk, warc
 from .common import table
 
 
@@ -51,6 +51,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -64,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixing,
         op9_masked_lm,
         op10_warc,
+        op11_sharding,
+        op12_spelling_variants,
+        op13_phrase_collocations,
     )
 }
 SQL: dict[str, str] = {
@@ -71,4 +86,7 @@ SQL: dict[str, str] = {
     "op5_quality_rules": quality.SQL,
     "op8_mixing": mixing.SQL,
     "op10_warc": warc.SQL,
+    "op11_sharding": sharding.SQL,
+    "op12_spelling_variants": spelling.SQL,
+    "op13_phrase_collocations": phrases.SQL,
 }
