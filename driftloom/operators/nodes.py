@@ -22,7 +22,7 @@ from driftloom.sources.packs import PACKS
 
 from .sequence import diff_nodes
 
-FACTS = "struct<code:string,plain:string,callees:array<string>,conditions:array<string>,guarded:array<string>,guard_clauses:int,tries:int,tried:array<string>,patterns:array<string>,compiled:array<string>>"
+FACTS = "struct<code:string,plain:string,callees:array<string>,conditions:array<string>,guarded:array<string>,guard_clauses:int,tries:int,tried:array<string>,patterns:array<string>,compiled:array<string>,hits:array<string>>"
 SCHEMA = f"""path string, file_id string, family string, node_id string, parent_id string, parent_name string, depth int, pre_ord int, kind string, name string, signature string, state string,
 before array<string>, after array<string>, node_hash string, before_facts {FACTS}, after_facts {FACTS}"""
 #: Files of which either side has more bytes are listed as skipped and not parsed.

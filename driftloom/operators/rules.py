@@ -23,7 +23,6 @@ ALL = tuple(PACKS)
 # Patterns of the rules that are alike for all families.
 SECRETS = (r"AKIA[0-9A-Z]{16}", r"\bsk-[A-Za-z0-9]{16,}", r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
 DEFINES_SANITIZER = r"\b(?:func|fn|def|fun|void|sub)\s+(?:sanitize|escape|validate)\w*"
-NEW_FUNCTION = r"\bnew\s+Function\s*\("
 
 
 @dataclass(frozen=True)
@@ -90,6 +89,11 @@ def line_with(pick: Callable[[Pack], str | None], view: str) -> Column:
     return out
 
 
+def newly(structure: str) -> Column:
+    """Whether the tree of the side after has a structure that the side before has not."""
+    return F.array_contains(fact("after", "hits"), structure) & ~F.array_contains(fact("before", "hits"), structure)
+
+
 NOT_TEST = lambda: ~F.col("is_test")
 IS_JS = lambda: F.col("family") == "jsts"
 
@@ -203,12 +207,12 @@ def _say(text: str) -> Callable[[], Column]:
 A, M, R = "added", "modified", "removed"
 RULES: tuple[Rule, ...] = (
     Rule("hardcoded-secret", "Hardcoded secret", "high", (A, M), ALL, lambda: _secret_line().isNotNull(), _say("A line holds what looks like a credential."), _secret_line),
-    Rule("eval-call", "Dynamic code execution", "high", (A, M), ("jsts", "python", "java", "csharp", "kotlin"), lambda: NOT_TEST() & by_family(lambda p: p.evaluates, lambda x: new(x, "code")), _say("Code is built and run at run time.")),
-    Rule("fn-constructor", "Dynamic code execution", "high", (A, M), ("jsts",), lambda: new(NEW_FUNCTION, "code"), _say("A function is built from text at run time.")),
+    Rule("eval-call", "Dynamic code execution", "high", (A, M), ("jsts", "python", "java", "csharp", "kotlin"), lambda: NOT_TEST() & F.when(IS_JS(), newly("eval")).otherwise(by_family(lambda p: p.evaluates, lambda x: new(x, "code"))), _say("Code is built and run at run time.")),
+    Rule("fn-constructor", "Dynamic code execution", "high", (A, M), ("jsts",), lambda: newly("function-constructor"), _say("A function is built from text at run time.")),
     Rule("child-process", "Child process execution", "high", (A, M), ALL, _child_process, _say("Another program is run.")),
-    Rule("tls-reject-false", "Disabled TLS verification", "high", (A, M), ALL, lambda: NOT_TEST() & by_family(lambda p: p.tls, lambda x: new(x, "code")), _say("Certificates are no longer verified."), lambda: line_with(lambda p: p.tls, "code")),
+    Rule("tls-reject-false", "Disabled TLS verification", "high", (A, M), ALL, lambda: NOT_TEST() & F.when(IS_JS(), newly("unverified-tls")).otherwise(by_family(lambda p: p.tls, lambda x: new(x, "code"))), _say("Certificates are no longer verified."), lambda: line_with(lambda p: p.tls, "code")),
     Rule("env-tls-reject", "Disabled TLS verification", "high", (A, M), ("jsts", "python"), lambda: by_family(lambda p: p.env_tls, lambda x: F.when(IS_JS(), new(x, "text")).otherwise(new(x, "plain") & side("after", "text").contains("environ"))), _say("A variable of the environment turns certificate checks off.")),
-    Rule("broadened-cors", "Broadened CORS", "high", (A, M), ALL, lambda: NOT_TEST() & (IS_JS() | T.has_cors_token(side("after", "text"))) & viewed(lambda p: p.cors_in_strings, lambda p: p.cors), _say("Any origin is allowed.")),
+    Rule("broadened-cors", "Broadened CORS", "high", (A, M), ALL, lambda: NOT_TEST() & F.when(IS_JS(), newly("any-origin")).otherwise(T.has_cors_token(side("after", "text")) & viewed(lambda p: p.cors_in_strings, lambda p: p.cors)), _say("Any origin is allowed.")),
     Rule("cookie-httponly-removed", "Weakened cookie flags", "high", (M,), tuple(f for f in ALL if f != "swift"), lambda: _cookie(lambda p: p.http_only), _say("Scripts can read a cookie now.")),
     Rule("cookie-secure-removed", "Weakened cookie flags", "high", (M,), tuple(f for f in ALL if f != "swift"), lambda: _cookie(lambda p: p.secure), _say("A cookie is sent over plain connections now.")),
     Rule("samesite-weakened", "Weakened cookie flags", "high", (M,), tuple(f for f in ALL if f != "swift"), _same_site, _say("A cookie is sent to other sites' requests now.")),

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from driftloom.functions import paths as P
 from driftloom.functions import text as T
+from driftloom.functions.scratch import written
 from driftloom.operators import deps, drift, evalkit, nodes, rules, sequence, session, triage
 from driftloom.sources import manifests
 from driftloom.streaming import watch
 
-from .sides import FLAGS, SIDES, code, sides
+from .sides import FLAGS, SIDES, changed_sides, sides
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -155,32 +156,34 @@ def word_lcs_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", sequence.lcs_length(F.col("a"), F.col("b")).cast("long").alias("lcs"))
 
 
-@query(f"WITH {SIDES}, {FLAGS} SELECT path, 'const key = \"AKIA' || upper(substr(md5(doc_id::VARCHAR), 1, 16)) || '\";' AS evidence FROM rated WHERE rule = 'hardcoded-secret'")
+@query(f"WITH {SIDES}, {FLAGS} SELECT path, regexp_extract(after, '[^\\n]*(?:AKIA[0-9A-Z]{{16}}|\\bsk-[A-Za-z0-9]{{16,}})[^\\n]*') AS evidence FROM rated WHERE rule = 'hardcoded-secret'")
 def secret_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flags(spark, sf_dir).where("rule = 'hardcoded-secret'").select("path", "evidence")
 
 
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flags of the whole registry over the scripts beside changed documents; path: the document's."""
-    scripts = code(spark, sf_dir)
-    tree = nodes.drift_nodes(scripts).withColumn("declared", F.array().cast("array<string>"))
+    """Flags of the whole registry over the whole texts of changed documents. They are written once, so that no use of them parses again."""
+    changed = changed_sides(spark, sf_dir)
+    tree = nodes.drift_nodes(changed).withColumn("declared", F.array().cast("array<string>"))
     found = rules.flags(tree).select(F.col("path").alias("at"), "rule", "severity", "evidence")
-    own = scripts.select("doc_id", "source", F.col("of_path"), F.col("path").alias("script"), F.md5(F.col("text").cast("binary")).alias("node_hash"))
-    out = found.join(own, F.col("at") == F.col("script")).select("doc_id", "source", F.col("of_path").alias("path"), "rule", "severity", "evidence", "node_hash")
-    return out.withColumn("flag_id", F.concat("rule", F.lit("@"), P.sanitize_id(F.col("path")))).withColumn("repo", F.lit("r"))
+    own = changed.where("after IS NOT NULL").select("doc_id", "source", "path", F.md5(F.col("after").cast("binary")).alias("node_hash"))
+    out = found.join(own, F.col("at") == F.col("path")).select("doc_id", "source", "path", "rule", "severity", "evidence", "node_hash")
+    out = out.withColumn("flag_id", F.concat("rule", F.lit("@"), P.sanitize_id(F.col("path")))).withColumn("repo", F.lit("r"))
+    return written(out, "flags")
 
 
 def _triage_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third document of good quality has been dismissed, with the content that it has now, whatever was wrong with it."""
     good = _read(spark, sf_dir, "labels").where("quality = 1 AND doc_id % 3 = 0").select("doc_id").distinct()
     every = F.explode(F.array(*[F.lit(r.rule) for r in rules.RULES]))
-    rows = code(spark, sf_dir).join(good, "doc_id", "left_semi").select(F.lit("r").alias("repo"), every.alias("rule"), F.col("of_path").alias("path"), F.md5(F.col("text").cast("binary")).alias("node_hash"))
+    now = changed_sides(spark, sf_dir).where("after IS NOT NULL").join(good, "doc_id", "left_semi")
+    rows = now.select(F.lit("r").alias("repo"), every.alias("rule"), "path", F.md5(F.col("after").cast("binary")).alias("node_hash"))
     rows = rows.withColumn("flag_id", F.concat("rule", F.lit("@"), P.sanitize_id(F.col("path"))))
     return rows.select("repo", F.lit("dismissed").alias("kind"), F.col("flag_id").alias("id"), F.col("node_hash").alias("hash"))
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triage.with_dismissed(_flags(spark, sf_dir), _triage_state(spark, sf_dir))
+    return written(triage.with_dismissed(_flags(spark, sf_dir), _triage_state(spark, sf_dir)), "judged")
 
 
 @query(f"WITH {SIDES}, {FLAGS} SELECT path, rule, severity FROM rated")
@@ -292,13 +295,13 @@ def file_risks_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir).rollup("source", "path").agg(F.count_if(~F.col("dismissed")).alias("risks"), F.grouping_id().alias("level"))
 
 
-def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _files(spark: SparkSession, sf_dir: str, judged: DataFrame | None = None) -> DataFrame:
     """Changed files with their roll-ups; each file is one node, and those of good quality have been reviewed."""
     both = sides(spark, sf_dir).where(~F.col("before").eqNullSafe(F.col("after")))
     good = _read(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("__doc")).distinct()
     nodes = both.join(good, F.col("doc_id") == F.col("__doc"), "left").select("path", F.lit("modified").alias("state"), F.col("__doc").isNotNull().alias("reviewed"))
     files = both.select("doc_id", "source", "path", P.dir_of(F.col("path")).alias("dir"), P.file_name(F.col("path")).alias("name"))
-    return session.file_rollup(files, _judged(spark, sf_dir), nodes)
+    return session.file_rollup(files, _judged(spark, sf_dir) if judged is None else judged, nodes)
 
 
 FILES = f"""WITH {SIDES}, {FLAGS}, files AS (
@@ -315,8 +318,8 @@ FILES = f"""WITH {SIDES}, {FLAGS}, files AS (
 FROM files JOIN (SELECT source, max(CASE WHEN dismissed THEN 0 WHEN severity = 'high' THEN 3 WHEN severity = 'medium' THEN 2 ELSE 1 END)::INTEGER AS exit_code FROM judged GROUP BY 1) x USING (source) GROUP BY source"""
 )
 def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = session.exit_code(_judged(spark, sf_dir), ["source"])
-    return session.session_totals(_files(spark, sf_dir), ["source"]).join(codes, "source")
+    judged = _judged(spark, sf_dir)
+    return session.session_totals(_files(spark, sf_dir, judged), ["source"]).join(session.exit_code(judged, ["source"]), "source")
 
 
 @query(

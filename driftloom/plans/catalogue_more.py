@@ -64,7 +64,8 @@ def ci_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(FILES + " SELECT 'flag' AS kind, flag_id AS id FROM judged WHERE NOT dismissed ORDER BY CASE severity WHEN 'high' THEN 0 ELSE 2 END, path, doc_id LIMIT 1")
 def default_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return session.default_selection(_judged(spark, sf_dir).withColumn("pre_ord", F.col("doc_id")), _files(spark, sf_dir))
+    judged = _judged(spark, sf_dir)
+    return session.default_selection(judged.withColumn("pre_ord", F.col("doc_id")), _files(spark, sf_dir, judged))
 
 
 @query(f"WITH {SIDES}, {FLAGS} SELECT flag_id AS id, CASE WHEN doc_id % 2 = 0 THEN node_hash ELSE 'kept' END AS hash FROM rated")

@@ -33,13 +33,10 @@ class Pack:
 PACKS: dict[str, Pack] = {
     "jsts": Pack(
         falsy=("false", "0", "null", "undefined"),
-        evaluates=r"\beval\s*\(",
-        tls=r"rejectUnauthorized\s*:\s*false",
         env_tls=r"""NODE_TLS_REJECT_UNAUTHORIZED\s*=\s*['"]?0""",
         subprocess_import=r"""(require\s*\(\s*['"](?:node:)?child_process['"]|from\s+['"](?:node:)?child_process['"])""",
         import_in_strings=True,
         subprocess_call=r"\.(exec|execSync|spawn|spawnSync)\s*\(",
-        cors=r"""\borigin\s*:\s*(true\b|['"]\*['"]|\[\s*['"]\*['"]\s*\])""",
         http_only=r"httpOnly\s*:\s*true",
         secure=r"secure\s*:\s*true",
         same_site=r"""sameSite\s*:\s*['"]?(Strict|Lax|strict|lax)""",

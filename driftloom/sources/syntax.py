@@ -12,22 +12,7 @@ from collections import Counter
 from dataclasses import dataclass, field
 from functools import cache, cached_property
 
-from . import lexer
-
-# Words that stand before a bracket without being called.
-CONTROL = frozenset("if for while switch catch return typeof else do try throw case in of match when guard repeat foreach await yield".split())
-FAMILY_CONTROL = {
-    "jsts": frozenset({"function", "import", "new"}),
-    "rust": frozenset({"fn", "loop", "as", "pub"}),
-    "go": frozenset({"func", "go", "defer", "select", "range", "map", "import", "var", "const", "type"}),
-    "python": frozenset("def class lambda not and or elif assert del with from import is print_ except raise".split()),
-    "java": frozenset({"synchronized", "super", "this", "new"}),
-    "csharp": frozenset({"using", "lock", "fixed", "nameof", "sizeof", "base", "this", "default", "new"}),
-    "kotlin": frozenset({"fun", "constructor", "get", "set"}),
-    "swift": frozenset({"func", "init", "where"}),
-}
-DECLARES = re.compile(r"\b(?:function\*?|fn|func|fun|def|class|struct|enum|interface|trait|impl|new|record|init|deinit|protocol|extension|actor|macro_rules!)\s*$")
-
+from . import lexer, tree
 
 @dataclass
 class Node:
@@ -44,8 +29,6 @@ class Node:
 _OPEN, _CLOSE = "([{", ")]}"
 _BRACKET, _OPENING = re.compile(r"[()\[\]{}]"), re.compile(r"[(\[{]")
 _SPACE, _WORD_RUN = re.compile(r"\s*+"), re.compile(r"[\w$]++")
-#: Characters in which a statement's beginning or end is recognised, and its kind, name and signature.
-HEAD, SHAPE_HEAD = 400, 4_000
 #: Containers within containers that are looked into.
 DEEPEST = 100
 
@@ -114,10 +97,16 @@ class Source:
         k = bisect_left(self.ends, at)
         return self.ends[k] if k < len(self.ends) else len(self.code)
 
+    @cached_property
+    def tree(self) -> tree.Tree:
+        return tree.Tree(self.text, self.code, self.family, self.spans)
+
     @cached_property
     def calls(self) -> list[tuple[int, str]]:
         """(place, name) of what is called, the last part of a member's name, in order."""
-        return list(_calls(self))
+        if "(" not in self.text:
+            return []
+        return [(m["callee"].start, m["callee"].value) for m in tree.matches(self.tree, tree.CALLEES)]
 
 
 # --- statements of families with braces -------------------------------------------------------------------
@@ -132,8 +121,8 @@ _BLOCK_HEAD = {
     "swift": r"",
 }
 _GENERIC = r"<[^;{}()<>]*+(?:<[^;{}()<>]*+(?:<[^;{}()<>]*+>[^;{}()<>]*+)*+>[^;{}()<>]*+)*+>"
-_ANY_BLOCK = re.compile(r"(?:@[\w.]++(?:\s*+\([^)]*+\))?\s*+)*+(?:[\w\[\]<>,.?]++\s++)*?(?:class|interface|enum|record|struct|namespace|object|fun|func|init|deinit|protocol|extension|actor|if|for|foreach|while|do|try|switch|when|guard|repeat|using|lock|synchronized|static|companion)\b")
-_METHOD = re.compile(r"(?:@[\w.]++(?:\s*+\([^)]*+\))?\s*+|\[[^\]\n]*+\]\s*+)*+(?:[\w.]++(?:" + _GENERIC + r")?(?:\[\])*+\??\s++)*[\w]++\s*+(?:" + _GENERIC + r")?\s*+\(")
+_ANY_BLOCK = re.compile(r"(?:[\w\[\]<>,.?]++[ \t]++)*?(?:class|interface|enum|record|struct|namespace|object|fun|func|init|deinit|protocol|extension|actor|if|for|foreach|while|do|try|switch|when|guard|repeat|using|lock|synchronized|static|companion)\b")
+_METHOD = re.compile(r"(?:[\w.]++(?:" + _GENERIC + r")?(?:\[\])*+\??\s++)*[\w]++\s*+(?:" + _GENERIC + r")?\s*+\(")
 _CONTINUES = re.compile(r"\s*+(?:else\b|catch\b|finally\b|while\b(?=\s*+\())")
 _JOINS_NEXT = re.compile(r"(?:[+\-*/%=<>&|^?:,.(\[{!~]|=>|->|\b(?:return|in|of|extends|implements|where|as|is|throws|async|await|public|private|static|export|default|const|let|var|else|from|import))\Z")
 _JOINS_BEFORE = re.compile(r"(?:[.?:)\]},+*/%=<>&|^]|&&|\|\||\{|->|=>|(?:else|catch|finally|where|instanceof|extends|implements|in|as|is|of|from|throws)\b)")
@@ -146,13 +135,35 @@ _ATTRIBUTE, _DEFAULT_OBJECT = re.compile(r"#!?\["), re.compile(r"export\s++defau
 _LOOPS, _CHAINS = re.compile(r"(?:do|repeat)\b"), re.compile(r"(?:\w+:\s*)?(?:if|try|do|guard|\}|repeat)\b")
 
 
-def _is_block(code: str, start: int, end: int, family: str) -> bool:
-    end = min(end, start + HEAD)
+_MODS = r"(?:(?:public|private|protected|internal|static|final|abstract|sealed|partial|virtual|override|readonly|async|unsafe|extern|new|open|data|inline|suspend|lateinit|const|fileprivate|mutating|nonisolated|lazy|weak|required|convenience|default|synchronized|native|volatile|transient|strictfp|inner|value|annotation|tailrec|operator|infix|external|actual|expect|vararg|non-sealed)\s+)*"
+_NOTE, _MODIFIERS = re.compile(r"@(?!interface\b)[\w.:]++(?:\s*+(\())?"), re.compile(_MODS)
+
+
+def _declared(source: Source, start: int, end: int) -> int:
+    """Where a statement begins after its annotations and attributes, whatever these hold."""
+    code, at = source.code, start
+    if source.family not in ("java", "csharp", "kotlin", "swift"):
+        return at
+    while at < end:
+        if m := _NOTE.match(code, at, end):
+            at = source.closing(m.start(1), end) + 1 if m[1] else m.end()
+        elif code[at] == "[" and source.family == "csharp":
+            at = source.closing(at, end) + 1
+        else:
+            break
+        at = _SPACE.match(code, min(at, end), end).end()
+    return at
+
+
+def _is_block(source: Source, start: int, end: int) -> bool:
+    """Whether a statement that begins here ends with its block. What a pattern runs over is part of the statement."""
+    code, family = source.code, source.family
     if family in _HEADS:
         return _HEADS[family].match(code, start, end) is not None
-    if _ANY_BLOCK.match(code, start, end):
+    start = _declared(source, start, end)
+    if _ANY_BLOCK.match(code, _MODIFIERS.match(code, start, end).end(), end):
         return True
-    return family in ("java", "csharp") and _METHOD.match(code, start, end) is not None and "=" not in code[start:end].split("(", 1)[0]
+    return family in ("java", "csharp") and _METHOD.match(code, start, end) is not None
 
 
 def statements(source: Source, start: int, end: int) -> list[tuple[int, int]]:
@@ -171,8 +182,8 @@ def statements(source: Source, start: int, end: int) -> list[tuple[int, int]]:
         if family == "rust" and code[i] == "#" and (m := _ATTRIBUTE.match(code, i)):
             i = source.closing(m.end() - 1, end) + 1
             continue
-        s, block = i, _is_block(code, i, end, family)
-        if family == "jsts" and block and _DEFAULT_OBJECT.match(code, i, i + HEAD):
+        s, block = i, _is_block(source, i, end)
+        if family == "jsts" and block and _DEFAULT_OBJECT.match(code, i):
             block = False
         while i < end:
             m = stops.search(code, i, end)
@@ -185,8 +196,7 @@ def statements(source: Source, start: int, end: int) -> list[tuple[int, int]]:
                 if c == "{" and block:
                     after = _CONTINUES.match(code, i)
                     word = after and after[0].strip()
-                    top = min(i, s + HEAD)
-                    if word and (word != "while" or _LOOPS.match(code, s, top)) and _CHAINS.match(code, s, top):
+                    if word and (word != "while" or _LOOPS.match(code, s, i)) and _CHAINS.match(code, s, i):
                         i = after.end()
                         if word == "while":
                             block = False
@@ -260,8 +270,6 @@ class Shape:
     signature: bool = False
 
 
-_MODS = r"(?:(?:public|private|protected|internal|static|final|abstract|sealed|partial|virtual|override|readonly|async|unsafe|extern|new|open|data|inline|suspend|lateinit|const|fileprivate|mutating|nonisolated|lazy|weak|required|convenience|default|synchronized|native|volatile|transient|strictfp|inner|value|annotation|tailrec|operator|infix|external|actual|expect|vararg|non-sealed)\s+)*"
-_ANNOTATIONS = r"(?:@[\w.]++(?:\s*+\((?:[^()]++|\([^()]*+\))*+\))?\s*+|\[[^\]\n]*+\]\s*+)*"
 SHAPES: dict[str, tuple[Shape, ...]] = {
     "jsts": (
         Shape("ImportDeclaration", r"import\b(?!\s*\()"),
@@ -305,46 +313,46 @@ SHAPES: dict[str, tuple[Shape, ...]] = {
     "java": (
         Shape("PackageDeclaration", r"package\s+(?P<name>[\w.]+)"),
         Shape("ImportDeclaration", r"import\s+(?:static\s+)?(?P<name>[\w.*]+)"),
-        Shape("InterfaceDeclaration", _ANNOTATIONS + _MODS + r"@?interface\s+(?P<name>\w+)", inside=True),
-        Shape("ClassDeclaration", _ANNOTATIONS + _MODS + r"(?:class|enum|record)\s+(?P<name>\w+)", inside=True),
+        Shape("InterfaceDeclaration", _MODS + r"@?interface\s+(?P<name>\w+)", inside=True),
+        Shape("ClassDeclaration", _MODS + r"(?:class|enum|record)\s+(?P<name>\w+)", inside=True),
         Shape("IfStatement", r"if\b"),
         Shape("ReturnStatement", r"return\b"),
         Shape("try_statement", r"try\b"),
         Shape("for_statement", r"for\b"),
         Shape("while_statement", r"while\b"),
         Shape("throw_statement", r"throw\b"),
-        Shape("FunctionDeclaration", _ANNOTATIONS + _MODS + r"(?:<[^>]*>\s*)?(?:[\w.]++(?:" + _GENERIC + r")?(?:\[\])*\s+)?(?P<name>\w+)\s*\([^;{}]*\)\s*(?:throws\s++[\w.,\s]++)?+(?=\{|;)", inside=True, signature=True),
-        Shape("VariableDeclaration", _ANNOTATIONS + _MODS + r"[\w.]++(?:" + _GENERIC + r")?(?:\[\])*\s+(?P<name>\w+)\s*(?:=|;|,)"),
+        Shape("FunctionDeclaration", _MODS + r"(?:<[^>]*>\s*)?(?P<type>(?!(?:assert|else|yield|case|do|throw|return)\b)[\w.]++(?:" + _GENERIC + r")?(?:\[\])*\s+)?(?P<name>\w+)\s*\([^;{}]*\)\s*(?:throws\s++[\w.,\s]++)?+(?(type)(?=\{|;)|(?=\{))", inside=True, signature=True),
+        Shape("VariableDeclaration", _MODS + r"[\w.]++(?:" + _GENERIC + r")?(?:\[\])*\s+(?P<name>\w+)\s*(?:=|;|,)"),
     ),
     "csharp": (
         Shape("ImportDeclaration", r"(?:global\s+)?using\s+(?!var\b)(?:static\s+)?(?P<name>[\w.]+)\s*(?:=[^;]*)?;"),
         Shape("PackageDeclaration", r"namespace\s+(?P<name>[\w.]+)"),
-        Shape("InterfaceDeclaration", _ANNOTATIONS + _MODS + r"interface\s+(?P<name>\w+)", inside=True),
-        Shape("ClassDeclaration", _ANNOTATIONS + _MODS + r"(?:class|struct|record(?:\s+struct)?|enum)\s+(?P<name>\w+)", inside=True),
+        Shape("InterfaceDeclaration", _MODS + r"interface\s+(?P<name>\w+)", inside=True),
+        Shape("ClassDeclaration", _MODS + r"(?:class|struct|record(?:\s+struct)?|enum)\s+(?P<name>\w+)", inside=True),
         Shape("IfStatement", r"if\b"),
         Shape("ReturnStatement", r"return\b"),
         Shape("try_statement", r"try\b"),
         Shape("for_statement", r"for(?:each)?\b"),
         Shape("while_statement", r"while\b"),
         Shape("throw_statement", r"throw\b"),
-        Shape("FunctionDeclaration", _ANNOTATIONS + _MODS + r"(?:[\w.]++(?:" + _GENERIC + r")?(?:\[\])*\??\s+)?(?P<name>\w+)\s*(?:<[^>]*>)?\s*\([^;{}]*\)\s*(?::\s*(?:base|this)\s*\([^)]*\)\s*|where\s+[^{]*)?(?=\{|=>)", inside=True, signature=True),
-        Shape("VariableDeclaration", _ANNOTATIONS + _MODS + r"(?:using\s+)?[\w.]++(?:" + _GENERIC + r")?(?:\[\])*\??\s+(?P<name>\w+)\s*(?:=|;|,|\{)"),
+        Shape("FunctionDeclaration", _MODS + r"(?:[\w.]++(?:" + _GENERIC + r")?(?:\[\])*\??\s+)?(?P<name>\w+)\s*(?:<[^>]*>)?\s*\([^;{}]*\)\s*(?::\s*(?:base|this)\s*\([^)]*\)\s*|where\s+[^{]*)?(?=\{|=>)", inside=True, signature=True),
+        Shape("VariableDeclaration", _MODS + r"(?:using\s+)?[\w.]++(?:" + _GENERIC + r")?(?:\[\])*\??\s+(?P<name>\w+)\s*(?:=|;|,|\{)"),
     ),
     "kotlin": (
         Shape("PackageDeclaration", r"package\s+(?P<name>[\w.]+)"),
         Shape("ImportDeclaration", r"import\s+(?P<name>[\w.*]+)"),
-        Shape("ClassDeclaration", _ANNOTATIONS + _MODS + r"(?:(?:enum\s+|fun\s+)?(?:class|interface)|companion\s+object|object)\b\s*(?P<name>\w+)?", inside=True),
-        Shape("FunctionDeclaration", _ANNOTATIONS + _MODS + r"fun\s+(?:<[^>]*>\s*)?(?:[\w.<>?]+\.)?(?P<name>\w+)", inside=True, signature=True),
-        Shape("VariableDeclaration", _ANNOTATIONS + _MODS + r"(?:val|var)\s+(?:<[^>]*>\s*)?(?P<name>[\w.]+|\([^)]*\))"),
+        Shape("ClassDeclaration", _MODS + r"(?:(?:enum\s+|fun\s+)?(?:class|interface)|companion\s+object|object)\b\s*(?P<name>\w+)?", inside=True),
+        Shape("FunctionDeclaration", _MODS + r"fun\s+(?:<[^>]*>\s*)?(?:[\w.<>?]+\.)?(?P<name>\w+)", inside=True, signature=True),
+        Shape("VariableDeclaration", _MODS + r"(?:val|var)\s+(?:<[^>]*>\s*)?(?P<name>[\w.]+|\([^)]*\))"),
         Shape("IfStatement", r"if\b"),
         Shape("ReturnStatement", r"return\b"),
     ),
     "swift": (
         Shape("ImportDeclaration", r"(?:@\w+\s+)?import\s+(?:\w+\s+)?(?P<name>[\w.]+)"),
-        Shape("ClassDeclaration", _ANNOTATIONS + _MODS + r"(?:indirect\s+)?(?:class|struct|enum|actor|extension)\s+(?!func\b|var\b)(?P<name>[\w.]+)", inside=True),
-        Shape("InterfaceDeclaration", _ANNOTATIONS + _MODS + r"protocol\s+(?P<name>\w+)", inside=True),
-        Shape("FunctionDeclaration", _ANNOTATIONS + _MODS + r"(?:class\s+)?(?:func\s+(?P<name>[\w+\-*/=<>!&|^~%]+)|(?P<other>init|deinit)\b)", inside=True, signature=True),
-        Shape("VariableDeclaration", _ANNOTATIONS + _MODS + r"(?:class\s+)?(?:let|var)\s+(?P<name>\w+|\([^)]*\))"),
+        Shape("ClassDeclaration", _MODS + r"(?:indirect\s+)?(?:class|struct|enum|actor|extension)\s+(?!func\b|var\b)(?P<name>[\w.]+)", inside=True),
+        Shape("InterfaceDeclaration", _MODS + r"protocol\s+(?P<name>\w+)", inside=True),
+        Shape("FunctionDeclaration", _MODS + r"(?:class\s+)?(?:func\s+(?P<name>[\w+\-*/=<>!&|^~%]+)|(?P<other>init|deinit)\b)", inside=True, signature=True),
+        Shape("VariableDeclaration", _MODS + r"(?:class\s+)?(?:let|var)\s+(?P<name>\w+|\([^)]*\))"),
         Shape("IfStatement", r"if\b"),
         Shape("ReturnStatement", r"(?:return|throw|break|continue)\b"),
     ),
@@ -355,9 +363,9 @@ _SHAPES = {f: [(s, re.compile(s.begins)) for s in shapes] for f, shapes in SHAPE
 def brace_nodes(source: Source, start: int, end: int, depth: int = 0) -> list[Node]:
     out = []
     for s, e in statements(source, start, end):
-        shape, name = None, None
+        shape, name, declared = None, None, _declared(source, s, e)
         for candidate, begins in _SHAPES[source.family]:
-            if m := begins.match(source.code, s, min(e, s + SHAPE_HEAD)):
+            if m := begins.match(source.code, declared, e):
                 shape = candidate
                 found = m.groupdict()
                 key = next((k for k in ("name", "other") if found.get(k)), None)
@@ -373,10 +381,10 @@ def brace_nodes(source: Source, start: int, end: int, depth: int = 0) -> list[No
         elif shape.kind in ("IfStatement", "ReturnStatement") and source.family == "jsts":
             name = "if" if shape.kind == "IfStatement" else "return"
         name = name or snippet(source.text, s, e, 40)
-        body = source.body(s, e) if shape.signature or shape.inside else None
+        body = source.body(declared, e) if shape.signature or shape.inside else None
         signature = None
         if shape.signature:
-            opened = source.code.find("(", s, e)
+            opened = source.code.find("(", m.end(key) if key else declared, e)
             if opened >= 0:
                 signature = source.text[opened : body[0] if body else e].strip() or None
         children = brace_nodes(source, body[0] + 1, body[1], depth + 1) if shape.inside and body and depth < DEEPEST else []
@@ -428,7 +436,7 @@ _PY = (
     ("while_statement", re.compile(r"while\b")),
     ("with_statement", re.compile(r"(?:async\s+)?with\b")),
     ("raise_statement", re.compile(r"raise\b")),
-    ("VariableDeclaration", re.compile(r"(?P<name>[\w.\[\]'\", ]+?)\s*(?::[^=]+)?=(?!=)")),
+    ("VariableDeclaration", re.compile(r"(?P<name>[\w.\[\]'\",]++(?: ++[\w.\[\]'\",]++)*+)\s*+(?::[^=]++)?+=(?!=)")),
 )
 _PY_CONTINUES = re.compile(r"(?:elif|else|except|finally)\b")
 
@@ -447,7 +455,7 @@ def python_nodes(source: Source, start: int, end: int, depth: int = 0) -> list[N
             j += 1
         kind, name = "ExpressionStatement", snippet(source.text, s, e, 48)
         for candidate, begins in _PY:
-            if m := begins.match(source.code, s, min(e, s + SHAPE_HEAD)):
+            if m := begins.match(source.code, s, e):
                 kind, found = candidate, m.groupdict()
                 key = next((k for k in ("name", "other") if found.get(k)), None)
                 name = source.text[m.start(key) : m.end(key)].strip() if key else snippet(source.text, s, e, 40)
@@ -472,73 +480,6 @@ def parse(text: str, family: str) -> list[Node]:
 
 # --- facts ------------------------------------------------------------------------------------------------
 
-#: Characters before a bracket in which the arguments of a generic call, and words that declare, are looked for.
-GENERIC_REACH, BEFORE_REACH, AFTER_REACH = 400, 60, 400
-#: A condition's text is kept up to here, as longer ones equal no constant that rules ask for; a colon ends it within the second.
-CONDITION, CONDITION_REACH = 200, 2_000
-_GENERIC_PART = re.compile(r"[\w\s,.:&'<>\[\]?]")
-_TYPE_BEFORE = re.compile(r"(?:^|[\s;{}])(?!return\b|throw\b|await\b|new\b|else\b|yield\b|case\b|in\b|not\b|and\b|or\b|raise\b|assert\b|do\b|try\b|go\b|defer\b)(?:[\w.]++(?:" + _GENERIC + r")?(?:\[\])*\??)\s+$")
-_JS_METHOD, _BARE = re.compile(r"(?:^|[\n;{}]|\b(?:async|static|get|set|public|private|protected))\s*$"), re.compile(r"(?:^|[\n;{}])\s*$")
-_BLOCK_AFTER = re.compile(r"\)\s*(?::\s*[\w<>\[\]|,.\s]+?|throws\s+[\w.,\s]+|where\s+[^{]*)?\s*\{")
-
-
-def _callee(code: str, words: list[int], opened: int) -> tuple[int, str] | None:
-    """(place, name) of what stands before a round bracket, with the arguments of a generic call left out."""
-    at = opened
-    while at and code[at - 1].isspace():
-        at -= 1
-    if at and code[at - 1] == ">":
-        depth, k, least = 0, at - 1, max(0, at - GENERIC_REACH)
-        while k >= least and _GENERIC_PART.match(code, k):
-            depth += (code[k] == ">") - (code[k] == "<")
-            if not depth:
-                break
-            k -= 1
-        if k < least or depth or code[k] != "<":
-            return None
-        at = k
-        while at and code[at - 1].isspace():
-            at -= 1
-    if code.startswith("::", max(0, at - 2), at):
-        at -= 2
-        while at and code[at - 1].isspace():
-            at -= 1
-    if not at or not (code[at - 1].isalnum() or code[at - 1] in "_$"):
-        return None
-    start = words[bisect_right(words, at - 1) - 1]
-    while start < at and not (code[start] in "_$" or (code[start].isascii() and code[start].isalpha())):
-        start += 1
-    return (start, code[start:at]) if start < at else None
-
-
-def _calls(source: Source):  # noqa: ANN202
-    code, family = source.code, source.family
-    if "(" not in code:
-        return
-    words = [m.start() for m in _WORD_RUN.finditer(code)]
-    at = code.find("(")
-    while at >= 0:
-        opened, at = at, code.find("(", at + 1)
-        found = _callee(code, words, opened)
-        if not found:
-            continue
-        start, name = found
-        before = code[max(0, start - BEFORE_REACH) : start]
-        if (not before.endswith(".") and (name in CONTROL or name in FAMILY_CONTROL[family])) or DECLARES.search(before):
-            continue
-        if family in ("jsts", "java", "csharp"):
-            after = source.closing(opened, len(code))
-            if _BLOCK_AFTER.match(code, after, after + AFTER_REACH):
-                if family == "jsts" and _JS_METHOD.search(before) or family != "jsts" and (_TYPE_BEFORE.search(before) or _BARE.search(before)):
-                    continue
-        yield start, name
-
-
-def callees(source: Source, start: int = 0, end: int | None = None) -> list[str]:
-    """Names that are called between two places, the last part of a member's, in order and as often as they are."""
-    return [name for place, name in source.calls if start <= place and (end is None or place < end)]
-
-
 def _depths(calls: list[tuple[int, str]], ranges: list[tuple[int, int]]) -> list[int]:
     """For each call, how many of the ranges hold it."""
     starts, ends = sorted(s for s, _ in ranges), sorted(e for _, e in ranges)
@@ -556,32 +497,44 @@ def _guarded(calls: list[tuple[int, str]], ranges: list[tuple[int, int]]) -> lis
     return out
 
 
-_IF, _ROUND, _BRACE = re.compile(r"\b(?:el)?if\b"), re.compile(r"\s*+\("), re.compile(r"\s*+\{")
+_ROUND, _BRACE, _COLON = re.compile(r"\s*+\("), re.compile(r"\s*+\{"), re.compile(r"[()\[\]{}:\n]")
+#: Words before an ``if`` that begins an expression; others stand before the condition of an arm.
+_RUST_BEFORE_IF = frozenset({"else", "return", "move", "in", "async", "unsafe", "loop", "break"})
+
+
+def _is_statement(source: Source, k: int) -> bool:
+    """Whether the word ``if`` of a token begins a statement or an expression of its own, and is no filter, arm or alternative."""
+    kind, value, _, end = source.tree.found[k - 1] if k else ("mark", ";", 0, 0)
+    if source.family == "python":
+        start = source.tree.found[k][2]
+        return not k or value in (";", ":") or source.code.find("\n", end, start) >= 0 and "\\" not in source.code[end:start]
+    if source.family == "rust":
+        return not (kind in ("number", "text") or value == ")" or (kind == "name" and value not in _RUST_BEFORE_IF))
+    return value not in (".", "?.", "::")
 
 
 def _ifs(source: Source) -> list[tuple[str, int, int]]:
     """(condition, start and end of what it guards) of every ``if``."""
     code, family, out = source.code, source.family, []
-    for m in _IF.finditer(code):
-        if m[0] == "elif" and family != "python":
+    for k, (kind, word, start, at) in enumerate(source.tree.found):
+        if kind != "name" or not (word == "if" or (word == "elif" and family == "python")) or not _is_statement(source, k):
             continue
-        at = m.end()
         if family == "python":
             colon = _python_colon(source, at)
             if colon is None:
                 continue
-            indent = m.start() - (code.rfind("\n", 0, m.start()) + 1)
-            out.append((source.text[at : min(colon, at + CONDITION)].strip(), colon + 1, _indented_end(code, colon, indent)))
+            indent = start - (code.rfind("\n", 0, start) + 1)
+            out.append((source.text[at:colon].strip(), colon + 1, _indented_end(code, colon, indent)))
             continue
         rest = _ROUND.match(code, at)
         if family in ("jsts", "java", "csharp", "kotlin") and rest:
             close = source.closing(rest.end() - 1, len(code))
-            condition, at = source.text[rest.end() : min(close, rest.end() + CONDITION)].strip(), close + 1
+            condition, at = source.text[rest.end() : close].strip(), close + 1
         else:
             brace = source.body(at, len(code))
             if brace is None:
                 continue
-            condition, at = source.text[at : min(brace[0], at + CONDITION)].strip(), brace[0]
+            condition, at = source.text[at : brace[0]].strip(), brace[0]
         opened = _BRACE.match(code, at)
         if opened:
             begin, stop = opened.end() - 1, source.closing(opened.end() - 1, len(code)) + 1
@@ -593,21 +546,19 @@ def _ifs(source: Source) -> list[tuple[str, int, int]]:
     return out
 
 
-_COLON = re.compile(r"[()\[\]{}:\n]")
-
-
 def _python_colon(source: Source, at: int) -> int | None:
-    code, end = source.code, at + CONDITION_REACH
-    while m := _COLON.search(code, at, end):
+    """The colon that ends a condition, on its logical line."""
+    code = source.code
+    while m := _COLON.search(code, at):
         at, c = m.start(), m[0]
         if c in _OPEN:
             close = source.pairs.get(at)
             if close is None:
                 return None
             at = close
-        elif c in _CLOSE or c == "\n":
+        elif c in _CLOSE or (c == "\n" and code[at - 1] != "\\"):
             return None
-        elif code[at + 1 : at + 2] != "=":
+        elif c == ":" and code[at + 1 : at + 2] != "=":
             return at
         at += 1
     return None
@@ -633,14 +584,14 @@ def _indented_end(code: str, at: int, indent: int) -> int:
     return end
 
 
-_TRY, _SWIFT_TRY, _HANDLES, _EXCEPTS = re.compile(r"\btry\b"), re.compile(r"\bdo\b(?=\s*\{)"), re.compile(r"\s*+(?:catch|finally)\b"), re.compile(r"[ \t]*+(?:except|else|finally)\b")
+_TRY, _PYTHON_TRY, _SWIFT_TRY, _HANDLES, _EXCEPTS = re.compile(r"\btry\b"), re.compile(r"\btry\b(?=\s*+:)"), re.compile(r"\bdo\b(?=\s*+\{)"), re.compile(r"\s*+(?:catch|finally)\b"), re.compile(r"[ \t]*+(?:except|else|finally)\b")
 
 
 def _tries(source: Source) -> list[tuple[int, int]]:
     code, family, out = source.code, source.family, []
     if family in ("rust", "go"):
         return out
-    for m in (_SWIFT_TRY if family == "swift" else _TRY).finditer(code):
+    for m in {"swift": _SWIFT_TRY, "python": _PYTHON_TRY}.get(family, _TRY).finditer(code):
         if family == "python":
             indent = m.start() - (code.rfind("\n", 0, m.start()) + 1)
             end = _indented_end(code, code.find(":", m.end()), indent)
@@ -686,5 +637,6 @@ def facts(text: str, family: str, exits: tuple[str, ...]) -> dict:
         "guard_clauses": sum(bool(clause.match(source.code, s, e)) for _, s, e in ifs),
         "tries": len(tries),
         "tried": sorted({name for (_, name), d in zip(calls, _depths(calls, tries), strict=True) if d}) if tries else [],
-        "patterns": [text[s:e] for k, s, e in source.spans if k == "pattern"],
+        "patterns": tree.captured(source.tree, tree.PATTERN_LITERALS, "pattern") if any(k == "pattern" for k, *_ in source.spans) else [],
+        "hits": [name for name, looked in tree.STRUCTURES.get(family, {}).items() if tree.hits(source.tree, looked)],
     }

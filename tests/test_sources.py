@@ -6,7 +6,8 @@ import textwrap
 
 import pytest
 
-from driftloom.sources import git, lexer, manifests, syntax
+from driftloom.operators import structures
+from driftloom.sources import git, lexer, manifests, syntax, tree
 
 
 def names(nodes):
@@ -233,3 +234,91 @@ def test_a_million_characters_in_one_word():
 def test_templates_within_templates_end_where_they_do():
     text = "const a = `x${b ? `y${c}` : '}'}z`; eval(q)"
     assert [text[s:e] for k, s, e in lexer.spans(text, "jsts")] == ["`x${b ? `y${c}` : '}'}z`"]
+
+
+def tree_for(text, family="jsts"):
+    return structures.tree_of(text, family)
+
+
+@pytest.mark.parametrize(
+    ("family", "text", "callees"),
+    [
+        ("jsts", "foo(a.b(c), new X(d).e())\nif (q) { z?.(1); y?.w() }", ["foo", "b", "e", "z", "w"]),
+        ("jsts", "class A { foo(x): Map<K, V> {\n bar(x) }\n async q() { return `a ${san(x + `${deep(y)}`)} b` } }", ["bar", "san", "deep"]),
+        ("jsts", "if (a < b && c > (d)) { e() } f(Map<K, V>(x), {k: Set<K, V>(z)}); new a.b.C(1); function* g(x) {}", ["e", "f", "Map", "Set"]),
+        ("rust", "#[derive(Foo(bar))]\nfn f(x: i32) { Vec::<u8>::new(); b.c()?.d(); println!(\"{}\", g(x)); }", ["new", "c", "d", "g"]),
+        ("go", "func (r *R) foo(x int) error {\n\treturn bar(x)\n}\nx\n(y)", ["bar"]),
+        ("python", "@app.route('/x')\ndef f(x):\n    return f\"{san(x)} {{no(y)}}\"", ["route", "san"]),
+        ("java", "@Foo(bar(1)) public void baz(int x) throws A, B { this.q(x); new List<String>(y()); Foo.<T>z(); }", ["bar", "q", "y", "z"]),
+        ("csharp", "[Auth(Roles=x())]\npublic async Task<Foo> Get<T>(int id) where T : new() { await db.Find<Bar<Baz>>(id); var s = $\"{san(x)}\"; }", ["Find", "san"]),
+        ("kotlin", "fun Foo.bar(x: Int) { baz<Int>(x); val s = \"${san(x)}\"; @Test(y) }", ["baz", "san"]),
+        ("swift", "func f() { try! foo(); a?.b!.c(trust: d); let s = \"\\(san(x))\" }", ["foo", "c", "san"]),
+        ("jsts", "))) f( ( g(x } ] h(", ["f", "g", "h"]),
+    ],
+)
+def test_captures_of_callees(family, text, callees):
+    assert tree.captured(tree_for(text, family), tree.CALLEES, "callee") == callees
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("x = { 'rejectUnauthorized': false, a: 1 }", ["unverified-tls"]),
+        ("x({ rejectUnauthorized: a ? false : true })", []),
+        ("cors({ \"origin\": ['a', \"*\"] })", ["any-origin"]),
+        ("cors({ origin: ['*' + x] }); cors({ origin: `*` })", []),
+        ("cors({ origin: true,\n credentials: x })", ["any-origin"]),
+        ("a.eval?.(y); new Function", ["eval", "function-constructor"]),
+        ("// eval(x)\n'eval(x)'; evaluate(x); new a.Function(b); x = /eval(y)/", []),
+        ("`${eval(x)}`", ["eval"]),
+    ],
+)
+def test_structures(text, want):
+    found = tree_for(text)
+    assert [name for name, looked in tree.STRUCTURES["jsts"].items() if tree.hits(found, looked)] == want
+
+
+def test_patterns_capture_in_order():
+    both = (tree.pattern("call", function=tree.pattern("member", object=tree.pattern("name", capture="of"), property=tree.pattern("name", "run"))),)
+    found = tree_for("a.run(); b.run(c.run(1)); d.stop(); e.f.run()")
+    assert tree.captured(found, both, "of") == ["a", "b", "c"]
+    assert tree.captured(tree_for("f(/a.*/, x / y / z, '/b/')"), tree.PATTERN_LITERALS, "pattern") == ["/a.*/"]
+
+
+LONG = "name, " * 20_000
+
+
+def test_long_parts_lose_nothing():
+    assert syntax.facts(f"pay<{LONG}B>(x)", "jsts", ("return",))["callees"] == ["pay"]
+    got = syntax.facts(f"if ({LONG}ok) and fine:\n    pay(1)\n", "python", ("return",))
+    assert got["guarded"] == ["pay"] and len(got["conditions"][0]) > 100_000
+    assert [(n.kind, n.name, [c.name for c in n.children]) for n in syntax.parse(f"@Note({{{LONG}}})\npublic class A {{ void f() {{ }} }}", "java")] == [("ClassDeclaration", "A", ["f"])]
+    assert [n.kind for n in syntax.parse(f"[Note({LONG})]\npublic class A {{ }}\n@Note int x;", "csharp")][0] == "ClassDeclaration"
+    assert [n.kind for n in syntax.parse("void f() { log(1); g(); }", "java")[0].children] == ["ExpressionStatement"] * 2
+    assert [n.kind for n in syntax.parse("interface A { void f(); A g(int x) throws E; }", "java")[0].children] == ["FunctionDeclaration"] * 2
+
+
+def test_only_statements_are_conditions():
+    assert syntax.facts("x = [a if b else c\n  for a in d\n  if e\n]\nif f: g()\nelif h:\n    i()\n", "python", ("return",))["conditions"] == ["f", "h"]
+    assert syntax.facts("match x { Some(y) if h(y) => 1, _ => if z { 2 } else if w { 3 } else { 4 } }", "rust", ("return",))["conditions"] == ["z", "w"]
+
+
+DEEP = {"calls": "f(x)(" * 60_000, "generics": "a<" * 60_000 + ">" * 60_000, "pairs": "{a:" * 60_000, "holes": "`${" * 60_000, "members": "a.b" * 60_000, "elements": "f(" + "g(x), " * 60_000 + ")"}
+
+
+@pytest.mark.parametrize("name", list(DEEP))
+def test_trees_take_time_in_proportion(name):
+    import time
+
+    took = []
+    for k in (1, 4):
+        began = time.process_time()
+        tree_for(DEEP[name][: len(DEEP[name]) * k // 4])
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 1
+
+
+def test_captures_of_tables(spark):
+    rows = spark.createDataFrame([(1, "f(g(x))", "go"), (2, None, "go"), (3, "f(x)", "cobol"), (4, "", "rust")], "id int, text string, family string")
+    assert [tuple(r) for r in structures.with_captures(rows, tree.CALLEES, "callee").select("id", "captured").orderBy("id").collect()] == [(1, ["f", "g"]), (2, None), (3, None), (4, [])]
+    assert [tuple(r) for r in structures.capture_rows(rows, tree.CALLEES, "callee").select("id", "place", "captured").orderBy("place").collect()] == [(1, 0, "f"), (1, 1, "g")]
