@@ -7,9 +7,11 @@ bits says so, without a false no. Tasks merge equal n-grams before rows are exch
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
@@ -28,7 +30,7 @@ SALTS = 32
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(b".,;:!?\n\x0b\x0c\r")] = 2
 _KIND[list(b" \t")] = 1
-_CHUNK, _BLOCK = 1 << 23, 1 << 18
+_CHUNK, _BLOCK, _HELD, _SLICE = 1 << 21, 1 << 18, 150_000, 256
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -88,23 +90,29 @@ class Words:
         return out
 
     def grams(self, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The first words of all n-grams within pieces, and their digests, which depend on the language."""
+        """The first words of all n-grams within pieces, and two digests of each, which depend on the language."""
         at = np.flatnonzero(self.piece[: len(self.piece) - n + 1] == self.piece[n - 1 :]) if len(self.piece) >= n else np.empty(0, np.int64)
         out = []
         for base, digest in zip(_BASES, self.digests, strict=True):
-            h = mixed(self.lang[at] * np.uint64(base) + np.uint64(n))
+            h = self.lang[at] * np.uint64(base) + np.uint64(n)
             for k in range(n):
-                h = mixed(h * np.uint64(base) + digest[at + k])
+                h = h * np.uint64(base) + digest[at + k]
             out.append(h)
-        return at, out
-
-    def phrase(self, at: int, n: int) -> bytes:
-        text = self.raw[self.starts[at] : self.ends[at + n - 1]]
-        return text if self.plain[at : at + n - 1].all() else b" ".join(text.split())
+        return at, [mixed(out[0]), out[1]]
+
+    def phrases(self, at: np.ndarray, n: int) -> list[bytes]:
+        """The texts of n-grams, with one blank between words."""
+        raw, plain = self.raw, np.ones(len(at), bool)
+        for k in range(n - 1):
+            plain &= self.plain[at + k]
+        out = [raw[s:e] for s, e in zip(self.starts[at].tolist(), self.ends[at + (n - 1)].tolist(), strict=True)]
+        for k in np.flatnonzero(~plain).tolist():
+            out[k] = b" ".join(out[k].split())
+        return out
 
 
-def told(words: Words, n: int, allowed: np.ndarray | None) -> Iterator[tuple[int, int]]:
-    """(first word, count) of the distinct n-grams whose two (n - 1)-grams the filter lets through."""
+def told(words: Words, n: int, allowed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """First words and counts of the distinct n-grams whose two (n - 1)-grams the filter lets through."""
     at, (one, two) = words.grams(n)
     if allowed is not None:
         shorter, (digest, _) = words.grams(n - 1)
@@ -113,12 +121,13 @@ def told(words: Words, n: int, allowed: np.ndarray | None) -> Iterator[tuple[int
         free[shorter] = (allowed[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
         good = free[at] & free[at + 1]
         at, one, two = at[good], one[good], two[good]
-    if not len(at):
-        return
-    _, first, inverse, counts = np.unique(one, return_index=True, return_inverse=True, return_counts=True)
-    if (two[first][inverse] != two).any():  # two n-grams share a digest
+    codes, distinct = pd.factorize(one)
+    first = np.zeros(len(distinct), np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    if (two[first][codes] != two).any():  # two n-grams share a digest
         _, first, counts = np.unique(np.stack([one, two], 1), axis=0, return_index=True, return_counts=True)
-    yield from zip(at[first].tolist(), counts.tolist(), strict=True)
+        return at[first], counts
+    return at[first], np.bincount(codes, minlength=len(distinct))
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, list[str]]]:
@@ -132,8 +141,8 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, list[str]
         return Words(b"\n".join(texts), np.array([_long(list(names)[x].encode())[0] for x in langs], np.uint64), ends), list(names)
 
     held = 0
-    for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+    for part in (batch.slice(k, _SLICE) for batch in batches for k in range(0, batch.num_rows, _SLICE)):
+        for lang, text in zip(part.column("lang").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
             if held and held + len(text) > _CHUNK:
                 yield out()
                 texts, langs, held = [], [], 0
@@ -144,18 +153,39 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, list[str]
         yield out()
 
 
+def _rows(langs: list[str], texts: list[bytes], counts: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts, pa.binary()), pa.array(counts, pa.int64())], names=["lang", "phrase", "f"])
+
+
 def counted(docs: DataFrame, n: int, allowed: Broadcast | None) -> DataFrame:
-    """lang, phrase, f of the n-grams of docs (lang, text) that the filter lets through."""
+    """lang, phrase, f of the n-grams of docs (lang, text) that the filter lets through.
+
+    Words recur, so a task merges those of its texts; longer n-grams mostly do not, and are merged by megabytes of text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(allowed.value, np.uint8) if allowed is not None else None
+        held: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            langs, texts = zip(*held, strict=True)
+            return _rows(langs, texts, list(held.values()))
+
         for words, names in chunks(batches):
             of = {_long(name.encode())[0]: name for name in names}
-            found = list(told(words, n, bits))
-            for k in range(0, len(found), 100_000):
-                part = found[k : k + 100_000]
-                columns = [pa.array([of[int(words.lang[at])] for at, _ in part], pa.string()), pa.array([words.phrase(at, n) for at, _ in part], pa.binary()), pa.array([c for _, c in part], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "f"])
+            at, counts = told(words, n, bits)
+            langs, texts = [of[x] for x in words.lang[at].tolist()], words.phrases(at, n)
+            if n > 1:
+                if len(at):
+                    yield _rows(langs, texts, counts)
+                continue
+            for key, c in zip(zip(langs, texts, strict=True), counts.tolist(), strict=True):
+                held[key] += c
+            if len(held) >= _HELD:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
 
     rows = docs.mapInArrow(run, "lang string, phrase binary, f long")
     return rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).select("lang", F.col("phrase").cast("string").alias("phrase"), "f")
