@@ -105,13 +105,19 @@ def skipped_files(changed: DataFrame, cap: int = PARSE_CAP) -> DataFrame:
 
 
 def drift_nodes(changed: DataFrame) -> DataFrame:
-    """The nodes of all changed files (path, before, after), as SCHEMA. One pass over a file, without a shuffle."""
-    schema = to_arrow_schema(_parse_datatype_string(SCHEMA))
+    """The nodes of all changed files (path, before, after), as SCHEMA. One pass over a file, without a shuffle.
+
+    Files of many repositories have a column ``repo``, and so have their nodes then.
+    """
+    repo = "repo" in changed.columns
+    columns = f"repo string, {SCHEMA}" if repo else SCHEMA
+    schema = to_arrow_schema(_parse_datatype_string(columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, before, after in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            repos = batch.column(3).to_pylist() if repo else [None] * batch.num_rows
+            for path, before, after, of in zip(*(batch.column(k).to_pylist() for k in range(3)), repos, strict=True):
                 if rows := file_nodes(path, before, after):
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    yield pa.RecordBatch.from_pylist([r | {"repo": of} for r in rows] if repo else rows, schema=schema)
 
-    return dealt(changed.select("path", "before", "after")).mapInArrow(run, SCHEMA)
+    return dealt(changed.select("path", "before", "after", *(["repo"] if repo else []))).mapInArrow(run, columns)

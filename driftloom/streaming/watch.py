@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from pathlib import Path
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.group import GroupedData
 
 from driftloom.functions import paths as P
+from driftloom.functions.scratch import shared_folder
+
+from . import debounce
+from .tables import KeyedState
 
 # The quiet time that ends a batch, and files at the root whose change asks for a full scan.
 DEBOUNCE = "400 milliseconds"
@@ -48,51 +51,6 @@ def latest(rows: DataFrame, key: str, order: list[str], gone: str) -> DataFrame:
     return last.select(key, "__last.*").where(~F.col(gone)).select(*rows.columns)
 
 
-class KeyedState:
-    """A table of the last result of each key, in versions: each batch writes a new one and then names it current.
-
-    A batch that runs again after a failure writes the same rows under its own version. Rows of another epoch than
-    the state's are stale: a full refresh raises the epoch and replaces all rows.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, order: list[str], gone: str) -> None:
-        self.spark, self.path, self.schema, self.key, self.order, self.gone = spark, path, schema, key, order, gone
-        self.version: str | None = None
-        self.epoch = 0
-
-    def rows(self) -> DataFrame:
-        if self.version is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.version)
-
-    def _write(self, rows: DataFrame, batch: int) -> None:
-        at = f"{self.path}/epoch={self.epoch}-batch={batch}-{uuid.uuid4().hex}"
-        rows.select(*self.rows().columns).write.parquet(at)
-        self.version = at
-
-    def merge(self, batch_rows: DataFrame, batch: int, epoch: int | None = None) -> None:
-        if epoch is not None and epoch != self.epoch:
-            return
-        merged = self.rows().unionByName(batch_rows.select(*self.rows().columns))
-        # tombstones stay in the state, so that a late event cannot bring a removed key back
-        last = merged.groupBy(self.key).agg(F.max_by(F.struct(*[c for c in merged.columns if c != self.key]), F.struct(*self.order)).alias("__last"))
-        self._write(last.select(self.key, "__last.*"), batch)
-
-    def refresh(self, rows: DataFrame) -> None:
-        self.epoch += 1
-        self._write(rows, -1)
-
-    def settle(self, changes: int) -> bool:
-        """Whether the state was emptied because nothing has changed any more; a batch of the old epoch is stale then."""
-        if changes:
-            return False
-        self.refresh(self.rows().where("false"))
-        return True
-
-    def live(self) -> DataFrame:
-        return self.rows().where(~F.col(self.gone))
-
-
 def emit_session(folder: str, batch: int, doc: dict) -> str:
     """Writes the session document of a batch; a batch that runs again replaces its own, and ``latest`` names the last."""
     at = Path(folder)
@@ -106,26 +64,56 @@ def emit_session(folder: str, batch: int, doc: dict) -> str:
     return str(at / f"batch-{batch}.json")
 
 
-def _stream_folder(spark: SparkSession) -> str:
-    """A new folder for a stream's state and checkpoints: in the shared one, or a temporary one in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        return f"{shared.rstrip('/')}/driftloom-stream/{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="driftloom-stream-")
-
-
-def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The upsert of ``latest`` over the events as a stream that ends when all files have been read."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    folder = _stream_folder(spark)
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("gone", F.col("event_type") == "error")
-    state = KeyedState(spark, f"{folder}/state", "user_id long, event_id long, ts timestamp_ntz, value double, gone boolean", "user_id", ["ts", "event_id"], "gone")
-    if dict(events.dtypes)["ts"] == "timestamp":
-        state.schema = state.schema.replace("timestamp_ntz", "timestamp")
-    query = events.writeStream.foreachBatch(lambda rows, batch: state.merge(rows, batch)).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    if query.exception():
-        raise query.exception()
+class Stopped(Exception):
+    """The stream was stopped between a batch's commit and the next."""
+
+
+def _parts(spark: SparkSession, rows: DataFrame, folder: str, order: str, parts: int) -> DataFrame:
+    """rows as a stream of files in order, one for each batch."""
+    rows.repartitionByRange(parts, order).sortWithinPartitions(order).write.parquet(f"{folder}/input")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{folder}/input")
+
+
+def _run(stream: DataFrame, folder: str, apply) -> None:  # noqa: ANN001
+    query = stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        if "Stopped" not in str(query.exception()):
+            raise
+
+
+def stream_latest(spark: SparkSession, sf_dir: str, stop_after: int | None = None, parts: int = 6) -> DataFrame:
+    """The upsert of ``latest`` over the events as a stream that ends when all files have been read.
+
+    stop_after: the stream fails right after it has committed that batch, and a new one goes on from the same folders.
+    """
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("gone", F.col("event_type") == "error")
+    kind = dict(events.dtypes)["ts"]
+    folder = shared_folder(spark, "driftloom-stream")
+    schema = f"user_id long, event_id long, ts {kind}, value double, gone boolean"
+    stream = _parts(spark, events, folder, "event_id", parts)
+    for stop in (stop_after, None) if stop_after is not None else (None,):
+        state = KeyedState(spark, f"{folder}/state", schema, "user_id", ["ts", "event_id"], "gone")
+
+        def apply(rows: DataFrame, batch: int, state: KeyedState = state, stop: int | None = stop) -> None:
+            state.merge(rows, batch)
+            if batch == stop:
+                raise Stopped
+
+        _run(stream, folder, apply)
     return state.live()
+
+
+def stream_debounced(spark: SparkSession, sf_dir: str, gap_ms: int, late: str = "1 hour", parts: int = 4) -> DataFrame:
+    """The batches of ``debounced`` over the events of users as a stream with state, in order of time. A last event of no user ends all batches."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", debounce.STORE)
+    events = session.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_type")
+    end = events.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast(dict(events.dtypes)["user_id"]).alias("user_id"), (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"), F.lit(None).cast("string").alias("event_type"))
+    folder = shared_folder(spark, "driftloom-stream")
+    stream = _parts(session, events.where("ts IS NOT NULL").unionByName(end), folder, "ts", parts)
+    closed = debounce.debounced_stream(stream, "user_id", "ts", "event_type", gap_ms, late).where("user_id <> -1")
+    query = closed.writeStream.format("parquet").option("path", f"{folder}/closed").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(closed.schema).parquet(f"{folder}/closed")
