@@ -124,11 +124,16 @@ def packed(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
 
 
+def exchanged(df: DataFrame) -> bool:
+    """Whether df's plan has an exchange. To ask for its number of parts would run it, and it is dealt to tasks anyway."""
+    return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
 def dealt(df: DataFrame, least: int | None = None) -> DataFrame:
     """df in at least as many parts as the cluster has cores: work that is heavy by row is not left to a scan of few parts."""
     context = df.sparkSession.sparkContext
     want = least or context.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    return df if exchanged(df) or df.rdd.getNumPartitions() >= want else df.repartition(want)
 
 
 def frequent(counts: DataFrame, word: str, n: str, most: int) -> dict[str, int]:
