@@ -1,8 +1,10 @@
 """Token counts through a digest cache.
 
 Each text's digest is joined with a cache of (content digest, tokenizer version, counts). Only distinct
-digests that the cache lacks are encoded; their counts are appended to it. Texts move in one exchange,
-after equal ones of a task have been merged, so that a group of copies of any size is a row per task.
+digests that the cache lacks are encoded; their counts are appended to it. Digests are written with their
+documents' ids and compared with the cache before any text moves: a filter of those that it lacks is sent to all
+tasks, and only texts that it lets through are exchanged, after equal ones of a task have been merged, so that a
+group of copies of any size is a row per task.
 
 Normalisation is null to empty and nothing else: any stronger folding could change a count.
 """
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_at_exit, scratch_path, stored, text_of
+from .common import drop_at_exit, may_hold, membership, passing, scratch_path, stored, text_of
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_bytes long, n_tokens long"
 _LOADED: dict[str, object] = {}
@@ -68,6 +70,12 @@ def encode_misses(misses: DataFrame, tokenizer: str, version: str) -> DataFrame:
     return misses.select("digest", "text").mapInArrow(run, CACHE_SCHEMA)
 
 
+def missing_texts(keyed: DataFrame, misses: DataFrame) -> DataFrame:
+    """(digest, text) of each of the digests that are missing; texts of others stay in the scan, but for those that the filter mistakes."""
+    some = may_hold(keyed.select("digest", "text"), F.col("digest"), membership(misses)).where("hit")
+    return some.groupBy("digest").agg(F.first("text").alias("text")).join(misses, "digest", "left_semi")
+
+
 def _read_cache(spark: SparkSession, path: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -89,17 +97,18 @@ def token_counts(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", limit:
     cache_path = cache_path or scratch_path(spark, "token-cache")
     version = tokenizer_version(tokenizer)
     keyed = docs.select("doc_id", text_of().alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    known = _read_cache(spark, cache_path).where(F.col("tokenizer") == version)
-    distinct = keyed.groupBy("digest").agg(F.first("text").alias("text"))
-    misses = distinct.join(known.select("digest"), "digest", "left_anti")
-    encode_misses(misses, tokenizer, version).write.mode("append").parquet(cache_path)
+    with passing(spark) as kept:
+        digests = kept(stored(keyed.select("doc_id", "digest"), "digests"))
+        known = _read_cache(spark, cache_path).where(F.col("tokenizer") == version)
+        misses = stored(digests.select("digest").distinct().join(known.select("digest"), "digest", "left_anti"), "misses")
+        if not misses.isEmpty():
+            encode_misses(missing_texts(keyed, misses), tokenizer, version).write.mode("append").parquet(cache_path)
     if not shared:
         drop_at_exit(spark, cache_path)
-    counted = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).drop("tokenizer")
+    counted = _read_cache(spark, cache_path).where(F.col("tokenizer") == version).drop("tokenizer")
     if shared:
         counted = stored(counted.dropDuplicates(["digest"]), "counted")
     return (
-        keyed.select("doc_id", "digest")
-        .join(counted, "digest")
+        digests.join(counted, "digest")
         .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.lower(F.hex("digest")).alias("digest"))
     )
