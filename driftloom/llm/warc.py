@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_at_exit, scratch_path, stored
+from .common import drop_at_exit, may_hold, membership, scratch_path, stored
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Bytes after which a task begins another archive, of a range that a task reads, and of a single read.
@@ -58,14 +58,38 @@ def filesystem(path: str):  # noqa: ANN201
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def described(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """page_id, payload_digest, record_type, refers_to, without payloads."""
+def named() -> Column:
+    """A row's name: its page_id and its payload's digest."""
+    return F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "digest")
+
+
+def described(pages: DataFrame, least_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(page_id, url, n, digest) of all pages, without payloads, and the same with refers_to of those that revisit others."""
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = stored(pages.select("page_id", F.octet_length(html).cast("long").alias("payload_bytes"), base32_sha1(html).alias("payload_digest")), "digests")
-    last = stored(rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("last")).where("last IS NOT NULL"), "responses")
-    out = rows.join(last.withColumnRenamed("payload_digest", "of"), (F.col("payload_digest") == F.col("of")) & (F.col("payload_bytes") >= least_bytes), "left")
-    revisit = F.col("last").isNotNull() & ~F.col("last").eqNullSafe(F.col("page_id"))
-    return out.select("page_id", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("last")).alias("refers_to"))
+    rows = stored(pages.select("page_id", "url", F.octet_length(html).cast("long").alias("n"), base32_sha1(html).alias("digest")), "digests")
+    last = rows.where(F.col("n") >= least_bytes).groupBy(F.col("digest").alias("of")).agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("rows")).where("rows > 1 AND last IS NOT NULL")
+    out = rows.join(stored(last, "responses"), (F.col("digest") == F.col("of")) & (F.col("n") >= least_bytes)).where(~F.col("last").eqNullSafe(F.col("page_id")))
+    return rows, stored(out.select(*rows.columns, F.col("last").alias("refers_to")), "revisits")
+
+
+def records(pages: DataFrame, least_bytes: int) -> DataFrame:
+    """page_id, url, html, n, digest, record_type, refers_to of every row; html is null for revisits. No response is exchanged.
+
+    Revisits hold no payload, so they come from the table of digests. A filter of their names goes to all tasks, and rows
+    that it does not know are responses; those that it mistakes for revisits are looked up, and taken from pages again.
+    """
+    every, revisits = described(pages, least_bytes)
+    names = revisits.select(named().alias("name")).distinct()
+    held = membership(names)
+    mistaken = may_hold(every.select(named().alias("name")), F.col("name"), held).where("hit").select("name").join(names, "name", "left_anti")
+    mistaken = stored(mistaken.distinct(), "mistaken")
+    columns = ["page_id", "url", "html", F.octet_length("html").cast("long").alias("n"), "digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")]
+    rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("html")).withColumn("digest", base32_sha1(F.col("html")))
+    known = may_hold(rows.withColumn("name", named()), F.col("name"), held)
+    out = known.where("NOT hit").select(*columns)
+    if not mistaken.isEmpty():
+        out = out.union(known.where("hit").join(mistaken, "name", "left_semi").select(*columns))
+    return out.union(revisits.select("page_id", "url", F.lit(None).cast("binary").alias("html"), "n", "digest", F.lit("revisit").alias("record_type"), "refers_to"))
 
 
 def record_bytes(page_id: int | None, url: str | None, html: bytes, digest: str, record_type: str, refers_to: int | None) -> bytes:
@@ -86,12 +110,6 @@ def write(pages: DataFrame, folder: str, compress: bool = True, least_bytes: int
     Each task writes files of its own, under names that no other attempt uses; only files of the attempts
     that ended well are in the result, so that a lost executor leaves at most files that nobody reads.
     """
-    meta = described(pages, least_bytes).withColumnRenamed("page_id", "of_page").dropDuplicates(["of_page", "payload_digest"])
-    meta = stored(meta, "page-records")
-    rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("html")).withColumn("digest", base32_sha1(F.col("html")))
-    joined = rows.join(meta, F.col("page_id").eqNullSafe(F.col("of_page")) & (F.col("digest") == F.col("payload_digest")))
-    joined = joined.select("page_id", "url", F.when(F.col("record_type") == "response", F.col("html")).alias("html"), F.octet_length("html").alias("n"), "digest", "record_type", "refers_to")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = filesystem(folder)
         files.create_dir(root, recursive=True)
@@ -120,7 +138,7 @@ def write(pages: DataFrame, folder: str, compress: bool = True, least_bytes: int
         columns = list(zip(*done, strict=True)) or [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["archive", "bytes", "records"])
 
-    return stored(joined.mapInArrow(run, "archive string, bytes long, records long"), "archives")
+    return stored(records(pages, least_bytes).mapInArrow(run, "archive string, bytes long, records long"), "archives")
 
 
 class _Absent(bytes):
