@@ -28,6 +28,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Cheap tests that any match of the patterns passes.
 ASSIGN_HINTS, CONTEXT_HINTS = ("passw", "secret", "token", "api"), ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth", "login")
+FOREIGN_HINTS = ("wort", "zugangscode", "geheimnis", "passe", "mdp", "contrase", "clave", "secreto", "credencial")
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 #: A credential's name, what joins it to its value, and the value.
 CONTEXT = re.compile(
@@ -35,6 +36,12 @@ CONTEXT = re.compile(
     r"""(?:\x20*(?P<sign>:=|=>|[:=])\x20*(?:bearer\x20+)?|\x20+(?:is|was|bearer)\x20+|(?<=bearer)\x20+)["']?(?P<value>[^\s"'<>,;]{6,})""",
     re.ASCII | re.IGNORECASE,
 )
+#: Names of credentials in German, French and Spanish; values follow a sign, as what follows a verb is mostly prose.
+FOREIGN = re.compile(
+    r"""(?<![A-Za-z0-9])(?:pa(?:ss|\xDF)wort|kennwort|zugangscode|geheimnis|mot\x20de\x20passe|mdp|contrase(?:\xF1|n)a|clave|secreto|credencial(?:es)?)["']?"""
+    r"""\x20*(?P<sign>:=|=>|[:=])\x20*["']?(?P<value>[^\s"'<>,;]{6,})""",
+    re.ASCII | re.IGNORECASE,
+)
 #: log10 of the guesses from which a value counts as a secret.
 DEAR = 10.0
 #: The same for values of letters alone that no sign joins to the credential's name: after ``is`` mostly prose follows.
@@ -54,6 +61,10 @@ KEYBOARD = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdef
 LEET = str.maketrans("0134578@$!", "oleastbasi")
 _STEP = {(a, b) for row in KEYBOARD for a, b in zip(row, row[1:], strict=False)} | {(b, a) for row in KEYBOARD for a, b in zip(row, row[1:], strict=False)}
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d", re.ASCII)
+#: A time of a day, with its date before it or not, and an address whose parts are plain words; what guessers try for these.
+_MOMENT = re.compile(r"(?:(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])[T_])?(?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d{1,9})?)?(?:Z|[+-]\d\d:?\d\d)?", re.ASCII)
+_ADDRESS = re.compile(r"[a-z]{3,6}://[a-z][a-z0-9.-]*(?::\d{2,5})?(?:/[a-z][a-z-]{0,14}(?:\.[a-z]{2,4})?(?![\w-]))*/?", re.ASCII)
+DAY_GUESSES, TIME_GUESSES, HOST_GUESSES, STEP_GUESSES = math.log10(365 * 100), math.log10(86_400), 6.0, 0.5
 #: What may hold a value, where a value may begin in it, and what ends no value.
 _RUN, _INNER, _ENDS = re.compile(r"""[^\s"'<>,;]+"""), re.compile(r"(?:\A|(?<=[\W_]))(?=[^\s])"), ".:!?)]}"
 _WORD = re.compile(r"[^\W\d_]{3,24}")
@@ -84,6 +95,11 @@ def guess_cost(value: str, ranks: Ranks | dict[str, int]) -> float:
             for j in range(i + 4, min(n, i + 10) + 1):
                 if _DATE.fullmatch(value, i, j):
                     best[j] = min(best[j], here + math.log10(365 * (100 if j - i > 4 else 1)))
+        if value[i].isdigit() and (m := _MOMENT.match(value, i)):
+            best[m.end()] = min(best[m.end()], here + TIME_GUESSES + (DAY_GUESSES if "-" in value[i : i + 5] else 0.0))
+        if value.startswith("://", i + 3) or value.startswith("://", i + 4) or value.startswith("://", i + 5) or value.startswith("://", i + 6):
+            if m := _ADDRESS.match(value, i):
+                best[m.end()] = min(best[m.end()], here + HOST_GUESSES + STEP_GUESSES * (m[0].count("/") - 2))
         for unit in (1, 2, 3):  # repeats of a character, or of two or three
             j, one = i + unit, here + sum(map(brute, value[i : i + unit]))
             while value.startswith(value[i : i + unit], j) and j + unit <= n and j - i < LONGEST:
@@ -127,12 +143,16 @@ def ranks_of(text: str, values: frozenset[str] = frozenset(), corpus: dict[str,
 
 def candidates(text: str) -> list[tuple[int, int, str, bool]]:
     """(start, end, value, whether it may be prose) of what stands in a credential's place."""
-    out = []
-    for m in CONTEXT.finditer(text):
+    out = {}
+    for m in itertools.chain(CONTEXT.finditer(text), FOREIGN.finditer(text)):
         start, value = m.start("value"), m["value"].rstrip(_ENDS)
         if len(value) >= MIN_ASSIGN:
-            out.append((start, start + len(value), value, m["sign"] is None and value.isalpha()))
-    return out
+            out.setdefault(start, (start, start + len(value), value, m["sign"] is None and value.isalpha()))
+    return [out[start] for start in sorted(out)]
+
+
+def _hinted(low: str) -> bool:
+    return any(x in low for x in CONTEXT_HINTS) or any(x in low for x in FOREIGN_HINTS)
 
 
 def corpus_ranks(docs: DataFrame, most: int = CORPUS_WORDS) -> dict[str, int]:
@@ -143,7 +163,7 @@ def corpus_ranks(docs: DataFrame, most: int = CORPUS_WORDS) -> dict[str, int]:
             for text in batch.column(0):
                 text = text.as_py()
                 low = text.lower()
-                if any(x in low for x in CONTEXT_HINTS) and (values := frozenset(v.lower() for _, _, v, _ in candidates(text))):
+                if _hinted(low) and (values := frozenset(v.lower() for _, _, v, _ in candidates(text))):
                     low = _without(low, values)
                 yield [w.encode("utf-8", "surrogatepass") for w in _WORD.findall(low)]
 
@@ -169,28 +189,40 @@ def _without(low: str, values: frozenset[str]) -> str:
     return _RUN.sub(clean, low)
 
 
-def is_dear(value: str, ranks: Ranks, dear: float = DEAR) -> bool:
-    return len(value) / LONGEST * CHEAPEST >= dear or guess_cost(value, ranks) >= dear
+def cost_of(value: str, ranks: Ranks) -> float:
+    """The guess cost; of a value that is dear whatever it holds, the least that it can be."""
+    least = len(value) / LONGEST * CHEAPEST
+    return least if least >= max(DEAR, DEAR_PROSE) else guess_cost(value, ranks)
 
 
-def scan(text: str, dear: float = DEAR, corpus: dict[str, int] | None = None) -> list[tuple[int, int, int]]:
-    """(start, kind's index, end) of all spans by start, then kind."""
-    low, found = text.lower(), []
+def judged(text: str, dear: float = DEAR, corpus: dict[str, int] | None = None) -> tuple[list[tuple[int, int, int]], float | None]:
+    """(start, kind's index, end) of all spans by start, then kind, and the least guess cost of the values in a credential's place.
+
+    All of these values are costed. Those within a span of the fixed patterns are found already, and add no span.
+    """
+    low, found, least = text.lower(), [], None
     if any(x in low for x in ASSIGN_HINTS):
         found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= MIN_ASSIGN]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    if any(x in low for x in CONTEXT_HINTS) and (held := candidates(text)):
+    if _hinted(low) and (held := candidates(text)):
         found.sort()
         starts, reach = [a for a, *_ in found], list(itertools.accumulate((b for *_, b in found), max))
-        values = frozenset(v.lower() for _, _, v, _ in held)
-        # values within a span of the fixed patterns are found already
-        free = [(a, b, v, p) for a, b, v, p in held if not (k := bisect_right(starts, a)) or reach[k - 1] < b]
-        if free:
-            ranks = ranks_of(text, values, corpus, held[0][0])
-            found += [(a, 3, b) for a, b, v, p in free if is_dear(v, ranks, max(dear, DEAR_PROSE) if p else dear)]
-    return sorted(found)
+        ranks = ranks_of(text, frozenset(v.lower() for _, _, v, _ in held), corpus, held[0][0])
+        costs: dict[str, float] = {}
+        for a, b, v, prose in held:
+            cost = costs[v] if v in costs else costs.setdefault(v, cost_of(v, ranks))
+            least = cost if least is None else min(least, cost)
+            free = not (k := bisect_right(starts, a)) or reach[k - 1] < b
+            if free and cost >= (max(dear, DEAR_PROSE) if prose else dear):
+                found.append((a, 3, b))
+    return sorted(found), least
+
+
+def scan(text: str, dear: float = DEAR, corpus: dict[str, int] | None = None) -> list[tuple[int, int, int]]:
+    """(start, kind's index, end) of all spans by start, then kind."""
+    return judged(text, dear, corpus)[0]
 
 
 def spans_text(spans: list[tuple[int, int, int]]) -> str:
@@ -198,24 +230,27 @@ def spans_text(spans: list[tuple[int, int, int]]) -> str:
 
 
 def secrets(docs: DataFrame, dear: float = DEAR, corpus_words: int = CORPUS_WORDS) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans of every row.
+    """doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans, least_cost of every row.
+
+    least_cost is log10 of the guesses that the cheapest value in a credential's place takes, in nine digits; null
+    without such a value.
 
     A null text counts as empty: no spans, and the digest of the empty string. Rows of a null or repeated
     doc_id are scanned one by one. Other columns are not read. Offsets are code points, ends exclusive.
     """
     shared = docs.sparkSession.sparkContext.broadcast(corpus_ranks(docs, corpus_words))  # at most corpus_words words of 24 letters
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string, least_cost double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column(1):
-                spans = scan(text.as_py(), dear, shared.value)
+                spans, least = judged(text.as_py(), dear, shared.value)
                 base = spans_text([x for x in spans if x[1] < 3])
-                rows.append((*[sum(k == kind for _, k, _ in spans) for kind in range(4)], hashlib.sha256(base.encode()).hexdigest(), spans_text(spans)))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2
-            names = ["doc_id", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans"]
+                rows.append((*[sum(k == kind for _, k, _ in spans) for kind in range(4)], hashlib.sha256(base.encode()).hexdigest(), spans_text(spans), None if least is None else round(least, 9)))
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
+            names = ["doc_id", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans", "least_cost"]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
     return dealt(docs.select("doc_id", text_of().alias("text"))).mapInArrow(run, schema)
