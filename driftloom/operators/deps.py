@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Severity and label of an ecosystem's findings by rule.
@@ -134,12 +134,25 @@ def dependency_findings(rows: DataFrame) -> DataFrame:
     return out.withColumns({"severity": found["severity"], "type": found["type"]})
 
 
-def loosely_vouched(entries: DataFrame, lock_texts: DataFrame, name: str = "name", text: str = "lock_text") -> DataFrame:
-    """Entries whose name followed by @ stands in a lockfile text of their manifest; texts: (manifest, lock_text)."""
-    texts = lock_texts.select(F.col("manifest").alias("__m"), F.col(text).alias("__text"))
-    here = entries.join(texts, F.col("manifest") == F.col("__m"), "left")
+def loosely_vouched(entries: DataFrame, lock_texts: DataFrame, name: str = "name", text: str = "lock_text", key: str = "manifest") -> DataFrame:
+    """Entries with whether their name followed by @ stands in a lockfile text of their key; texts: (key, lock_text)."""
+    texts = lock_texts.select(F.col(key).alias("__m"), F.col(text).alias("__text"))
+    here = entries.join(texts, F.col(key) == F.col("__m"), "left")
     return here.withColumn("vouched", F.coalesce(F.col("__text").contains(F.concat(name, F.lit("@"))), F.lit(False))).drop("__m", "__text")
 
 
+# The order in which the sections of a package manifest are told; those of other manifests are sorted.
+SECTIONS = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies", "scripts")
+
+
+def ordered(entries: DataFrame, path: str = "path", section: str = "signature") -> DataFrame:
+    """Entries with ``pre_ord``, their place in their manifest: by section, as these stand in SECTIONS and else sorted, then by name."""
+    place = F.lit(len(SECTIONS))
+    for k, name in enumerate(SECTIONS):
+        place = F.when(F.col(section) == name, k).otherwise(place)
+    place = F.when(F.substring_index(F.col(path), "/", -1) == "package.json", place).otherwise(0)
+    return entries.withColumn("pre_ord", F.row_number().over(Window.partitionBy(path).orderBy(place, section, "name")) - 1)
+
+
 def undeclared(imports: DataFrame, declared: DataFrame, on: str) -> DataFrame:
     return imports.join(declared.select(on).distinct(), on, "left_anti")

@@ -85,9 +85,15 @@ def checked_buckets(rows: DataFrame, bucket: Column, total: int) -> DataFrame:
 
 
 def oracle_check(cases: DataFrame) -> DataFrame:
-    """case_id, failures: what differs from expectations; cases: expected_* and actual_* of exit, changed_files, risk_count, and missing/forbidden counts."""
+    """case_id, failures: what differs from expectations; cases: expected_* and actual_* of exit, changed_files, risk_count, and missing/forbidden counts.
+
+    Where cases have expected_file_count and actual_file_count, an expectation that is not null is held against it.
+    """
     part = lambda bad, text: F.when(bad, text)
     differs = [part(~F.col(f"expected_{c}").eqNullSafe(F.col(f"actual_{c}")), F.concat(F.lit(f"{c}: "), F.col(f"expected_{c}").cast("string"), F.lit(" expected, "), F.col(f"actual_{c}").cast("string"))) for c in ("exit", "changed_files", "risk_count")]
+    if "expected_file_count" in cases.columns:
+        wrong = F.col("expected_file_count").isNotNull() & ~F.col("expected_file_count").eqNullSafe(F.col("actual_file_count"))
+        differs.append(part(wrong, F.concat(F.lit("file_count: "), F.col("expected_file_count").cast("string"), F.lit(" expected, "), F.coalesce(F.col("actual_file_count").cast("string"), F.lit("none")))))
     found = [part(F.col("missing") > 0, F.lit("required flags are missing")), part(F.col("forbidden") > 0, F.lit("forbidden flags were raised"))]
     out = cases.withColumn("failures", F.array_compact(F.array(*differs, *found)))
     return out.select("case_id", "failures", (F.size("failures") == 0).alias("passed"))

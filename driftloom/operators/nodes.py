@@ -51,9 +51,11 @@ def facts_of(lines: list[str] | None, family: str) -> dict | None:
 
 
 def node_hash(node: dict) -> str:
-    """Of what a node is and has become, with its children; review marks are no part of it."""
-    parts = [node["kind"], node["name"], node["signature"], node["state"], node["before"], node["after"], [node_hash(c) for c in node["children"]]]
-    return hashlib.sha256(json.dumps(parts, ensure_ascii=False).encode("utf-8", "surrogatepass")).hexdigest()
+    """Of what a node is and has become, with its children's hashes, which are worked out first and kept; review marks are no part of it."""
+    if "hash" not in node:
+        parts = [node["kind"], node["name"], node["signature"], node["state"], node["before"], node["after"], [node_hash(c) for c in node["children"]]]
+        node["hash"] = hashlib.sha256(json.dumps(parts, ensure_ascii=False).encode("utf-8", "surrogatepass")).hexdigest()
+    return node["hash"]
 
 
 def file_nodes(path: str, before: str | None, after: str | None) -> list[dict]:

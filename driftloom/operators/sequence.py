@@ -11,6 +11,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -169,6 +170,8 @@ def diff_nodes(before: list[dict], after: list[dict]) -> list[dict]:
 
 
 def _matched(b: dict, a: dict) -> dict:
+    if b["lines"] == a["lines"] and b.get("signature") == a.get("signature"):  # nothing below differs either
+        return {"state": "unchanged", "children": [], "before": None, "after": None}
     same = _plain(b["lines"]) == _plain(a["lines"])
     children: list[dict] = []
     if b.get("children") or a.get("children"):
@@ -202,18 +205,22 @@ def sequence_join(rows: DataFrame, key: str, before: str, after: str) -> DataFra
     return dealt(rows.select(key, before, after)).mapInArrow(run, schema)
 
 
-def lcs_length(before: F.Column, after: F.Column) -> F.Column:
-    """The length of the longest common subsequence of two short arrays, as one expression."""
-    row = F.transform(F.concat(after, F.array(F.lit(""))), lambda _: F.lit(0))
+def common_length(before: Sequence, after: Sequence) -> int:
+    """The length of the longest common subsequence, in a row of bits for each element of the shorter side."""
+    if not before or not after:
+        return 0
+    if len(after) < len(before):
+        before, after = after, before
+    codes: dict = {}
+    b, a = ([codes.setdefault(x, len(codes)) for x in side] for side in (before, after))
+    return _Rows(b, a).length(0, 0)
 
-    def step(previous: F.Column, value: F.Column) -> F.Column:
-        start = F.struct(F.array(F.lit(0)).alias("row"), F.lit(0).alias("k"))
 
-        def cell(acc: F.Column, x: F.Column) -> F.Column:
-            k = acc["k"]
-            here = F.when(x == value, F.get(previous, k) + 1).otherwise(F.greatest(F.get(previous, k + 1), F.element_at(acc["row"], -1)))
-            return F.struct(F.concat(acc["row"], F.array(here)).alias("row"), (k + 1).alias("k"))
+def lcs_length(before: F.Column, after: F.Column) -> F.Column:
+    """The length of the longest common subsequence of two arrays of texts; null without one of them."""
 
-        return F.aggregate(after, start, cell)["row"]
+    @F.pandas_udf("int")
+    def length(b: pd.Series, a: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else common_length(list(x), list(y)) for x, y in zip(b, a, strict=True)], dtype="Int32")
 
-    return F.element_at(F.aggregate(before, row, step), -1)
+    return length(before, after)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.functions import paths as P
@@ -12,6 +12,7 @@ from driftloom.functions import text as T
 from driftloom.operators import deps, drift, nodes, rules, session, triage
 from driftloom.sources import manifests
 
+
 @dataclass
 class Session:
     """Tables of one analysis: flags and nodes have ``repo``; files are those with results, others are not parsed."""
@@ -53,10 +54,10 @@ def dependency_flags(changed: DataFrame, worktree: DataFrame) -> DataFrame:
     locks = worktree.where(F.substring_index("path", "/", -1).isin(*manifests.LOCK_READERS))
     beside = deps.nearest_lockfile(own, locks).where("lock_path IS NOT NULL").select(F.col("path").alias("lock_of"), F.col("lock_path").alias("lock"))
     names = manifests.locked(locks).select(F.col("lock_path").alias("in_lock"), F.col("name").alias("known_name")).distinct()
-    loose = manifests.loose_texts(locks).select(F.col("lock_path").alias("loose_lock"), "lock_text")
+    loose = manifests.loose_texts(locks).select(F.col("lock_path").alias("lock"), "lock_text")
     rows = diff.join(beside, F.col("manifest") == F.col("lock_of"), "left").join(names, (F.col("lock") == F.col("in_lock")) & (F.col("vouch_name") == F.col("known_name")), "left")
-    rows = rows.join(loose, F.col("lock") == F.col("loose_lock"), "left")
-    known = F.col("known_name").isNotNull() | F.coalesce(F.col("lock_text").contains(F.concat("vouch_name", F.lit("@"))), F.lit(False))
+    rows = deps.loosely_vouched(rows, loose, "vouch_name", key="lock")
+    known = F.col("known_name").isNotNull() | F.col("vouched")
     rows = rows.withColumns({"ecosystem": eco, "indirect": F.coalesce("by_others", F.lit(False)), "locked": F.col("lock").isNotNull(), "known": known})
     out = deps.dependency_findings(rows)
     line = lambda c: F.when(F.col(c).isNotNull(), F.array(F.concat(F.lit('"'), F.col("name"), F.lit('": "'), F.col(c), F.lit('"'))))
@@ -67,8 +68,7 @@ def dependency_flags(changed: DataFrame, worktree: DataFrame) -> DataFrame:
         F.col("manifest").alias("path"), file_id.alias("file_id"), F.col("section").alias("signature"), "name", "state", "rule", "severity", "type",
         line("before").alias("before"), line("after").alias("after"), kind.alias("kind"),
     )
-    # entries of a manifest stand in the order of their sections and names
-    out = out.withColumn("pre_ord", F.row_number().over(Window.partitionBy("path").orderBy("signature", "name")) - 1)
+    out = deps.ordered(out)
     lifecycle = (F.col("rule") == "script-changed") & T.is_lifecycle(F.col("name"))
     desc = F.when(lifecycle, F.concat(F.lit("A script that installs run changed: "), "name")).otherwise(F.concat_ws(" ", "type", "name"))
     out = drift.with_node_ids(out.withColumn("desc", desc), "file_id", "signature", "kind", "name", "signature")

@@ -9,7 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.operators import drift
+from driftloom.functions import text as T
+from driftloom.operators import drift, nodes, patches, rules
 
 FLAG = "struct<type:string,severity:string,file_path:string,node_path:string,aliases:array<string>>"
 CASE_SCHEMA = f"case_id string, title string, before map<string,string>, after map<string,string>, expected_exit int, changed_files long, risk_count long, required array<{FLAG}>, forbidden array<{FLAG}>, decision string, accepted array<string>"
@@ -50,19 +51,32 @@ def read_answers(spark: SparkSession, paths: list[str]) -> DataFrame:
     return rows.withColumn("kind", kind).withColumn("external", F.coalesce(F.col("external"), F.lit(False)) & (F.col("kind") == "human"))
 
 
-def inferred_decision(severity_rank: F.Column) -> F.Column:
-    """What findings of this greatest severity (high 3 .. none 0) amount to where an answer does not decide."""
-    return F.when(severity_rank >= 3, "block").when(severity_rank >= 1, "investigate").otherwise("approve")
+def case_reports(files: DataFrame) -> DataFrame:
+    """case_id, report: what the rules say of changed files (case_id, path, before, after), the gravest first, and every change as a block."""
+    parsed = files.select(F.col("case_id").alias("repo"), "path", "before", "after")
+    flags = rules.flags(nodes.drift_nodes(parsed).withColumn("declared", F.array().cast("array<string>")))
+    said = F.concat(F.lit("- "), F.initcap("severity"), F.lit(": "), "type", F.lit(" in "), "path", F.lit(" ("), "node_path", F.lit(")"))
+    told = flags.groupBy(F.col("repo").alias("of")).agg(F.array_sort(F.collect_list(F.struct(T.severity_rank(F.col("severity")).alias("rank"), "path", "pre_ord", said.alias("said")))).alias("told"))
+    lines = lambda c: F.split(F.coalesce(c, F.lit("")), "\n", -1)
+    block = F.concat(F.lit("### "), "path", F.lit("\n"), drift.diff_block(lines(F.col("before")), lines(F.col("after")), F.col("state"), 80))
+    blocks = files.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("path", block.alias("block")))).alias("blocks"))
+    out = blocks.join(told, F.col("case_id") == F.col("of"), "left")
+    flagged = F.coalesce(F.array_join(F.transform("told", lambda x: x["said"]), "\n"), F.lit("No risks were found."))
+    return out.select("case_id", F.concat_ws("\n\n", F.lit("## Risks"), flagged, F.lit("## Changes"), F.array_join(F.transform("blocks", lambda x: x["block"]), "\n\n")).alias("report"))
 
 
 def write_packets(cases: DataFrame, folder: str, prompt: str) -> None:
-    """For each case a blind packet: what changed, as text, and the question; nothing of what is expected."""
+    """For each case a blind packet: the question, the report, the patch, and what the case is called; nothing of what is expected."""
     files = case_files(cases)
-    lines = lambda c: F.split(F.coalesce(c, F.lit("")), "\n", -1)
-    patch = F.concat(F.lit("### "), "path", F.lit("\n"), drift.diff_block(lines(F.col("before")), lines(F.col("after")), F.col("state"), 1_000_000))
-    per = files.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", patch.alias("patch")))), lambda x: x["patch"]), "\n\n").alias("patch"))
-    titled = per.join(cases.select("case_id", "title"), "case_id")
-    titled.select("case_id", F.concat_ws("\n\n", "title", F.lit(prompt), "patch").alias("value")).write.mode("overwrite").partitionBy("case_id").text(folder)
+    texts = patches.with_patch(files).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("path", "patch"))).alias("all"))
+    texts = texts.select("case_id", F.array_join(F.transform("all", lambda x: x["patch"]), "").alias("patch"))
+    rows = cases.select("case_id", "title").join(texts, "case_id").join(case_reports(files), "case_id")
+    metadata = F.to_json(F.struct("case_id", "title"))
+    parts = {"prompt": F.concat_ws("\n\n", "title", F.lit(prompt)), "report": F.col("report"), "patch": F.col("patch"), "metadata": metadata}
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), text.alias("value")) for name, text in parts.items()]))
+    # the writer ends each value with a line feed of its own
+    out = rows.select("case_id", each.alias("part")).select("case_id", "part.name", F.regexp_replace("part.value", "\n$", "").alias("value"))
+    out.write.mode("overwrite").partitionBy("case_id", "name").text(folder)
 
 
 def replay_targets(path: str) -> list[tuple[str, str, str]]:

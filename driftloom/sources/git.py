@@ -1,7 +1,7 @@
 """Snapshots of a repository: changed paths, contents on both sides, and the revisions that name a baseline.
 
 The data source ``git_files`` lists the paths that differ between a baseline and the working tree on the driver, and reads
-contents in tasks. It asks for contents only if a query needs them.
+contents in tasks, unless the option ``contents`` is false.
 """
 
 from __future__ import annotations
@@ -112,11 +112,34 @@ def content_at(root: str, rev: str, path: str) -> str | None:
     return git(root, "cat-file", "blob", f"{rev}:{path}")
 
 
-def blob_at(root: str, rev: str, path: str) -> tuple[str | None, int | None]:
-    """(oid, size) without the content."""
-    oid = git(root, "rev-parse", "--verify", "--quiet", f"{rev}:{path}")
-    size = git(root, "cat-file", "-s", oid.strip()) if oid else None
-    return (oid.strip(), int(size)) if oid and size else (None, None)
+def blobs(root: str, names: list[str]) -> list[tuple[str | None, int | None]]:
+    """(oid, size) of blobs by their names, without contents, from one process."""
+    if not names:
+        return []
+    asked = "".join(f"{x}\0" for x in names).encode("utf-8", "surrogateescape")
+    done = subprocess.run(["git", "-C", root, "cat-file", "-z", "--batch-check=%(objectname) %(objecttype) %(objectsize)"], input=asked, capture_output=True, check=False)
+    lines = done.stdout.decode("utf-8", "replace").split("\n")
+    out: list[tuple[str | None, int | None]] = []
+    for line in lines[: len(names)]:
+        part = line.rsplit(" ", 2)
+        found = len(part) == 3 and part[1] == "blob" and part[2].isdigit()
+        out.append((part[0], int(part[2])) if found else (None, None))
+    return out + [(None, None)] * (len(names) - len(out))
+
+
+def blob_texts(root: str, oids: list[str]) -> Iterator[str]:
+    """The texts of blobs, one after the other, from one process."""
+    if not oids:
+        return
+    with subprocess.Popen(["git", "-C", root, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as process:
+        for oid in oids:
+            process.stdin.write(f"{oid}\n".encode())
+            process.stdin.flush()
+            size = int(process.stdout.readline().split()[2])
+            data = process.stdout.read(size)
+            process.stdout.read(1)
+            yield data.decode("utf-8", "replace")
+        process.stdin.close()
 
 
 def worktree_content(root: str, path: str) -> str | None:
@@ -161,19 +184,24 @@ class GitReader(DataSourceReader):
 
     def read(self, partition: PathRange) -> Iterator[tuple]:
         rev = self.rev or "HEAD"
-        for path in partition.paths:
-            before_oid, before_size = blob_at(self.root, rev, path)
-            after_oid, after_size = worktree_blob(self.root, path)
-            if before_oid == after_oid:
-                continue
-            small = self.contents and max(before_size or 0, after_size or 0) <= self.cap
-            before = content_at(self.root, rev, path) if small and before_oid else None
-            after = worktree_content(self.root, path) if small and after_oid else None
-            yield path, before_oid, after_oid, before_size, after_size, before, after
+        before = blobs(self.root, [f"{rev}:{path}" for path in partition.paths])
+        known = {path: (oid, size) for path, (oid, size) in zip(partition.paths, before, strict=True)}
+        now = {path: worktree_blob(self.root, path) for path in partition.paths}
+        changed = [path for path in partition.paths if known[path][0] != now[path][0]]
+        small = {path for path in changed if self.contents and max(known[path][1] or 0, now[path][1] or 0) <= self.cap}
+        texts = blob_texts(self.root, [known[path][0] for path in changed if path in small and known[path][0]])
+        for path in changed:
+            (before_oid, before_size), (after_oid, after_size) = known[path], now[path]
+            text = next(texts) if path in small and before_oid else None
+            yield path, before_oid, after_oid, before_size, after_size, text, worktree_content(self.root, path) if path in small and after_oid else None
 
 
 class GitFiles(DataSource):
-    """``spark.read.format("git_files").option("path", root).option("baseline", rev)``; contents=false reads none."""
+    """``spark.read.format("git_files").option("path", root).option("baseline", rev)``.
+
+    Contents are read unless ``contents`` is false: columns that a query leaves out are read nevertheless. A task asks
+    two git processes for all its paths.
+    """
 
     @classmethod
     def name(cls) -> str:

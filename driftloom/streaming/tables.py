@@ -195,7 +195,7 @@ class KeyedState:
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str, key: str, order: list[str], gone: str, buckets: int = 16, keep: int = 3) -> None:
-        self.key, self.order, self.gone = key, order, gone
+        self.schema, self.key, self.order, self.gone = schema, key, order, gone
         self.tables = VersionedTables(spark, path, {"state": Table(schema, (key,), buckets)}, keep)
 
     @property

@@ -69,9 +69,15 @@ class Stopped(Exception):
 
 
 def _parts(spark: SparkSession, rows: DataFrame, folder: str, order: str, parts: int) -> DataFrame:
-    """rows as a stream of files in order, one for each batch."""
+    """rows as a stream of files in order, one for each batch. A stream takes files by their times, so these are set."""
     rows.repartitionByRange(parts, order).sortWithinPartitions(order).write.parquet(f"{folder}/input")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{folder}/input")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/input")
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted(((s.getPath().getName(), s.getModificationTime(), s.getPath()) for s in files.listStatus(at) if s.getPath().getName().startswith("part-")), key=lambda x: x[0])
+    first = min((t for _, t, _ in found), default=0)
+    for k, (_, _, path) in enumerate(found):
+        files.setTimes(path, first + 1000 * k, -1)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/input")
 
 
 def _run(stream: DataFrame, folder: str, apply) -> None:  # noqa: ANN001
