@@ -108,7 +108,7 @@ def analyze(changed: DataFrame, worktree: DataFrame, state: DataFrame, repo: str
     files = files.withColumn("summary", F.coalesce("__why", "summary", F.lit("Formatting only"))).withColumn("skipped", F.col("__s").isNotNull()).drop("__p", "__s", "__why")
     files = files.withColumn("dir", P.dir_of(F.col("path"))).withColumn("name", P.file_name(F.col("path"))).withColumn("repo", F.lit(repo))
     files = session.file_rollup(files, flags, all_nodes)
-    others = changed.select("path").join(with_results, "path", "left_anti")
+    others = changed.select("path").join(with_results, "path", "left_anti").withColumn("repo", F.lit(repo))
     totals = session.session_totals(files, ["repo"])
     codes = session.exit_code(flags, ["repo"]).withColumnRenamed("repo", "__r")
     totals = totals.join(codes, F.col("repo") == F.col("__r"), "left").drop("__r").fillna(0, ["exit_code"])

@@ -12,9 +12,11 @@ from pyspark.sql.group import GroupedData
 
 from driftloom.functions import paths as P
 from driftloom.functions.scratch import shared_folder
+from driftloom.sources import documents
 
 from . import debounce
-from .tables import KeyedState
+from .incremental import IncrementalSession
+from .tables import KeyedState, last_of
 
 # The quiet time that ends a batch, and files at the root whose change asks for a full scan.
 DEBOUNCE = "400 milliseconds"
@@ -123,3 +125,37 @@ def stream_debounced(spark: SparkSession, sf_dir: str, gap_ms: int, late: str =
     query = closed.writeStream.format("parquet").option("path", f"{folder}/closed").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(closed.schema).parquet(f"{folder}/closed")
+
+
+def session_documents(session: IncrementalSession, rows: DataFrame) -> DataFrame:
+    """repo, document (JSON) of the repositories that rows are of: their totals and flags as they are now."""
+    head = session.tables.head()
+    repos = rows.select("repo").distinct()
+    flags = session.flags(head).join(repos, "repo", "left_semi")
+    listed = flags.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("path", "flag_id", "severity", "dismissed"))).alias("flags"))
+    totals = repos.join(session.totals(head), "repo", "left").join(listed, "repo", "left")
+    return totals.select("repo", F.to_json(F.struct(*[c for c in totals.columns])).alias("document"))
+
+
+def run_sessions(changes: DataFrame, folder: str, stop: tuple[int, str] | None = None, **options) -> IncrementalSession:  # noqa: ANN003
+    """Takes a stream of files (repo, path, before, after) into totals and writes a document for each batch, until its input ends.
+
+    Both know a batch by its number, so that a batch that is run again after a failure changes nothing twice. A file that
+    a batch has more than once counts as it is last, by ``at``. stop: a batch and where in it the stream fails, for tests.
+    """
+    spark = changes.sparkSession
+    documents.register(spark)
+    session = IncrementalSession(spark, f"{folder}/session", **options)
+
+    def apply(rows: DataFrame, batch: int) -> None:
+        files = last_of(rows, ["repo", "path"], ["at"]).select("repo", "path", "before", "after").persist()
+        session.apply(files, batch)
+        if stop == (batch, "applied"):
+            raise Stopped
+        session_documents(session, files).write.format(documents.FORMAT).option("path", f"{folder}/documents").option("batch", batch).mode("append").save()
+        files.unpersist()
+        if stop == (batch, "written"):
+            raise Stopped
+
+    _run(changes, folder, apply)
+    return session
