@@ -1,4 +1,8 @@
-"""``python -m driftloom.cli check [path] [--json | --md] [--baseline SPEC] [--state FILE]``: the exit code is the worst active flag's."""
+"""``python -m driftloom.cli check [path] [--json | --md] [--baseline SPEC] [--state FILE]``: the exit code is the worst active flag's.
+
+With a state file, a reviewer's steps: ``approve``, ``revoke``, ``baseline --to SPEC``, ``dismiss --id ID ...``, ``dismiss-all``,
+``restore --id ID ...``, ``review --id ID ...`` and ``unreview --id ID ...``; they exit with 0.
+"""
 
 from __future__ import annotations
 
@@ -9,10 +13,21 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.plans import check
+from driftloom.plans import check, review
 from driftloom.sources import git, manifests, sinks
 
 USAGE = 64
+#: What a reviewer does, by its command: of the review, what was asked, and the time.
+STEPS = {
+    "approve": lambda step, _, now: step.approve(now),
+    "revoke": lambda step, *_: step.revoke(),
+    "baseline": lambda step, asked, _: step.set_baseline(asked.to),
+    "dismiss": lambda step, asked, _: step.dismiss(asked.id),
+    "dismiss-all": lambda step, *_: step.dismiss_all(),
+    "restore": lambda step, asked, _: step.restore(asked.id),
+    "review": lambda step, asked, _: step.review(asked.id),
+    "unreview": lambda step, asked, _: step.unreview(asked.id),
+}
 
 
 def run(spark: SparkSession, path: str, baseline: str | None = None, state_file: str | None = None) -> tuple[check.Session, dict]:
@@ -33,22 +48,30 @@ def run(spark: SparkSession, path: str, baseline: str | None = None, state_file:
 
 def main(args: list[str]) -> int:
     parser = argparse.ArgumentParser(prog="driftloom", exit_on_error=False)
-    parser.add_argument("command", choices=["check"])
+    parser.add_argument("command", choices=["check", *STEPS])
     parser.add_argument("path", nargs="?", default=".")
     parser.add_argument("--json", action="store_true")
     parser.add_argument("--md", action="store_true")
     parser.add_argument("--baseline")
     parser.add_argument("--state")
+    parser.add_argument("--to", default="head")
+    parser.add_argument("--id", nargs="+", default=[])
+    now = datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds")
     try:
         asked = parser.parse_args(args)
         spark = SparkSession.builder.config("spark.ui.enabled", "false").getOrCreate()
+        if asked.command in STEPS:
+            if not asked.state:
+                raise git.BaselineError("a step needs --state")
+            STEPS[asked.command](review.Review(spark, asked.path, asked.state), asked, now)
+            return 0
         found, head = run(spark, asked.path, asked.baseline, asked.state)
     except (argparse.ArgumentError, SystemExit, git.BaselineError) as e:
         print(e, file=sys.stderr)
         return USAGE
     doc = sinks.to_dict(found, head)
     if asked.md:
-        print(sinks.markdown_report(found, head, datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds")))
+        print(sinks.markdown_report(found, head, now))
     else:
         print(sinks.json_report(found, head))
     return doc["session"]["exit_code"]

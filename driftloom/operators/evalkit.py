@@ -56,6 +56,23 @@ def panel_totals(scores: DataFrame) -> DataFrame:
     return scores.groupBy("model").agg(F.round(F.avg("score")).cast("long").alias("mean"), F.min("score").alias("least"), F.max("score").alias("most")).withColumn("spread", F.col("most") - F.col("least"))
 
 
+def models_in_order(totals: DataFrame) -> DataFrame:
+    """totals (model, mean) with ``place``: the best first, then by name."""
+    return totals.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean"), "model")))  # a row for each model
+
+
+def cases_in_order(matrix: DataFrame) -> DataFrame:
+    """matrix (case_id, mean) with ``place``: the case that models found hardest first, then by name.
+
+    A place is the number of cases with a lower mean, counted by mean, and the place among those of the same mean.
+    """
+    per = matrix.groupBy(F.col("mean").alias("__mean")).agg(F.count(F.lit(1)).alias("n"))
+    before = per.withColumn("__before", F.coalesce(F.sum("n").over(Window.orderBy("__mean").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each mean
+    out = matrix.join(before, F.col("mean") == F.col("__mean"))
+    within = F.row_number().over(Window.partitionBy("mean").orderBy("case_id"))
+    return out.withColumn("place", (F.col("__before") + within).cast("long")).drop("__mean", "n", "__before")
+
+
 def evaluator_rollup(rows: DataFrame) -> DataFrame:
     return rows.groupBy("evaluator", "kind").agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg("score")).cast("long").alias("mean"))
 

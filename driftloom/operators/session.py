@@ -95,3 +95,21 @@ def default_selection(flags: DataFrame, files: DataFrame) -> DataFrame:
     flag = flags.where(~F.col("dismissed")).orderBy(*flag_order()).limit(1).select(F.lit(0).alias("o"), F.lit("flag").alias("kind"), F.col("flag_id").alias("id"))
     file = files.orderBy(*file_order()).limit(1).select(F.lit(1).alias("o"), F.lit("file").alias("kind"), F.col("path").alias("id"))
     return flag.union(file).orderBy("o").limit(1).select("kind", "id")
+
+
+def other_files(changed: DataFrame, with_results: DataFrame) -> DataFrame:
+    """Changed files that have no results: they are listed, and nothing is said of them."""
+    return changed.join(with_results.select("path").distinct(), "path", "left_anti")
+
+
+def results(*tables: DataFrame) -> DataFrame:
+    """The paths of all tables' results, each once."""
+    out = tables[0].select("path")
+    for other in tables[1:]:
+        out = out.union(other.select("path"))
+    return out.distinct()
+
+
+def flag_counts(flags: DataFrame, target: str, rule: str = "rule") -> DataFrame:
+    """Flags of each target and rule, of each target, and of all, told apart by ``level``."""
+    return flags.rollup(target, rule).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))

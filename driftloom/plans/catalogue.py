@@ -285,7 +285,7 @@ def prune_reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def other_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = sides(spark, sf_dir)
     changed = both.where(~F.col("before").eqNullSafe(F.col("after"))).where(~P.is_analyzable(F.col("path")) | (F.col("doc_id") % 10 == 3)).select("path")
-    return changed.join(both.where("doc_id % 10 = 0").select("path"), "path", "left_anti")
+    return session.other_files(changed, both.where("doc_id % 10 = 0"))
 
 
 @query(
@@ -350,7 +350,7 @@ def sorted_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {SIDES}, {FLAGS} SELECT source, rule, count(*) AS n, grouping(source, rule)::BIGINT AS level FROM judged GROUP BY ROLLUP (source, rule)"""
 )
 def flags_by_rule_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _judged(spark, sf_dir).rollup("source", "rule").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
+    return session.flag_counts(_judged(spark, sf_dir), "source")
 
 
 @query(

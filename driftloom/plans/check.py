@@ -102,13 +102,13 @@ def analyze(changed: DataFrame, worktree: DataFrame, state: DataFrame, repo: str
     flags = triage.with_dismissed(flags.withColumn("repo", F.lit(repo)), state).persist()
     all_nodes = triage.with_reviewed(all_nodes, state).persist()
     counts = drift.state_counts(all_nodes, ["path"]).select(F.col("path").alias("__p"), "summary")
-    with_results = changed.where(P.is_analyzable(F.col("path"))).select("path").union(dependencies.select("path")).distinct()
+    with_results = session.results(changed.where(P.is_analyzable(F.col("path"))), dependencies)
     left_out = skipped.select(F.col("path").alias("__s"), F.col("summary").alias("__why"), "skip_marker")
     files = with_results.join(counts, F.col("path") == F.col("__p"), "left").join(left_out, F.col("path") == F.col("__s"), "left")
     files = files.withColumn("summary", F.coalesce("__why", "summary", F.lit("Formatting only"))).withColumn("skipped", F.col("__s").isNotNull()).drop("__p", "__s", "__why")
     files = files.withColumn("dir", P.dir_of(F.col("path"))).withColumn("name", P.file_name(F.col("path"))).withColumn("repo", F.lit(repo))
     files = session.file_rollup(files, flags, all_nodes)
-    others = changed.select("path").join(with_results, "path", "left_anti").withColumn("repo", F.lit(repo))
+    others = session.other_files(changed.select("path"), with_results).withColumn("repo", F.lit(repo))
     totals = session.session_totals(files, ["repo"])
     codes = session.exit_code(flags, ["repo"]).withColumnRenamed("repo", "__r")
     totals = totals.join(codes, F.col("repo") == F.col("__r"), "left").drop("__r").fillna(0, ["exit_code"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftloom import cli
@@ -67,3 +67,8 @@ def report(flags: DataFrame, files: DataFrame, errors: DataFrame, generated_at:
     lines += ["", "| Finding | Flags |", "|-|-|", *(f"| {r['type']} | {r['n']} |" for r in by_rule(flags).collect())]
     failed = errors.orderBy("target").collect()
     return "\n".join([*lines, "", "## Failed", "", *(f"- {r['target']}: {r['error']}" for r in failed)] if failed else lines) + "\n"
+
+
+def placed(rules: DataFrame) -> DataFrame:
+    """rules (type, n) with ``place``: the most frequent first, then by name. A row for each rule."""
+    return rules.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "type")))

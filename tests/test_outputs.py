@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import json
+import subprocess
 
 import pytest
 from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import functions as F
 
 from driftloom.operators import nodes, triage
-from driftloom.plans import check
-from driftloom.sources import documents, manifests, reports, sinks, table_functions
+from driftloom.plans import check, review
+from driftloom.sources import documents, git, manifests, reports, sinks, table_functions
 from driftloom.streaming import watch
 
 FILES = {
@@ -119,3 +120,56 @@ def test_documents_as_a_sink_of_a_stream(spark, tmp_path):
     with pytest.raises(StreamingQueryException):
         query.awaitTermination()
     assert list(documents.batches(f"{folder}/bad")) == [0]
+
+
+def git_in(root, *args):
+    subprocess.run(["git", "-c", "user.name=a", "-c", "user.email=a@b", "-C", str(root), *args], check=True, capture_output=True)
+
+
+def test_review_steps(spark, tmp_path):
+    root, file = tmp_path / "repo", str(tmp_path / "state.json")
+    root.mkdir()
+    git_in(root, "init", "-q", "-b", "main")
+    (root / "a.ts").write_text("const a = 1;\n")
+    git_in(root, "add", ".")
+    git_in(root, "commit", "-qm", "one")
+    (root / "a.ts").write_text("const a = 1;\neval(x);\n")
+    (root / "n.txt").write_text("note")
+    again = lambda: review.Review(spark, str(root), file)
+    step = again()
+    assert [f["rule"] for f in step.analyze().flags.collect()] == ["eval-call"] and not step.approved()
+    flag = step.found.flags.first()
+    step.dismiss([flag["flag_id"], "unknown"])
+    assert [f["dismissed"] for f in again().analyze().flags.collect()] == [True]
+    step.restore([flag["flag_id"]])
+    assert [f["dismissed"] for f in again().analyze().flags.collect()] == [False]
+    step = again()
+    step.approve("noon")
+    assert again().approved() and again().analyze().totals.first()["reviewed_nodes"] == 1
+    (root / "n.txt").write_text("another note")
+    assert not again().approved()
+    (root / "n.txt").write_text("note")
+    assert again().approved()
+    with pytest.raises(git.BaselineError):
+        again().set_baseline("nowhere")
+    assert again().approved() and again().extra.get("baseline") is None
+    git_in(root, "add", ".")
+    git_in(root, "commit", "-qm", "two")
+    step = again()
+    step.set_baseline("trust-point")  # what was approved, before the second commit
+    assert step.baseline[2].startswith("trust point @ ") and again().analyze().flags.count() == 1 and again().approved()
+    step.approve("later")  # the trust point moves to the second commit, and with it the baseline
+    step = again()
+    assert step.approved() and step.analyze().flags.count() == 0 and step.found.files.count() == 0
+    step.revoke()
+    step = again()
+    assert not step.approved() and step.extra["trustPoint"] == git.head_sha(str(root)) and step.extra["baseline"] == "trust-point"
+    (root / "a.ts").write_text("const a = 2;\n")
+    step.analyze()
+    node = step.found.nodes.where("name = 'a'").first()["node_id"]
+    step.review([node])
+    assert again().analyze().totals.first()["reviewed_nodes"] == 1
+    step.unreview([node])
+    step.dismiss_all()
+    step.set_baseline("head")
+    assert again().extra.get("baseline") is None and again().analyze().totals.first()["reviewed_nodes"] == 0
