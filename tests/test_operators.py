@@ -336,3 +336,22 @@ def test_large_fingerprints_do_not_depend_on_order(spark):
     one = session.large_fingerprint(flags, files, others).first()["fingerprint"]
     assert session.large_fingerprint(flags.repartition(4), files.orderBy(F.desc("path")), others).first()["fingerprint"] == one
     assert session.large_fingerprint(flags, files.limit(899), others).first()["fingerprint"] != one
+
+
+def test_word_lcs_length_is_of_whole_texts(spark):
+    from driftloom.plans import catalogue
+
+    sf_dir = "/root/testdata/sf0.001"
+    texts = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    want = {}
+    for i, t in texts.items():
+        a, b = t.split(" "), t[::-1].split(" ")
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for k, y in enumerate(b):
+                row.append(last[k] + 1 if x == y else max(last[k + 1], row[k]))
+        want[i] = row[-1]
+    assert {r["item_id"]: r["lcs"] for r in catalogue.word_lcs_length(spark, sf_dir).collect()} == want
+    assert max(len(t.split(" ")) for t in texts.values()) > 12
