@@ -3,7 +3,9 @@
 Each component of the candidates of a block is a list sorted by value, and their lengths are known. Lists are read
 from the end that a query's own component favours, those of heavy components further: a list whose share of the
 query's square is large enough is read whole, others in proportion to theirs. What has been read gives each
-candidate a lower and an upper bound of its score. The rest of its components lie between the list's last value and
+candidate a lower and an upper bound of its score. The first reading is of the heaviest lists, whole, for many queries
+at once: it is a product of matrices. The candidates with the best lower bounds are resolved then, and the k-th of
+their scores is a floor; bounds that do not reach it end most candidates. Others are read further. The rest of its components lie between the list's last value and
 the last one read, and their product with the query's is at most that of what is left of both lengths. Candidates
 whose upper bound is below the k-th best lower bound cannot qualify. Reading goes on, for those in sight alone,
 until few are left; their scores are then resolved. Scores are whole numbers.
@@ -24,6 +26,8 @@ CANDIDATES, QUERIES = 16_384, 16_384
 #: How far lists are read in each round, as multiples of a component's share of the query's square; the least part of a
 #: list that is read; and the part of candidates that ends reading.
 ROUNDS, LEAST, FEW = (1.0, 2.0, 4.0, 8.0), 1 / 16, 0.02
+#: The share of a query's square whose lists the first reading reads, and the queries that it takes at once.
+FIRST, AT_ONCE = 0.98, 64
 #: Sums of products below this are exact in doubles; those beyond the second may wrap and are not bounded.
 EXACT, WRAPS = 2.0**52, 2.0**62
 RESULT = "query_id long, vec_id long, score long"
@@ -77,6 +81,23 @@ class Lists:
         slack = 1e-9 * (np.sqrt(weight.sum() * self.lengths[rows])) + 1e-6  # what rounding may take
         return seen + np.maximum(least, -span) - slack, seen + np.minimum(most, span) + slack
 
+    def first_bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lower, upper) bounds of all scores of many queries, after the lists that make FIRST of each query's square were read whole."""
+        weight = q * q
+        order = np.argsort(-weight, axis=1, kind="stable")
+        ranked = np.take_along_axis(weight, order, axis=1)
+        before = np.cumsum(ranked, axis=1) - ranked
+        whole = np.zeros(q.shape, bool)
+        np.put_along_axis(whole, order, before < FIRST * weight.sum(axis=1, keepdims=True), axis=1)
+        rest = np.where(whole, 0.0, q)
+        ends = rest[:, :, None] * self.sorted[:, [0, -1]]
+        least, most = ends.min(axis=2).sum(axis=1, keepdims=True), ends.max(axis=2).sum(axis=1, keepdims=True)
+        seen = np.where(whole, q, 0.0) @ self.x
+        left = self.lengths - whole.astype(np.float64) @ self.squares
+        span = np.sqrt((rest * rest).sum(axis=1, keepdims=True) * np.maximum(left + 1e-9 * self.lengths, 0.0))
+        slack = 1e-9 * np.sqrt(weight.sum(axis=1, keepdims=True) * self.lengths) + 1e-6  # what rounding may take
+        return seen + np.maximum(least, -span) - slack, seen + np.minimum(most, span) + slack
+
     def survivors(self, q: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
         """Those of rows whose bounds allow a place among the k best."""
         for reach in ROUNDS:
@@ -95,18 +116,30 @@ def search(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray,
     most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
     kind = np.float64 if most < EXACT else np.int64
     exact_q, exact_x, lists = q.astype(kind), x.astype(kind), Lists(x) if most < WRAPS else None
-    every = np.arange(len(x))
+    every, order = np.arange(len(x)), np.argsort(ids, kind="stable")
     out: tuple[list, list, list] = ([], [], [])
-    for name, real, own in zip(query_ids, q.astype(np.float64), exact_q, strict=True):
-        rows = every[ids != name]
-        some = lists.survivors(real, rows, k) if lists else rows
-        if resolved is not None:
-            resolved.append(len(some))
-        scores = exact_x[some] @ own
-        best = np.lexsort((ids[some], -scores))[:k]
-        out[0].append(np.full(len(best), name))
-        out[1].append(ids[some][best])
-        out[2].append(scores[best].astype(np.int64))
+    for start in range(0, len(q), AT_ONCE):
+        names, real = query_ids[start : start + AT_ONCE], q[start : start + AT_ONCE].astype(np.float64)
+        lower, upper = lists.first_bounds(real) if lists else (None, None)
+        begin, end = np.searchsorted(ids, names, sorter=order), np.searchsorted(ids, names, side="right", sorter=order)
+        for i, (name, own) in enumerate(zip(names, exact_q[start : start + AT_ONCE], strict=True)):
+            itself, tried = order[begin[i] : end[i]], 0
+            if lists is None or len(x) - len(itself) <= k:
+                some = every[ids != name]
+            else:
+                lower[i, itself] = upper[i, itself] = -np.inf
+                tried = k
+                floor = (exact_x[np.argpartition(lower[i], len(x) - k)[len(x) - k :]] @ own).min()
+                some = np.flatnonzero(upper[i] >= floor)
+                if len(some) > max(k, FEW * len(x)):
+                    some = lists.survivors(real[i], some, k)
+            if resolved is not None:
+                resolved.append(len(some) + tried)
+            scores = exact_x[some] @ own
+            best = np.lexsort((ids[some], -scores))[:k]
+            out[0].append(np.full(len(best), name))
+            out[1].append(ids[some][best])
+            out[2].append(scores[best].astype(np.int64))
     return out
 
 

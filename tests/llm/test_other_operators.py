@@ -71,6 +71,33 @@ def test_bounds_hold_and_prune_vectors_without_near_neighbours():
     assert np.mean(resolved) < 0.2
 
 
+@pytest.mark.parametrize("kind", ["even", "skewed", "ties", "zeros"])
+def test_first_bounds_hold_and_leave_few(kind, monkeypatch):
+    alone, bounds = [], topk.Lists.bounds
+    monkeypatch.setattr(topk.Lists, "bounds", lambda *a: alone.append(1) or bounds(*a))
+    rng = np.random.default_rng(7)
+    x = np.floor(rng.normal(size=(12_000, 64)) * 40).astype(np.int64)
+    if kind == "skewed":
+        x[:, 3:] //= 8
+    elif kind == "ties":
+        x[1000:2000] = x[5]
+    elif kind == "zeros":
+        x[:, 20:] = 0
+        x[50] = 0
+    ids, lists = rng.permutation(12_000) * 3, topk.Lists(x)
+    lower, upper = lists.first_bounds(x[::200].astype(float))
+    scores = x[::200] @ x.T
+    assert (lower <= scores).all() and (scores <= upper).all()
+    resolved = []
+    got = topk.search(ids[::200], x[::200], ids, x, 5, resolved)
+    for name, row, (found, of) in zip(ids[::200], scores, zip(got[1], got[2], strict=True), strict=True):
+        best = [i for i in np.lexsort((ids, -row)) if ids[i] != name][:5]
+        assert found.tolist() == ids[best].tolist() and of.tolist() == row[best].tolist()
+    if kind == "even":
+        assert np.mean(resolved) < 0.1 * len(x)
+        assert len(alone) < 0.5 * len(resolved)  # most queries are not read by themselves
+
+
 def plain_components(rows):
     sets = defaultdict(set)
     for i, t, *_ in rows:
