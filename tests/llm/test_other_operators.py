@@ -98,6 +98,35 @@ def test_first_bounds_hold_and_leave_few(kind, monkeypatch):
         assert len(alone) < 0.5 * len(resolved)  # most queries are not read by themselves
 
 
+def test_only_shingles_of_two_prefixes_make_rows(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10_000)}" for _ in range(60)) for _ in range(80)]
+    near = texts[0].split()
+    near[30] = "other"
+    texts += [" ".join(near), *texts[1:41]]  # copies, which are no second prefix
+    df = documents(spark, [(i, t, "en", "a") for i, t in enumerate([*texts, None, ""])])
+    rows, table = ngram_join.described(df, 3)
+    order = ngram_join.Order(spark, table, (90, 100))
+    got = ngram_join.prefixes(df, ngram_join.nodes_of(rows), order, 3).collect()
+    own = {ngram_join.node_of(x): order.prefix(x)[0] for x in (ngram_join.shingles(t, 3) for t in texts)}
+    held = Counter(x for p in own.values() for x in p.tolist())
+    found = [(np.array([r["shingle"]]).view(np.uint64)[0].item(), bytes(r["node"])) for r in got]
+    assert set(found) == {(x, node) for node, p in own.items() for x in p.tolist() if held[x] > 1} and found
+    assert len(found) == len(set(found))
+
+
+def test_no_shared_shingle_is_left_out():
+    rng = np.random.default_rng(2)
+    found = rng.integers(0, 2**64, 20_000, dtype=np.uint64)
+    part, digest = ngram_join.seen_places(found)
+    bits = np.zeros(1 << ngram_join.SEEN_BITS, bool)
+    at = part * ((1 << ngram_join.SEEN_BITS) // ngram_join.SEEN_PARTS) + ngram_join.in_part(digest)
+    assert part.max() < ngram_join.SEEN_PARTS and at.max() < len(bits)
+    bits[at[:10_000]] = True
+    told = ngram_join.may_be_shared(found, np.packbits(bits))
+    assert told[:10_000].all() and told[10_000:].mean() < 0.01
+
+
 def plain_components(rows):
     sets = defaultdict(set)
     for i, t, *_ in rows:
