@@ -23,8 +23,11 @@ from driftloom.sources.packs import PACKS
 from .sequence import diff_nodes
 
 FACTS = "struct<code:string,plain:string,callees:array<string>,conditions:array<string>,guarded:array<string>,guard_clauses:int,tries:int,tried:array<string>,patterns:array<string>,compiled:array<string>,hits:array<string>>"
-SCHEMA = f"""path string, file_id string, family string, node_id string, parent_id string, parent_name string, depth int, pre_ord int, kind string, name string, signature string, state string,
-before array<string>, after array<string>, node_hash string, before_facts {FACTS}, after_facts {FACTS}"""
+_COLUMNS = """path string, file_id string, family string, node_id string, parent_id string, parent_name string, depth int, pre_ord int, kind string, name string, signature string, state string,
+before array<string>, after array<string>, node_hash string"""
+SCHEMA = f"{_COLUMNS}, before_facts {FACTS}, after_facts {FACTS}"
+#: Rows of nodes that a task hands on at once, at least.
+TOGETHER = 1000
 #: Files of which either side has more bytes are listed as skipped and not parsed.
 PARSE_CAP = 2 * 1024 * 1024
 _COMPILED = {f: re.compile(p.compiles_regex) for f, p in PACKS.items() if p.compiles_regex}
@@ -58,8 +61,8 @@ def node_hash(node: dict) -> str:
     return node["hash"]
 
 
-def file_nodes(path: str, before: str | None, after: str | None) -> list[dict]:
-    """Rows of a changed file's nodes in pre-order; none for files that are not parsed."""
+def file_nodes(path: str, before: str | None, after: str | None, facts: bool = True) -> list[dict]:
+    """Rows of a changed file's nodes in pre-order, with facts or without; none for files that are not parsed."""
     lang = lang_of(path)
     if lang is None or max(len((t or "").encode("utf-8", "surrogatepass")) for t in (before, after)) > PARSE_CAP:
         return []
@@ -76,8 +79,10 @@ def file_nodes(path: str, before: str | None, after: str | None) -> list[dict]:
             row = {
                 "path": path, "file_id": file_id, "family": family, "node_id": f"{file_id}:{parent_path}:{n['kind']}:{slug}{tail}", "parent_id": parent and parent["node_id"],
                 "parent_name": parent and parent["name"], "depth": depth, "pre_ord": len(out), "kind": n["kind"], "name": n["name"], "signature": n["signature"], "state": n["state"],
-                "before": n["before"], "after": n["after"], "node_hash": node_hash(n), "before_facts": facts_of(n["before"], family), "after_facts": facts_of(n["after"], family),
+                "before": n["before"], "after": n["after"], "node_hash": node_hash(n),
             }
+            if facts:
+                row |= {"before_facts": facts_of(n["before"], family), "after_facts": facts_of(n["after"], family)}
             out.append(row)
             walk(n["children"], f"{parent_path}/{slug}", row, depth + 1)
 
@@ -106,20 +111,27 @@ def skipped_files(changed: DataFrame, cap: int = PARSE_CAP) -> DataFrame:
     return changed.where(is_oversized(F.col("path"), b, a, cap)).select("path", said.alias("summary"), marker.alias("skip_marker"))
 
 
-def drift_nodes(changed: DataFrame) -> DataFrame:
+def drift_nodes(changed: DataFrame, facts: bool = True) -> DataFrame:
     """The nodes of all changed files (path, before, after), as SCHEMA. One pass over a file, without a shuffle.
 
-    Files of many repositories have a column ``repo``, and so have their nodes then.
+    Files of many repositories have a column ``repo``, and so have their nodes then. Without facts, which rules ask for,
+    nodes have neither of the two columns.
     """
     repo = "repo" in changed.columns
-    columns = f"repo string, {SCHEMA}" if repo else SCHEMA
+    columns = ("repo string, " if repo else "") + (SCHEMA if facts else _COLUMNS)
     schema = to_arrow_schema(_parse_datatype_string(columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
         for batch in batches:
             repos = batch.column(3).to_pylist() if repo else [None] * batch.num_rows
             for path, before, after, of in zip(*(batch.column(k).to_pylist() for k in range(3)), repos, strict=True):
-                if rows := file_nodes(path, before, after):
-                    yield pa.RecordBatch.from_pylist([r | {"repo": of} for r in rows] if repo else rows, schema=schema)
+                rows = file_nodes(path, before, after, facts)
+                held += [r | {"repo": of} for r in rows] if repo else rows
+                if len(held) >= TOGETHER:
+                    yield pa.RecordBatch.from_pylist(held, schema=schema)
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
 
     return dealt(changed.select("path", "before", "after", *(["repo"] if repo else []))).mapInArrow(run, columns)

@@ -355,3 +355,14 @@ def test_word_lcs_length_is_of_whole_texts(spark):
         want[i] = row[-1]
     assert {r["item_id"]: r["lcs"] for r in catalogue.word_lcs_length(spark, sf_dir).collect()} == want
     assert max(len(t.split(" ")) for t in texts.values()) > 12
+
+
+def test_nodes_without_facts_are_the_same_rows(spark, monkeypatch):
+    files = [(f"o{i}.ts", "\n".join(f"const o{k} = f({k});" for k in range(i)), "\n".join(f"const o{k} = f({k * (k % 3)});" for k in range(i + 2))) for i in range(40)]
+    changed = spark.createDataFrame(files, "path string, before string, after string").repartition(2)
+    whole = nodes.drift_nodes(changed).drop("before_facts", "after_facts").orderBy("node_id").collect()
+    monkeypatch.setattr(nodes, "TOGETHER", 7)
+    assert nodes.drift_nodes(changed, facts=False).orderBy("node_id").collect() == whole
+    monkeypatch.setattr(nodes, "facts_of", None)  # not asked for
+    rows = nodes.file_nodes(*files[5], facts=False)
+    assert len(rows) == 7 and "before_facts" not in rows[0]
