@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import ast
+import gc
 import subprocess
 import textwrap
 
@@ -322,3 +323,22 @@ def test_captures_of_tables(spark):
     rows = spark.createDataFrame([(1, "f(g(x))", "go"), (2, None, "go"), (3, "f(x)", "cobol"), (4, "", "rust")], "id int, text string, family string")
     assert [tuple(r) for r in structures.with_captures(rows, tree.CALLEES, "callee").select("id", "captured").orderBy("id").collect()] == [(1, ["f", "g"]), (2, None), (3, None), (4, [])]
     assert [tuple(r) for r in structures.capture_rows(rows, tree.CALLEES, "callee").select("id", "place", "captured").orderBy("place").collect()] == [(1, 0, "f"), (1, 1, "g")]
+
+
+def test_leaves_of_a_tree_have_no_tables_of_their_own():
+    leaves = structures.tree_of('f(a.b, "t", 1)', "jsts").by_kind
+    for node in [*leaves["name"], *leaves["text"], *leaves["number"]]:
+        assert node.items == () and not node.fields and node.fields is leaves["name"][0].fields
+    typed = structures.tree_of("const a = f<T>(x); g(y)", "jsts").by_kind["name"]
+    assert [n.value for n in typed if "types" in n.fields] == ["f"]
+
+
+def test_trees_have_no_cycles():
+    gc.collect()
+    gc.disable()
+    try:
+        for k in range(20):
+            tree.captured(structures.tree_of(f"f{k}(a.b({k}, [x, y]), {{ c: d(`t${{e(1)}}`) }}, new F<T>(x))", "jsts"), tree.CALLEES, "callee")
+        assert not [x for x in gc.get_objects() if isinstance(x, tree.Node)]
+    finally:
+        gc.enable()
