@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dealt, stored, text_of
+from .common import dealt, lean, stored, text_of, worker_cache
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
@@ -32,7 +32,6 @@ PLACED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
 GROUP_ROWS = 5_000
 #: Entries of each of a worker's caches from words to ids, and the longest word in them.
 CACHE_WORDS, CACHE_CHARACTERS = 400_000, 48
-_ENCODERS: dict[str, WordEncoder] = {}
 #: White space other than blanks and line ends, in any library's view, and control characters near it.
 _UNUSUAL = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 #: Where white space meets white space, and what may begin a special string.
@@ -109,9 +108,7 @@ class WordEncoder:
 
 
 def _encoder(name: str) -> WordEncoder:
-    if name not in _ENCODERS:
-        _ENCODERS[name] = WordEncoder(name)
-    return _ENCODERS[name]
+    return worker_cache(name, lambda: WordEncoder(name))
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -135,7 +132,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
             columns = zip(*rows, strict=True) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return dealt(docs.select("doc_id", text_of().alias("text"))).mapInArrow(run, PIECE_SCHEMA)
+    return dealt(docs.select("doc_id", text_of().alias("text"))).mapInArrow(lean(run, tokenizer), PIECE_SCHEMA)
 
 
 class Counts:

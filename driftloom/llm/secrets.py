@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt, frequent, text_of, word_counts
+from .common import dealt, frequent, lean, text_of, word_counts
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -167,7 +167,7 @@ def corpus_ranks(docs: DataFrame, most: int = CORPUS_WORDS) -> dict[str, int]:
                     low = _without(low, values)
                 yield [w.encode("utf-8", "surrogatepass") for w in _WORD.findall(low)]
 
-    rows = dealt(docs.select(text_of().alias("text"))).mapInArrow(lambda batches: word_counts(words(batches)), "word binary, n long")
+    rows = dealt(docs.select(text_of().alias("text"))).mapInArrow(lean(lambda batches: word_counts(words(batches))), "word binary, n long")
     found = frequent(rows.groupBy("word").agg(F.sum("n").alias("n")), "word", "n", most)
     order = sorted(found, key=lambda w: (-found[w], w))
     return {bytes(w).decode("utf-8", "surrogatepass"): k + 1 for k, w in enumerate(order)}

@@ -324,3 +324,28 @@ def test_many_distinct_triples_take_bounded_memory():
     _, peak = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert got.shape == (16, langid.DIMENSIONS) and peak < 150e6
+
+
+def test_a_worker_keeps_the_cache_of_one_operator(spark):
+    """Stages of the pipeline share their workers: what one has cached is gone when the next one runs."""
+    import pyarrow as pa
+
+    from driftloom.llm import common, packing
+
+    text = " ".join(f"word{k}" for k in range(3000))
+    before = ngram_join.shingles(text)
+    assert len(common.worker_cache(ngram_join.WORDS, dict)) >= 3000
+    ids = packing._encoder("byte_bpe_50k.json")(text)
+    assert list(common._WORKER) == ["byte_bpe_50k.json"]
+    assert (ngram_join.shingles(text) == before).all() and list(common._WORKER) == [ngram_join.WORDS]
+    assert packing._encoder("byte_bpe_50k.json")(text) == ids
+    assert list(common.lean(lambda batches: (sorted(common._WORKER) for _ in batches))([1])) == [[]]
+    docs = documents(spark, [(k, text, "en", "s") for k in range(3)]).coalesce(1)
+
+    def names(batches):
+        for batch in batches:
+            ngram_join.shingles(batch.column(0)[0].as_py())
+            packing._encoder("byte_bpe_50k.json")
+            yield pa.RecordBatch.from_arrays([pa.array([",".join(common._WORKER)])], names=["held"])
+
+    assert {r["held"] for r in docs.select("text").mapInArrow(names, "held string").collect()} == {"byte_bpe_50k.json"}
