@@ -34,6 +34,8 @@ RARE, OUTSIDE = VOCABULARY - CLASSES, VOCABULARY
 OFFSETS, WIDTH = (-2, -1, 1, 2), 32
 #: Batches grow from the first to the second size, to one part in GROWTH of what a task has learned; copies that a task averages; rounds.
 BATCHES, GROWTH, RATE, SEED, FAN, ROUNDS = (256, 2048), 1024, 0.3, 11, 8, 3
+#: A copy takes some 5 MB; a task gets at least so many bytes of input, unless cores would be idle.
+TASK_BYTES = 16 << 20
 #: Tokens that are scored at once, rare words whose own share is known, and words that a worker remembers.
 CHUNK, SHARED, CACHE_WORDS, CACHE_BYTES = 8192, 100_000, 200_000, 64
 SHAPES = {
@@ -137,10 +139,16 @@ def start() -> dict[str, np.ndarray]:
     return out
 
 
+def places(around: np.ndarray) -> np.ndarray:
+    """Where the embeddings of surroundings stand among those of all offsets."""
+    return around + np.arange(len(OFFSETS)) * (VOCABULARY + 1)
+
+
 def hidden(model: dict[str, np.ndarray], around: np.ndarray) -> np.ndarray:
-    h = model["e"][0, around[:, 0]]
+    e, at = model["e"].reshape(-1, WIDTH), places(around)
+    h = e.take(at[:, 0], axis=0)
     for k in range(1, len(OFFSETS)):
-        h += model["e"][k, around[:, k]]
+        h += e.take(at[:, k], axis=0)
     h += model["b"]
     return np.tanh(h, out=h)
 
@@ -150,34 +158,81 @@ def steps(tokens: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
     return [(s, tokens // BRANCH ** (3 - s), tokens // BRANCH ** (2 - s) % BRANCH) for s in range(3)]
 
 
-def by_node(nodes: np.ndarray) -> list[tuple[int, slice]]:
-    """Runs of equal nodes, which are in order."""
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(nodes)) + 1, [len(nodes)]]) if len(nodes) else np.zeros(1, int)
-    return [(int(nodes[a]), slice(a, b)) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-
-
-def logits(model: dict[str, np.ndarray], h: np.ndarray, step: int, parts: list[tuple[int, slice]]) -> np.ndarray:
-    z = np.empty((len(h), BRANCH), np.float32)
-    w, b = model[f"w{step}"], model[f"b{step}"]
-    for node, own in parts:
-        np.matmul(h[own], w[node], out=z[own])
-        z[own] += b[node]
-    return z
-
-
-def chosen(z: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """The log-softmax of each row at one column; z is overwritten."""
-    z -= z.max(axis=1, keepdims=True)
-    own = z[np.arange(len(z)), columns]
-    return own - np.log(np.exp(z, out=z).sum(axis=1))
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of keys in order: the distinct ones, where each begins, and how often it is there."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[first], first, np.diff(np.append(first, len(keys)))
+
+
+def side_by_side(first: np.ndarray, size: np.ndarray, n: int) -> Iterator[tuple]:
+    """(some runs, their rows as a table), so that runs of like sizes are one product; row n fills short ones up. Long runs come one by one."""
+    low = 0
+    for high in (1, 4, 16, 64):
+        own = np.flatnonzero((size > low) & (size <= high))
+        if len(own):
+            k = np.arange(high)
+            yield own, np.where(k < size[own][:, None], first[own][:, None] + k, n)
+        low = high
+    for p in np.flatnonzero(size > low).tolist():
+        yield p, slice(int(first[p]), int(first[p] + size[p]))
+
+
+def sums_of_runs(rows: np.ndarray, order: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs by falling size, and the sum of rows[order] over each."""
+    falling = np.argsort(-size, kind="stable")
+    begin, less = first[falling], -size[falling]
+    out = np.empty((len(first), rows.shape[1]), rows.dtype)
+    long = int(np.searchsorted(less, -16))  # those of more than 16 are added up one by one, others all at once
+    for k in range(long):
+        rows.take(order[begin[k] : begin[k] - less[k]], axis=0).sum(axis=0, out=out[k])
+    out[long:] = rows.take(order[begin[long:]], axis=0)
+    for k in range(1, int(-less[long]) if long < len(less) else 0):
+        end = int(np.searchsorted(less, -k))  # those of more than k
+        out[long:end] += rows.take(order[begin[long:end] + k], axis=0)
+    return falling, out
+
+
+def softmax(z: np.ndarray) -> tuple[np.ndarray | float, np.ndarray]:
+    """exp of rows of BRANCH, in place, less their largest where it might overflow: what was taken off, and the sums."""
+    top = 0.0
+    if z.max() > 60 or z.min() < -60:
+        top = z.max(axis=-1)
+        z -= top[..., None]
+    np.exp(z, out=z)
+    return top, z @ np.ones(BRANCH, np.float32)
+
+
+class Pass:
+    """The branches' shares of sorted tokens in all steps, forward; what is kept serves the way back."""
+
+    def __init__(self, model: dict[str, np.ndarray], tokens: np.ndarray, around: np.ndarray) -> None:
+        n = self.n = len(tokens)
+        self.h = np.zeros((n + 1, WIDTH), np.float32)  # one row more fills runs up
+        self.h[:n] = hidden(model, around)
+        self.z = np.zeros((3, n + 1, BRANCH), np.float32)
+        self.steps = []
+        self.chosen = np.empty((3, n), np.int64)  # where the branches that are taken stand in z
+        for s, nodes, branches in steps(tokens):
+            at, first, size = runs(nodes)
+            w, z = model[f"w{s}"].take(at, axis=0), self.z[s]
+            parts = [(own, rows, self.h[rows] if isinstance(own, int) else self.h.take(rows, axis=0), w[own]) for own, rows in side_by_side(first, size, n)]
+            for _, rows, h, own in parts:
+                z[rows] = h @ own
+            z[:n] += model[f"b{s}"].take(nodes, axis=0)
+            z[n] = 0
+            self.chosen[s] = (s * (n + 1) + np.arange(n)) * BRANCH + branches
+            self.steps.append((at, w, parts))
 
 
 def log_probabilities(model: dict[str, np.ndarray], tokens: np.ndarray, around: np.ndarray) -> np.ndarray:
     """Of each token given its surroundings; tokens are taken in order, so that a node of a step is one product."""
-    order = np.argsort(tokens, kind="stable")
+    order = np.argsort(tokens.astype(np.int16), kind="stable")
     out = np.empty(len(tokens), np.float32)
-    t, h = tokens[order], hidden(model, around[order])
-    out[order] = sum(chosen(logits(model, h, s, by_node(nodes)), branches) for s, nodes, branches in steps(t))
+    if len(tokens):
+        run = Pass(model, tokens[order], around[order])
+        own = run.z.take(run.chosen)
+        top, sums = softmax(run.z)
+        out[order] = (own - (top + np.log(sums))[:, :-1]).sum(axis=0)
     return out
 
 
@@ -210,38 +265,45 @@ class Trainer:
                 k += n
             self.kept, self.waiting = [], 0
 
-    def move(self, name: str, where, grad: np.ndarray) -> None:
-        sums = self.sums[name]
-        sums[where] += grad * grad
-        self.model[name][where] -= RATE * grad / np.sqrt(sums[where])
+    def move(self, name: str, rows: np.ndarray, grad: np.ndarray, held: np.ndarray | None = None) -> None:
+        """grad is of some rows of a table of the network; held: what it has there."""
+        model, sums = (x[name].reshape(-1, *grad.shape[1:]) for x in (self.model, self.sums))
+        new = grad * grad
+        new += sums.take(rows, axis=0)
+        sums[rows] = new
+        np.sqrt(new, out=new)
+        np.divide(grad, new, out=new)
+        new *= RATE
+        model[rows] = np.subtract(model.take(rows, axis=0) if held is None else held, new, out=new)
 
     def step(self, tokens: np.ndarray, around: np.ndarray) -> None:
-        m, order, n = self.model, np.argsort(tokens, kind="stable"), len(tokens)
-        tokens, around = tokens[order], around[order]
-        h, rows = hidden(m, around), np.arange(n)
-        gh, moves = np.zeros_like(h), []
-        for s, nodes, branches in steps(tokens):
-            parts = by_node(nodes)
-            g = logits(m, h, s, parts)
-            g -= g.max(axis=1, keepdims=True)
-            np.exp(g, out=g)
-            g /= g.sum(axis=1, keepdims=True)
-            g[rows, branches] -= 1
-            w, at = m[f"w{s}"], np.array([node for node, _ in parts])
-            gw, gb = np.empty((len(parts), WIDTH, BRANCH), np.float32), np.add.reduceat(g, [own.start for _, own in parts], axis=0)
-            for k, (node, own) in enumerate(parts):
-                gh[own] += g[own] @ w[node].T
-                np.matmul(h[own].T, g[own], out=gw[k])
-            moves += [(f"w{s}", at, gw / n), (f"b{s}", at, gb / n)]
-        for name, at, grad in moves:
-            self.move(name, at, grad)
-        gh *= (1 - h * h) / n
-        self.move("b", ..., gh.sum(axis=0))
-        for k in range(len(OFFSETS)):
-            order = np.argsort(around[:, k], kind="stable")
-            ids = around[order, k]
-            first = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1])
-            self.move("e", (k, ids[first]), np.add.reduceat(gh[order], first, axis=0))
+        m, n = self.model, len(tokens)
+        order = np.argsort(tokens.astype(np.int16), kind="stable")
+        around = around[order]
+        run = Pass(m, tokens[order], around)
+        g, (_, sums) = run.z, softmax(run.z)
+        g /= sums[..., None]
+        g.reshape(-1)[run.chosen] -= 1
+        g[:, n] = 0  # what fills runs up counts for nothing
+        g /= n
+        gh = np.zeros_like(run.h)
+        for s, (at, w, parts) in enumerate(run.steps):
+            gw, gb = np.empty_like(w), np.empty((len(at), BRANCH), np.float32)
+            for own, rows, h, w_own in parts:
+                part = g[s][rows] if isinstance(own, int) else g[s].take(rows, axis=0)
+                gh[rows] += part @ w_own.swapaxes(-1, -2)
+                gw[own] = h.swapaxes(-1, -2) @ part
+                gb[own] = part.sum(axis=-2)
+            self.move(f"w{s}", at, gw, w)
+            self.move(f"b{s}", at, gb)
+        gh, h = gh[:n], run.h[:n]
+        gh *= 1 - h * h
+        self.move("b", np.zeros(1, np.int64), gh.sum(axis=0)[None])
+        keys = places(around).T.astype(np.int16).ravel()  # all offsets in a row
+        order = np.argsort(keys, kind="stable")
+        at, first, size = runs(keys[order])
+        falling, ge = sums_of_runs(gh, order % n, first, size)
+        self.move("e", at[falling].astype(np.int64), ge)
         self.seen += n
 
 
@@ -311,6 +373,8 @@ def trained(docs: DataFrame, words: dict[str, int], stride: int) -> dict[str, np
     shared = docs.sparkSession.sparkContext.broadcast(words)  # at most RARE words
     turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)).alias("turn")  # copies of a text are spread over all rounds
     texts = dealt(docs.select(text_of().alias("text"), turn).where("text <> ''"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # Spark's estimate; of an unknown size it is large
+    texts = texts.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, min(size // TASK_BYTES, 1 << 20)))
     held = np.concatenate([flat(start()), flat(Trainer().sums)])
     for k in range(ROUNDS):
         held = one_round(texts.where(F.col("turn") == k).select("text"), shared, held, stride)

@@ -319,3 +319,50 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert all(left[i]["text"] == t for i, t, *_ in clean)
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 1024
+
+
+def test_network_steps_equal_plain_ones(monkeypatch):
+    """One step moves the network as sums over single tokens do, for runs of any size; and it makes no product for each node."""
+    rng = np.random.default_rng(3)
+    tokens = np.concatenate([rng.integers(0, 4096, 300), np.full(90, 7), np.full(20, 4095), np.full(3, 2000)])
+    rng.shuffle(tokens)
+    around = masked_lm.contexts(tokens)
+    trainer, m = masked_lm.Trainer(), masked_lm.start()
+    grad = {k: np.zeros(v.shape) for k, v in m.items()}
+    for t, near in zip(tokens, around, strict=True):
+        h = np.tanh(sum(m["e"][k, x].astype(float) for k, x in enumerate(near)) + m["b"])
+        gh = np.zeros(masked_lm.WIDTH)
+        for s in range(3):
+            node, branch = t // 16 ** (3 - s), t // 16 ** (2 - s) % 16
+            z = h @ m[f"w{s}"][node] + m[f"b{s}"][node]
+            g = np.exp(z - z.max())
+            g = (g / g.sum() - (np.arange(16) == branch)) / len(tokens)
+            grad[f"w{s}"][node] += np.outer(h, g)
+            grad[f"b{s}"][node] += g
+            gh += m[f"w{s}"][node] @ g
+        gh *= 1 - h * h
+        grad["b"] += gh
+        for k, x in enumerate(near):
+            grad["e"][k, x] += gh
+    taken, plain = [], masked_lm.side_by_side
+    monkeypatch.setattr(masked_lm, "side_by_side", lambda *x: [taken.append(1) or y for y in plain(*x)])
+    trainer.step(tokens, around)
+    assert len(taken) < 30  # there are more than 100 nodes
+    for k, v in m.items():
+        want = v - masked_lm.RATE * grad[k] / np.sqrt(1e-3 + grad[k] ** 2)
+        assert np.abs(trainer.model[k] - want).max() < 1e-4, k
+        assert np.allclose(trainer.sums[k], 1e-3 + grad[k] ** 2, atol=1e-6), k
+    big = {k: v * 3000 for k, v in m.items()}  # logits beyond what exp can hold
+    assert np.isfinite(masked_lm.log_probabilities(big, tokens, around)).all()
+    assert len(masked_lm.log_probabilities(m, tokens[:0], around[:0])) == 0
+
+
+def test_many_small_parts_do_not_make_as_many_copies(spark, tmp_path, monkeypatch):
+    rows = [(i, f"some words of text {i}", "en", "s") for i in range(400)]
+    documents(spark, rows).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs")).repartition(90)
+    held = []
+    monkeypatch.setattr(masked_lm, "release", lambda *tables: held.extend((df.count(), df.agg({"weight": "sum"}).first()[0]) for df in tables))
+    masked_lm.trained(docs, {"some": 0, "words": 1}, 1)
+    assert len(held) == masked_lm.ROUNDS and sum(w for _, w in held) == 400 * 5  # every token is learned from
+    assert all(n <= max(spark.sparkContext.defaultParallelism, 1) for n, _ in held)
